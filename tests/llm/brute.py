@@ -26,3 +26,14 @@ def quality(text: str | None) -> tuple:
     at = {p for w in windows.values() if len(w) > 1 for i in w for p in range(i, i + 8)}
     n = len(words)
     return n, sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(at), n < 20 or 100 * len(at) > 30 * n
+
+
+def secrets_base(text: str | None) -> tuple:
+    text = text or ""
+    kinds = {
+        "assign": [m for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6],
+        "access": [m for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20],
+        "hex": [m for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24],
+    }
+    spans = sorted((m.start(), k, m.end(), n) for k, (n, found) in enumerate(kinds.items()) for m in found)
+    return *(len(x) for x in kinds.values()), sha(",".join(f"{n}:{s}:{e}" for s, _, e, n in spans))
