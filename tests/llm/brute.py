@@ -37,3 +37,32 @@ def secrets_base(text: str | None) -> tuple:
     }
     spans = sorted((m.start(), k, m.end(), n) for k, (n, found) in enumerate(kinds.items()) for m in found)
     return *(len(x) for x in kinds.values()), sha(",".join(f"{n}:{s}:{e}" for s, _, e, n in spans))
+
+
+def shingles(text: str | None) -> frozenset:
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if len(words) < 5:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def near(rows: list[tuple], percent: int = 75) -> list[tuple]:
+    """(doc_id, n_shingles, component_id, kept) of (doc_id, text) rows with distinct ids."""
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids, holders = sorted(sets), defaultdict(list)
+    for i in ids:
+        common = Counter(j for g in sets[i] for j in holders[g])
+        for j, n in common.items():
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for g in sets[i]:
+            holders[g].append(i)
+    return [(i, len(sets[i]), find(i), find(i) == i) for i in ids]
