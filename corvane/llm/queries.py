@@ -8,13 +8,19 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NAMES = ("op2_secrets", "op5_mixing", "op6_minhash", "op7_warc", "op9_quality_rules", "op10_bpe")
+NAMES = ("op1_suffix_dedup", "op2_secrets", "op5_mixing", "op6_minhash", "op7_warc", "op9_quality_rules", "op10_bpe")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 

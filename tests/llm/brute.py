@@ -66,3 +66,19 @@ def near(rows: list[tuple], percent: int = 75) -> list[tuple]:
         for g in sets[i]:
             holders[g].append(i)
     return [(i, len(sets[i]), find(i), find(i) == i) for i in ids]
+
+
+def repeats(rows: list[tuple], size: int = 100) -> list[tuple]:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of (doc_id, text) rows with distinct ids."""
+    seen, out = set(), []
+    for i, t in sorted(rows):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - size + 1):
+            w = b[p : p + size]
+            if w in seen:
+                gone[p : p + size] = b"\1" * size
+            seen.add(w)
+        spans = sum(g and not (p and gone[p - 1]) for p, g in enumerate(gone))
+        out.append((i, len(b), sum(gone), spans, sha(bytes(c for c, g in zip(b, gone, strict=True) if not g))))
+    return out
