@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NAMES = ("op1_suffix_dedup", "op2_secrets", "op4_html", "op5_mixing", "op6_minhash", "op7_warc", "op9_quality_rules", "op10_bpe")
+NAMES = ("op1_suffix_dedup", "op2_secrets", "op3_ann", "op4_html", "op5_mixing", "op6_minhash", "op7_warc", "op9_quality_rules", "op10_bpe")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract
 
