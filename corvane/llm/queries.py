@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NAMES = ("op1_suffix_dedup", "op2_secrets", "op3_ann", "op4_html", "op5_mixing", "op6_minhash", "op7_warc", "op9_quality_rules", "op10_bpe")
+NAMES = ("op1_suffix_dedup", "op2_secrets", "op3_ann", "op4_html", "op5_mixing", "op6_minhash", "op7_warc", "op8_chat", "op9_quality_rules", "op10_bpe")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import agreement, fit, format_chats, transcripts
+
+    rows = transcripts(table(spark, sf_dir, "conversations"))
+    model = fit(rows)
+    return agreement(format_chats(rows, model), rows, model.roles).select("conv_id", "part", "n_turns", "roles", "rendered", "n_lines", "n_right")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
