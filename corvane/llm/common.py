@@ -40,6 +40,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """df written as a compressed table in the shared folder and read again, with its path for erase()."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def erase(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that written() made and nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it counts at most `rows` rows; beyond that unhinted, for a shuffled join. df must be cheap to count: cut it first."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,9 +5,9 @@ is a pair of one value from either, so a text needs 2 * HASHES * ROWS minhashes
 equal shingle sets form one class, which takes part once. A class whose values are all its own in one
 collection meets nobody and leaves before any pair of values is formed.
 
-Within a table's bucket nobody is compared with all. First each class is compared with the bucket's
-smallest; then, only in buckets that still span several components, classes of different components
-whose signatures agree in half of their places. Every candidate is confirmed on both full sets.
+First each class is compared with the smallest of each of its buckets. Then, only for buckets that
+still span several components, classes of different components are compared block by block in memory,
+which gives no row for a pair that isn't a link. Every link is confirmed on both full sets.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut
+from .common import batches, cut, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -27,14 +27,15 @@ from .shingles import mix, shingle_sets
 HASHES, ROWS = 10, 2
 #: Two classes are linked from this percentage of their union on.
 PERCENT = 75
-#: Buckets beyond so many classes are cut by further minhashes before different components are compared.
-BUCKET = 1000
-SUB_KEYS = 4
+#: Classes, and bytes of their sets, in a block of those compared in memory.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
+#: Pairs there are confirmed where this part of so many further minhashes agrees. A pair at 0.75 falls below it once in some 3000 times.
+ESTIMATES, LEAST_AGREE = 128, 0.62
 #: Bits of the filter by which the second reading skips texts that have no candidate. Its size is fixed; a full filter skips none.
 FILTER_WORDS = 1 << 20
 _N = 2 * HASHES * ROWS
 _RNG = np.random.Generator(np.random.PCG64(75))
-_XOR, _MUL = _RNG.integers(1, 1 << 63, (2, _N), dtype=np.uint64)
+_XOR, _MUL = _RNG.integers(1, 1 << 63, (2, _N + ESTIMATES), dtype=np.uint64)
 _MUL |= np.uint64(1)
 _FOLD = _RNG.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -48,28 +49,27 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """A row of minhashes for each set; none may be empty."""
     every = np.concatenate(sets)
     at = np.append(0, np.cumsum([len(s) for s in sets])[:-1])
-    return np.stack([np.minimum.reduceat((every ^ x) * m, at) for x, m in zip(_XOR, _MUL, strict=True)], 1)
+    return np.stack([np.minimum.reduceat((every ^ x) * m, at) for x, m in zip(_XOR[:_N], _MUL[:_N], strict=True)], 1)
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, node (null without words), a and b (band values of the collections), sig (a byte of each minhash)."""
-    schema = f"doc_id {docs.schema[key].dataType.simpleString()}, n_shingles long, node binary, a array<long>, b array<long>, sig binary"
+    """doc_id, n_shingles, node (null without words), a and b (band values of the collections)."""
+    schema = f"doc_id {docs.schema[key].dataType.simpleString()}, n_shingles long, node binary, a array<long>, b array<long>"
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(2 * HASHES, dtype=np.uint64)
         for b in batches(rows, max_bytes=2 << 20):
             sets = shingle_sets(b.column(1))
             some = [i for i, s in enumerate(sets) if len(s)]
-            node, bands, sig = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            node, bands = [None] * len(sets), [None] * len(sets)
             if some:
                 low = signatures([sets[i] for i in some])
                 values = mix((mix(low).reshape(len(some), 2 * HASHES, ROWS) * _FOLD).sum(2) + place).view(np.int64)
-                small = (mix(low) & np.uint64(255)).astype(np.uint8)
                 for k, i in enumerate(some):
-                    node[i], bands[i], sig[i] = class_key(sets[i]), values[k].tolist(), small[k].tobytes()
+                    node[i], bands[i] = class_key(sets[i]), values[k].tolist()
             halves = [[x and x[h : h + HASHES] for x in bands] for h in (0, HASHES)]
-            columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), *(pa.array(h, pa.list_(pa.int64())) for h in halves), pa.array(sig, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "a", "b", "sig"])
+            columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), *(pa.array(h, pa.list_(pa.int64())) for h in halves)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "a", "b"])
 
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
@@ -106,7 +106,26 @@ def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([class_key(s) for s in part], pa.binary()), pa.array([s.tobytes() for s in part], pa.binary())], names=["node", "set"])
 
     found = hashed.where(F.col("rep").isNotNull()).mapInArrow(run, "node binary, set binary")
-    return cut(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    return written(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")[0]
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")  # two runs: merged
+    n = int((both[1:] == both[:-1]).sum())
+    return 100 * n >= percent * (len(both) - n)
+
+
+def estimates(sets: list[np.ndarray]) -> np.ndarray:
+    """A byte of each of ESTIMATES minhashes for each set; none may be empty."""
+    every = np.concatenate(sets)
+    at = np.append(0, np.cumsum([len(s) for s in sets])[:-1])
+    out = np.empty((len(sets), ESTIMATES), np.uint8)
+    for k in range(ESTIMATES):
+        out[:, k] = np.minimum.reduceat((every ^ _XOR[_N + k]) * _MUL[_N + k], at) >> np.uint64(3)
+    return out
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -118,58 +137,80 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in rows:
             keep = []
             for s, t in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-                if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.sort(np.concatenate([x, y]), kind="stable")  # two runs: merged
-                n = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * n >= percent * (len(both) - n))
+                keep.append(similar(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64), percent))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(one, "u").join(two, "v").select("u", "v", "s", "t").mapInArrow(run, "u binary, v binary")
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one bucket and different components so far whose signatures agree in at least half of their places.
+class _Union:
+    def __init__(self):
+        self.up: dict = {}
 
-    Large buckets are cut by further values first, which links in them share like the bucket's own. Rows
-    stream in order of bucket; at most BUCKET of them are held.
+    def find(self, x):
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x, y) -> None:
+        self.up[max(x, y)] = min(x, y)
+
+
+def linked(rows: list[tuple[int, bytes, bytes, bytes]], percent: int) -> list[tuple[bytes, bytes]]:
+    """Confirmed links that join different components among (block, node, component, set) rows; between two blocks where there are two.
+
+    Pairs are tried in the order of their signatures' agreement, down to LEAST_AGREE; what is joined already isn't tried.
+    """
+    sets = [np.frombuffer(x[3], np.uint64) for x in rows]
+    sig = estimates(sets)
+    size, block = np.array([len(s) for s in sets]), np.array([x[0] for x in rows])
+    name = {r: i for i, r in enumerate(dict.fromkeys(x[2] for x in rows))}
+    of, two = np.array([name[x[2]] for x in rows]), block[0] != block[-1]
+    tries = []
+    for i in range(len(rows) - 1):
+        fit = (of[i + 1 :] != of[i]) & (100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i]))
+        j = np.flatnonzero(fit & (block[i + 1 :] != block[i]) if two else fit) + i + 1
+        agree = (sig[j] == sig[i]).sum(1)
+        near = agree >= LEAST_AGREE * ESTIMATES
+        tries += zip((-agree[near]).tolist(), [i] * int(near.sum()), j[near].tolist(), strict=True)
+    parts, out = _Union(), []
+    for _, i, j in sorted(tries):
+        a, b = parts.find(of[i]), parts.find(of[j])
+        if a != b and similar(sets[i], sets[j], percent):
+            parts.join(a, b)
+            out.append((rows[i][1], rows[j][1]))
+    return out
+
+
+def rest_links(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between components so far, of classes that share buckets.
+
+    Buckets that still span components are joined to groups by the classes they share. A group is dealt
+    into blocks of bounded size, and every two blocks meet in one task, which tries their pairs in
+    memory and gives confirmed links only. Rows stream in order of group and blocks.
     """
-    named = members.join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("r", F.coalesce("r", "node"))
-    mixed = named.groupBy("key").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 <> r1").select("key")
-    rows = named.join(mixed, "key").select("key", "node", "r", "n").join(classes.select("node", "sig"), "node")
-    cuts = F.when(F.col("n") > BUCKET, F.sequence(F.lit(0), F.lit(SUB_KEYS - 1))).otherwise(F.array(F.lit(-1)))
-    rows = rows.withColumn("k", F.explode(cuts))
-    place = F.pmod(F.xxhash64("key", "k"), F.lit(_N - 1)).cast("int") + 1
-    rows = rows.withColumn("key", F.when(F.col("k") < 0, F.col("key")).otherwise(F.xxhash64("key", "k", F.substring("sig", place, 2)))).select("key", "r", "node", "sig")
-
-    def told(held: list[tuple[bytes, bytes, bytes]]) -> list[tuple[bytes, bytes]]:
-        sig = np.frombuffer(b"".join(x[2] for x in held), np.uint8).reshape(len(held), _N)
-        name = {r: i for i, r in enumerate(dict.fromkeys(x[0] for x in held))}
-        if len(name) < 2:
-            return []
-        of, out = np.array([name[x[0]] for x in held]), []
-        for i in range(len(held) - 1):
-            near = np.flatnonzero((of[i + 1 :] != of[i]) & (2 * (sig[i + 1 :] == sig[i]).sum(1) >= _N)) + i + 1
-            out += [(held[i][1], held[j][1]) for j in near.tolist()]
-        return out
+    named = members.select("key", "node").join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("r", F.coalesce("r", "node"))
+    mixed = named.groupBy("key").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("node").alias("u")).where("r0 <> r1").select("key", "u")
+    rows = cut(named.join(mixed, "key").select("u", "node", "r").distinct())
+    groups = components(rows.select("u", F.col("node").alias("v"))).withColumnRenamed("root", "g")
+    rows = rows.select("node", "r").distinct().join(groups, "node").join(sets.select("node", F.length("set").alias("size")), "node")
+    sizes = rows.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "node")
+    rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "r", "set")
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at, out = [], None, []
         for b in batches_:
-            for k, r, node, sig in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != at or len(held) >= BUCKET:
-                    out += told(held) if len(held) > 1 else []
-                    held, at = [], k
-                held.append((r, node, sig))
-            while len(out) >= 4096:
-                part, out = out[:4096], out[4096:]
-                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in part], pa.binary()), pa.array([max(x) for x in part], pa.binary())], names=["u", "v"])
-        out += told(held) if len(held) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.binary()), pa.array([max(x) for x in out], pa.binary())], names=["u", "v"])
+            for g, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (g, i, j) != at:
+                    out += linked(held, percent) if len(held) > 1 else []
+                    held, at = [], (g, i, j)
+                held.append(tuple(row))
+        out += linked(held, percent) if len(held) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["u", "v"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "r", "node").mapInArrow(run, "u binary, v binary").distinct()
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "block").mapInArrow(run, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -179,15 +220,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     A text without words is linked with nothing; so is a row without a key, whose component_id is null
     and which is kept. Rows with equal keys and texts get equal results; an empty table an empty one.
     """
-    rows = cut(sketches(docs, key, text))
-    classes = cut(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("sig").alias("sig")))
+    rows, _ = written(sketches(docs, key, text), "sketches")
+    classes = cut(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")))
     members = buckets(classes)
     wanted = members.select("node").distinct().join(classes.select("node", "rep"), "node")
     sets = full_sets(docs, key, text, wanted)
     stars = members.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
     links = cut(confirm(stars, sets, percent))
     roots = cut(components(links))
-    more = cut(confirm(cross_pairs(members, classes, roots).join(stars, ["u", "v"], "left_anti"), sets, percent))
+    more = cut(rest_links(members, sets, roots, percent))
     if not more.isEmpty():
         roots = cut(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)))
     named = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
