@@ -25,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut
+from .common import batches, erase, written
 from .gsaca import suffix_array
 from .shingles import mix, text_bytes
 
 LENGTH, ANCHOR, PIECE = 100, 32, 8
 #: Words of the filters by which later readings skip what cannot matter. Their size is fixed; a full filter skips nothing.
 FILTER_WORDS = 1 << 20
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
+#: Rows that a task gathers to drop its own repeats before they are shuffled.
+LOCAL_ROWS = 1 << 19
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(100))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
@@ -64,12 +66,13 @@ class Prints:
         return mix((self.sums[size:] - self.sums[: len(self.sums) - size]) * self.back[: len(self.sums) - size] + _U(size))
 
 
-def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+def _sliding(x: np.ndarray, n: int, which: np.ufunc) -> np.ndarray:
+    """The least or most of every n neighbours."""
     have = 1
     while have * 2 <= n:
-        x = np.minimum(x[:-have], x[have:])
+        x = which(x[:-have], x[have:])
         have *= 2
-    return np.minimum(x[: -(n - have)], x[n - have :]) if n > have else x
+    return which(x[: -(n - have)], x[n - have :]) if n > have else x
 
 
 def runs(raw: np.ndarray, at: np.ndarray) -> tuple[Prints, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,21 +81,24 @@ def runs(raw: np.ndarray, at: np.ndarray) -> tuple[Prints, np.ndarray, np.ndarra
     if len(raw) < LENGTH:
         return prints, none, none, none, none, none.astype(np.uint64)
     gram = prints.all(ANCHOR)
-    least = _sliding_min(gram, LENGTH - ANCHOR + 1)
+    order = (gram >> _U(32)).astype(np.uint32)
+    least = _sliding(order, LENGTH - ANCHOR + 1, np.minimum)
+    edge = np.zeros(LENGTH - ANCHOR, np.uint32)
+    spot = _sliding(np.concatenate([edge, least, edge]), LENGTH - ANCHOR + 1, np.maximum) == order  # the least of some window
     ok = np.ones(len(least), bool)
-    for e in at[1:-1]:
-        ok[max(0, e - LENGTH + 1) : e] = False  # windows never cross texts
+    for x in at[1:-1]:
+        ok[max(0, x - LENGTH + 1) : x] = False  # windows never cross texts
     starts = np.flatnonzero(ok)
-    # the leftmost place of the least: the next place at or after the start whose gram is the least of a window that begins up to there
-    spots = np.flatnonzero(_is_least(gram, least))
-    j = np.searchsorted(spots, starts)
-    todo = np.flatnonzero(gram[spots[j]] != least[starts])
+    if not len(starts):
+        return prints, none, none, none, none, none.astype(np.uint64)
+    # the leftmost place of the least: the next spot from the start on that equals it
+    spots = np.flatnonzero(spot)
+    j = (np.cumsum(spot) - spot)[starts]
+    todo = np.flatnonzero(order[spots[j]] != least[starts])
     while len(todo):
         j[todo] += 1
-        todo = todo[gram[spots[j[todo]]] != least[starts[todo]]]
+        todo = todo[order[spots[j[todo]]] != least[starts[todo]]]
     anchor = spots[j]
-    if not len(starts):
-        return prints, none, none, none, none, none.astype(np.uint64)
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
@@ -100,19 +106,6 @@ def runs(raw: np.ndarray, at: np.ndarray) -> tuple[Prints, np.ndarray, np.ndarra
     return prints, np.searchsorted(at, begin, side="right") - 1, anchor, begin, end, gram[anchor]
 
 
-def _is_least(gram: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Whether a gram is the least of some window that holds it."""
-    n = len(gram) - len(least) + 1
-    edge = np.zeros(n - 1, np.uint64)
-    x, have = np.concatenate([edge, least, edge]), 1
-    while have * 2 <= n:
-        x = np.maximum(x[:-have], x[have:])
-        have *= 2
-    if n > have:
-        x = np.maximum(x[: -(n - have)], x[n - have :])
-    return x[: len(gram)] == gram
-
-
 class Filter:
     """A set of 64-bit hashes, in a fixed number of bits; it may hold more than was put in."""
 
@@ -151,11 +144,70 @@ def grams_of(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "h long, n int")
 
 
+_RUN = {"d": pa.int64(), "t": pa.int64(), "h": pa.int64(), "c": pa.int64(), "p": pa.int32(), "s": pa.int32(), "e": pa.int32(), "first": pa.bool_()}
+_PIECE = {"d": pa.int64(), "t": pa.int64(), "h": pa.int64(), "k": pa.int64(), "p": pa.int32(), "left": pa.binary(), "right": pa.binary(), "s": pa.int32(), "e": pa.int32(), "first": pa.bool_()}
+
+
+def _ddl(kinds: dict) -> str:
+    return ", ".join(f"`{n}` {({pa.int64(): 'long', pa.int32(): 'int', pa.binary(): 'binary', pa.bool_(): 'boolean'})[k]}" for n, k in kinds.items())
+
+
+def _joined(d: np.ndarray, t: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Overlapping or touching stretches s to e of the same text as one."""
+    if not len(d):
+        return d, t, s, e
+    at = np.lexsort((s, t, d))
+    d, t, s, e = d[at], t[at], s[at], e[at]
+    new = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]))
+    far = np.maximum.accumulate(e.astype(np.int64) + (np.cumsum(new) << 32)) - (np.cumsum(new) << 32)
+    new[1:] |= s[1:] > far[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(d)) - 1
+    return d[first], t[first], s[first], far[last].astype(np.int32)
+
+
+def _parted(table: pa.Table, by: list[str], kinds: dict) -> Iterator[pa.RecordBatch]:
+    """The first row of each class by (d, t, p), marked; of the others only their stretches s to e, joined."""
+    if not table.num_rows:
+        return
+    names = list(dict.fromkeys(["p", "t", "d", *reversed(by)]))
+    keys = [table[n].to_numpy() if table.schema.field(n).type != pa.binary() else np.unique(np.array(table[n].to_pylist(), object), return_inverse=True)[1] for n in names]
+    at = np.lexsort(keys)
+    new = np.zeros(len(at), bool)
+    new[0] = True
+    for n, k in zip(names, keys, strict=True):
+        if n in by:
+            k = k[at]
+            new[1:] |= k[1:] != k[:-1]
+    firsts = table.take(pa.array(at[new])).append_column("first", pa.array(np.ones(int(new.sum()), bool)))
+    yield from firsts.select(list(kinds)).to_batches(max_chunksize=20_000)
+    gone = at[~new]
+    d, t, s, e = _joined(*(table[n].to_numpy()[gone] for n in ("d", "t", "s", "e")))
+    empty = {n: pa.nulls(len(d), k) for n, k in kinds.items()}
+    rest = pa.table(empty | {"d": d, "t": t, "s": s, "e": e, "first": np.zeros(len(d), bool)}, schema=pa.schema(list(kinds.items())))
+    yield from rest.to_batches(max_chunksize=20_000)
+
+
+def _gathered(rows: Iterator[pa.RecordBatch], by: list[str], kinds: dict) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for b in rows:
+        held.append(b)
+        n += b.num_rows
+        if n >= LOCAL_ROWS:
+            yield from _parted(pa.Table.from_batches(held), by, kinds)
+            held, n = [], 0
+    if held:
+        yield from _parted(pa.Table.from_batches(held), by, kinds)
+
+
 def runs_of(texts: DataFrame, repeated: np.ndarray) -> DataFrame:
-    """(d, t, h, c, p, s, e): runs of windows whose anchor's gram may be repeated. c: hash of the run's bytes and of its place from the anchor p; s, e: its windows' starts."""
+    """Runs of windows whose anchor's gram may be repeated. c: hash of the run's bytes and of its place from the anchor p; s, e: its windows' starts.
+
+    A task's own repeats are told apart here (first is false, and only d, t, s, e are set).
+    """
     sent = texts.sparkSession.sparkContext.broadcast(repeated)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows, BATCH_BYTES):
             raw, at = text_bytes(b.column(2))
             prints, row, p, s, e, h = runs(raw, at)
@@ -166,18 +218,42 @@ def runs_of(texts: DataFrame, repeated: np.ndarray) -> DataFrame:
             rows_ = pa.array(row)
             yield _batch([b.column(0).take(rows_), b.column(1).take(rows_), h, c, *((x - base).astype(np.int32) for x in (p, s, e))], ["d", "t", "h", "c", "p", "s", "e"])
 
-    return texts.select("d", "t", "text").mapInArrow(run, "d long, t long, h long, c long, p int, s int, e int")
+    return texts.select("d", "t", "text").mapInArrow(lambda rows: _gathered(each(rows), ["h", "c"], _RUN), _ddl(_RUN))
+
+
+def first_runs(found: DataFrame) -> DataFrame:
+    """The same rows with one first run for each h and c in the corpus. A class has a row for each task before at most."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in rows:
+            h, c, d, t, s, e = (b.column(n).to_numpy() for n in ("h", "c", "d", "t", "s", "e"))
+            if not len(h):
+                continue
+            new = np.append(last != (h[0], c[0]), (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
+            last = h[-1], c[-1]
+            kept = b.filter(pa.array(new))
+            yield pa.RecordBatch.from_arrays([kept.column(n) for n in _RUN], schema=pa.schema(list(_RUN.items())))
+            d, t, s, e = _joined(d[~new], t[~new], s[~new], e[~new])
+            empty = {n: pa.nulls(len(d), k) for n, k in _RUN.items()}
+            yield from pa.table(empty | {"d": d, "t": t, "s": s, "e": e, "first": np.zeros(len(d), bool)}, schema=pa.schema(list(_RUN.items()))).to_batches()
+
+    rows = found.where("first").repartition("h", "c").sortWithinPartitions("h", "c", "d", "t", "p")
+    return rows.mapInArrow(run, _ddl(_RUN))
 
 
 def pieces_of(texts: DataFrame, wanted: DataFrame, held: np.ndarray) -> DataFrame:
-    """(d, t, p, h, k, left, right): the pieces of the wanted runs (d, t, w: array of h, p, s, e). k: hash of the core and its place from the anchor p; left, right: the bytes beside it."""
+    """The pieces of the wanted runs (d, t, w: array of h, p, s, e). k: hash of the core and its place from the anchor; p: where the core starts; left, right: the bytes beside it.
+
+    A task's own repeats are told apart as in runs_of.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(held)
 
     def skip(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             yield b.select(["d", "t", "text"]).filter(pa.array(Filter.has(sent.value, b.column(3).to_numpy())))
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows, BATCH_BYTES):
             raw, at = text_bytes(b.column(2))
             prints = Prints(raw)
@@ -199,11 +275,13 @@ def pieces_of(texts: DataFrame, wanted: DataFrame, held: np.ndarray) -> DataFram
             data = raw.tobytes()
             left = [data[x:y] for x, y in zip(first.tolist(), a.tolist(), strict=True)]
             right = [data[x:y] for x, y in zip(z.tolist(), last.tolist(), strict=True)]
-            rows_ = pa.array(row)
-            yield _batch([b.column(0).take(rows_), b.column(1).take(rows_), (a - at[row]).astype(np.int32), h, k, pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["d", "t", "p", "h", "k", "left", "right"])
+            rows_, base = pa.array(row), at[row]
+            starts = [(x - base).astype(np.int32) for x in (a, first, p - least + 1)]
+            yield _batch([b.column(0).take(rows_), b.column(1).take(rows_), h, k, starts[0], pa.array(left, pa.binary()), pa.array(right, pa.binary()), *starts[1:]], list(_PIECE)[:-1])
 
-    some = texts.select("d", "t", "text", F.xxhash64("d", "t").alias("x")).mapInArrow(skip, "d long, t long, text string").dropDuplicates(["d", "t"])
-    return some.join(wanted, ["d", "t"]).select("d", "t", "text", "w").mapInArrow(run, "d long, t long, p int, h long, k long, left binary, right binary")
+    some = texts.select("d", "t", "text", F.xxhash64("d", "t").alias("x")).mapInArrow(skip, "d long, t long, text string")
+    met = some.join(wanted, ["d", "t"]).select("d", "t", "text", "w")
+    return met.mapInArrow(lambda rows: _gathered(each(rows), ["h", "k", "left", "right"], _PIECE), _ddl(_PIECE))
 
 
 def repeated_windows(firsts: list[tuple]) -> list[tuple[int, int, int, int]]:
@@ -237,38 +315,59 @@ def repeated_windows(firsts: list[tuple]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def sorted_repeats(firsts: DataFrame) -> DataFrame:
-    """(d, t, s, e) of repeated windows among the first occurrences (h, k, left, right, d, t, p) of pieces, one core after another."""
+def sorted_repeats(pieces: DataFrame) -> DataFrame:
+    """(d, t, s, e) of repeated windows among pieces, one core after another.
+
+    Of equal pieces the first stands for all; the pieces of a core that differ are sorted by suffix.
+    A core has its few bytes left and right in as many variants as the corpus has, times the tasks before at most.
+    """
+    names = ["h", "k", "left", "right", "d", "t", "p", "s", "e"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, out = [], None, []
+        at, held, out = None, [], []
 
         def told() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["d", "t", "s", "e"])
+            d, t, s, e = _joined(*(np.array([x[i] for x in out], k) for i, k in enumerate((np.int64, np.int64, np.int32, np.int32))))
             out.clear()
-            return batch
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(s), pa.array(e)], names=["d", "t", "s", "e"])
+
+        def close() -> None:
+            firsts, last = [], None
+            for left, right, d, t, p, s, e in held:
+                if (left, right) == last:
+                    out.append((d, t, s, e))
+                else:
+                    firsts.append((d, t, p, left, right))
+                    last = left, right
+            if len(firsts) > 1:
+                out.extend(repeated_windows(firsts))
 
         for b in rows:
             h, k = b.column(0).to_numpy(), b.column(1).to_numpy()
-            edge = np.append(0, np.flatnonzero((h[1:] != h[:-1]) | (k[1:] != k[:-1])) + 1)
-            ends = np.append(edge[1:], len(h))
-            for x, y in zip(edge.tolist(), ends.tolist(), strict=True):
-                here = (h[x], k[x])
-                if here != at:
-                    if len(held) > 1 or held and held[0].num_rows > 1:
-                        out += repeated_windows([r for part in held for r in zip(*(c.to_pylist() for c in part.columns), strict=True)])
-                    held, at = [], here
-                held.append(b.slice(x, y - x).select(["d", "t", "p", "left", "right"]))
+            if not len(h):
+                continue
+            same = np.append(at == (h[0], k[0]), (h[1:] == h[:-1]) & (k[1:] == k[:-1]))
+            lonely = ~same & ~np.append(same[1:], False)
+            lonely[-1] = False  # the next batch may go on with it
+            if lonely[0] and len(held) > 1:
+                close()
+                held = []
+            keep = np.flatnonzero(~lonely)
+            for i, row in zip(keep.tolist(), zip(*(b.column(n).take(pa.array(keep)).to_pylist() for n in names[2:]), strict=True), strict=True):
+                if not same[i]:
+                    if len(held) > 1:
+                        close()
+                    held = []
+                held.append(row)
+            at = h[-1], k[-1]
             if len(out) > 20_000:
                 yield told()
-        if len(held) > 1 or held and held[0].num_rows > 1:
-            out += repeated_windows([r for part in held for r in zip(*(c.to_pylist() for c in part.columns), strict=True)])
+        if len(held) > 1:
+            close()
         yield told()
 
-    cores = firsts.groupBy("h", "k").agg(F.count("*").alias("n")).where("n > 1").select("h", "k")
-    rows = firsts.join(cores, ["h", "k"], "left_semi")
-    return rows.repartition("h", "k").sortWithinPartitions("h", "k").select("h", "k", "d", "t", "p", "left", "right").mapInArrow(run, "d long, t long, s int, e int")
+    rows = pieces.select(*names).repartition("h", "k").sortWithinPartitions("h", "k", "left", "right", "d", "t", "p")
+    return rows.mapInArrow(run, "d long, t long, s int, e int")
 
 
 def _merged(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,23 +377,21 @@ def _merged(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)]
 
 
-def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, t, s, e): starts of windows, s to e exclusive, that start earlier elsewhere; d, t name the texts as _texts does."""
-    texts = _texts(docs, key, text)
+def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """(d, t, w: array of s, e): starts of windows, s to e exclusive, that start earlier elsewhere; d, t name the texts as _texts does. With the path of the table."""
+    spark, texts = docs.sparkSession, _texts(docs, key, text)
     repeated = Filter.of(grams_of(texts).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "h")
-    found = cut(runs_of(texts, repeated))
-    order = F.struct("d", "t", "p", "s", "e")
-    firsts = cut(found.groupBy("h", "c").agg(F.min(order).alias("f"), F.count("*").alias("n")))
-    again = firsts.where("n > 1").select("h", "c", F.col("f.d").alias("d0"), F.col("f.t").alias("t0"), F.col("f.p").alias("p0"))
-    copies = found.join(again, ["h", "c"]).where("d <> d0 or t <> t0 or p <> p0").select("d", "t", "s", "e")
+    found, path1 = written(runs_of(texts, repeated), "runs")
+    runs_, path2 = written(first_runs(found), "runs")
+    firsts = runs_.where("first")
     several = firsts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = firsts.join(several, "h", "left_semi").select("h", "f.*").groupBy("d", "t").agg(F.collect_list(F.struct("h", "p", "s", "e")).alias("w"))
-    wanted = cut(wanted)
-    pieces = cut(pieces_of(texts, wanted, Filter.of(wanted.select(F.xxhash64("d", "t").alias("x")), "x")))
-    tops = cut(pieces.groupBy("h", "k", "left", "right").agg(F.min(F.struct("d", "t", "p")).alias("f"), F.count("*").alias("n")).select("h", "k", "left", "right", "n", F.col("f.d").alias("d"), F.col("f.t").alias("t"), F.col("f.p").alias("p")))
-    twice = tops.where("n > 1").select("h", "k", "left", "right", F.col("d").alias("d0"), F.col("t").alias("t0"), F.col("p").alias("p0"))
-    more = pieces.join(twice, ["h", "k", "left", "right"]).where("d <> d0 or t <> t0 or p <> p0").select("d", "t", (F.col("p") - F.length("left")).alias("s"), (F.col("p") + F.length("right") - (PIECE - 1) + 1).alias("e"))
-    return copies.unionByName(more).unionByName(sorted_repeats(tops.drop("n")))
+    wanted, path3 = written(firsts.join(several, "h").groupBy("d", "t").agg(F.collect_list(F.struct("h", "p", "s", "e")).alias("w")), "wanted")
+    pieces, path4 = written(pieces_of(texts, wanted, Filter.of(wanted.select(F.xxhash64("d", "t").alias("x")), "x")), "pieces")
+    spans = [x.where("not first").select("d", "t", "s", "e") for x in (found, runs_, pieces)]
+    every = sorted_repeats(pieces.where("first")).unionByName(spans[0]).unionByName(spans[1]).unionByName(spans[2])
+    out, path = written(every.groupBy("d", "t").agg(F.collect_list(F.struct("s", "e")).alias("w")), "spans")
+    erase(spark, path1, path2, path3, path4)
+    return out, path
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,7 +402,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ordered by a hash of the text. Other columns play no part.
     """
     texts = _texts(docs, key, text)
-    spans = cut(removed_spans(docs, key, text).groupBy("d", "t").agg(F.collect_list(F.struct("s", "e")).alias("w")))
+    spans, _ = removed_spans(docs, key, text)
     held = texts.sparkSession.sparkContext.broadcast(Filter.of(spans.select(F.xxhash64("d", "t").alias("x")), "x"))
     rows = docs.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
     whole = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(_MOST)).alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
