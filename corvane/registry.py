@@ -22,9 +22,15 @@ def query(sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    from corvane.plans import edits, metrics, texts  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
