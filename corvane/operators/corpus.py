@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 
+from corvane.sources.shared import cut
+
 from .dedup import first_seen, small
 from .perturb import numbered_pool
 
@@ -49,7 +51,7 @@ def assemble(base: DataFrame | None, layers: list[Layer], ban: DataFrame | None)
         if layer.limit is not None:
             last = rows.where("status = 'added'").select("ordinal").orderBy("ordinal").limit(layer.limit).agg(F.max("ordinal").alias("last"), F.count("*").alias("n"))
             rows = rows.crossJoin(F.broadcast(last)).where((F.col("n") < layer.limit) | (F.col("ordinal") <= F.col("last")))
-        rows = rows.select("text", "domain", "kind", "ordinal", "layer", "status", "k")
+        rows = cut(rows.select("text", "domain", "kind", "ordinal", "layer", "status", "k"))
         out = rows if out is None else out.unionByName(rows)
     return out.drop("k")
 
@@ -137,8 +139,9 @@ def edit_layer(parents: DataFrame, edits: DataFrame, reserve: float, per_family:
     trained = parents.join(small(reserved), "parent_id", "left_anti")
     changed = edits.join(trained.select("parent_id", F.col("text").alias("clean")), "parent_id").where(T.normalize(F.col("text")) != T.normalize(F.col("clean")))
     harmful = changed.where(F.col("family") != benign).withColumn("k", rank(["family"], seed, ["parent_id", "ordinal"])).where(F.col("k") <= per_family)
-    rows = trained.select("text", "domain", F.lit("clean_parent").alias("kind"), F.lit(0).alias("o1"), F.col("parent_id").alias("o2"), F.lit(0).cast("long").alias("o3"))
+    rows = trained.select("text", "domain", F.lit("clean_parent").alias("kind"), F.lit(0).alias("o1"), F.col("parent_id").cast("string").alias("o2"), F.lit(0).cast("long").alias("o3"))
     rows = rows.unionByName(harmful.select("text", F.lit("perturbed").alias("domain"), F.concat(F.lit("pert_"), "family").alias("kind"), F.lit(1).alias("o1"), F.col("family").alias("o2"), F.col("k").cast("long").alias("o3")))
-    rows = rows.unionByName(changed.where(F.col("family") == benign).select("text", F.lit("perturbed").alias("domain"), F.lit(benign).alias("kind"), F.lit(2).alias("o1"), F.col("parent_id").alias("o2"), F.col("ordinal").cast("long").alias("o3")))
+    rows = rows.unionByName(changed.where(F.col("family") == benign).select("text", F.lit("perturbed").alias("domain"), F.lit(benign).alias("kind"), F.lit(2).alias("o1"), F.col("parent_id").cast("string").alias("o2"), F.col("ordinal").cast("long").alias("o3")))
+    rows = cut(rows)
     keyed = rows.withColumns({"k": T.folded_key(F.col("text")), "o": F.struct("o1", "o2", "o3")})
     return first_seen(keyed, ["k"], "o").select("text", "domain", "kind")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.sources.shared import cut
 
 #: Rows of a ban up to which it is broadcast.
 BROADCAST_ROWS = 100_000
@@ -50,7 +51,7 @@ def admit(docs: DataFrame, ban: DataFrame, domains: tuple[str, ...], need: int,
     grams = sharing_grams(docs, ban, order, text).withColumn("__gram", F.lit(True))
     exact = small(ban.select(T.folded_key(F.col(text)).alias("__k")).distinct()).withColumn("__exact", F.lit(True))
     told = docs.withColumns({"__k": T.folded_key(F.col(text)), "__ok": ok}).select(order, domain, "__k", "__ok").join(exact, "__k", "left").join(grams, order, "left")
-    told = told.withColumns({"__exact": F.coalesce("__exact", F.lit(False)), "__gram": F.coalesce("__gram", F.lit(False))})
+    told = cut(told.withColumns({"__exact": F.coalesce("__exact", F.lit(False)), "__gram": F.coalesce("__gram", F.lit(False))}))
     out = seen = None
     for d in domains:
         rows = told.where(F.col(domain) == d)
@@ -61,7 +62,7 @@ def admit(docs: DataFrame, ban: DataFrame, domains: tuple[str, ...], need: int,
         rows = rows.withColumn("status", status)
         # the row that fills the need: the need-th smallest in order among the admitted
         last = rows.where("status = 'admit'").select(order).orderBy(order).limit(need).agg(F.max(order).alias("last"), F.count("*").alias("n"))
-        rows = rows.crossJoin(F.broadcast(last)).where((F.col("n") < need) | (F.col(order) <= F.col("last"))).select(order, domain, "__k", "status")
+        rows = cut(rows.crossJoin(F.broadcast(last)).where((F.col("n") < need) | (F.col(order) <= F.col("last"))).select(order, domain, "__k", "status"))
         out = rows if out is None else out.unionByName(rows)
         mine = rows.where("status = 'admit'").select("__k")
         seen = mine if seen is None else seen.unionByName(mine)

@@ -232,6 +232,7 @@ def rule_records(docs: DataFrame, key: str, normal: str, rules: dict[str, dict[s
     for rule, severities in rules.items():
         for severity, rate in severities.items():
             rows = case_lower(docs, normal) if rule == "case_lower" else RULES[rule](docs, key, normal, rate, f"{seed}:{rule}:{severity}")
-            rows = rows.where(F.col("edited") != F.col(normal)).select(F.concat(F.col(key).cast("string"), F.lit(f":{rule}:{severity}")).alias("sample_id"), F.col(key).cast("string").alias("parent_sample_id"), F.lit(rule).alias("perturbation"), F.lit(severity).alias("severity"), F.lit(rate).alias("requested_rate"), F.col("realized").alias("realized_rate"), F.col(normal).alias("clean_text"), F.col("edited").alias("perturbed_text"), F.sha2("edited", 256).alias("text_hash"))
+            # the number keeps the filter above the edits: within them it would be computed for every piece
+            rows = rows.withColumn("__b", F.monotonically_increasing_id()).where((F.col("edited") != F.col(normal)) & (F.col("__b") >= 0)).select(F.concat(F.col(key).cast("string"), F.lit(f":{rule}:{severity}")).alias("sample_id"), F.col(key).cast("string").alias("parent_sample_id"), F.lit(rule).alias("perturbation"), F.lit(severity).alias("severity"), F.lit(rate).alias("requested_rate"), F.col("realized").alias("realized_rate"), F.col(normal).alias("clean_text"), F.col("edited").alias("perturbed_text"), F.sha2("edited", 256).alias("text_hash"))
             out = rows if out is None else out.unionByName(rows)
     return out.join(done.select("sample_id"), "sample_id", "left_anti") if done is not None else out

@@ -35,7 +35,7 @@ def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings(spark, sf_dir).select("vec_id", "v", F.when(F.col("label") < 5, "g").otherwise("r").alias("side"))
 
 
-_SUMS = f"with s as (select {_sigma('label >= 5')} as sigma), e as (select vec_id, v, case when label < 5 then 'g' else 'r' end as side from {E_SQL}), k as (select a.side as x, b.side as y, sum(exp(-list_distance(a.v, b.v) ** 2 / (2 * sigma * sigma))) as t from e a, e b, s group by 1, 2), c as (select count(*) filter (where side = 'g') as n, count(*) filter (where side = 'r') as m from e), p as (select max(t) filter (where x = 'g' and y = 'g') as gg, max(t) filter (where x = 'r' and y = 'r') as rr, max(t) filter (where x = 'g' and y = 'r') as gr from k)"
+_SUMS = f"with s as (select {_sigma('label >= 5')} as sigma), e as (select vec_id, v, case when label < 5 then 'g' else 'r' end as side from {E_SQL}), k as (select a.side as x, b.side as y, sum(exp(-(list_distance(a.v, b.v) ** 2) / (2 * sigma * sigma))) as t from e a, e b, s group by 1, 2), c as (select count(*) filter (where side = 'g') as n, count(*) filter (where side = 'r') as m from e), p as (select max(t) filter (where x = 'g' and y = 'g') as gg, max(t) filter (where x = 'r' and y = 'r') as rr, max(t) filter (where x = 'g' and y = 'r') as gr from k)"
 
 
 def _mmd(spark: SparkSession, sf_dir: str, unbiased: bool) -> DataFrame:
@@ -68,7 +68,7 @@ DRAWS = 8
 @query(
     _SUMS.replace("with s as", "with recursive s as")
     + f""", d as (select draw, side, vec_id, v from (select draw, sd as side, vec_id, v, row_number() over (partition by draw, sd order by sha256('17:' || draw || ':' || sd || ':' || vec_id), vec_id) as k from (select vec_id, v from e where side = 'r'), (select unnest(range(0, {DRAWS})) as draw), (select unnest(['l', 'r']) as sd)), c where k <= least(n, m, m // 2)),
-    q as (select vec_id as a_id, v from e where side = 'r'), kk as (select a.a_id as i, b.a_id as j, exp(-list_distance(a.v, b.v) ** 2 / (2 * sigma * sigma)) as kv from q a, q b, s),
+    q as (select vec_id as a_id, v from e where side = 'r'), kk as (select a.a_id as i, b.a_id as j, exp(-(list_distance(a.v, b.v) ** 2) / (2 * sigma * sigma)) as kv from q a, q b, s),
     nv as (select a.draw, sum(case when a.side = b.side then kv else -kv end) / (least(n, m, m // 2) ** 2) as x from d a join d b on a.draw = b.draw join kk on kk.i = a.vec_id and kk.j = b.vec_id, c group by a.draw, n, m),
     nn as (select avg(x) as mu, stddev_pop(x) as sd from nv)
     select round(gg / (n * n) + rr / (m * m) - 2 * gr / (n * m), {PLACES}) as raw_mmd, round(sigma, {PLACES}) as bandwidth, n as n_generated, m as n_reference, round((gg / (n * n) + rr / (m * m) - 2 * gr / (n * m) - mu) / greatest(sd, 1e-12), 4) as z_score, round(mu, {PLACES}) as null_mean, round(sd, {PLACES}) as null_std from p, c, s, nn"""
@@ -81,7 +81,7 @@ def null_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with s as (select {_sigma('label >= 5', 0)} as sigma), e as (select * from {E_SQL}), w as (select a.label, count(distinct a.vec_id) as n, avg(exp(-list_distance(a.v, b.v) ** 2 / (2 * sigma * sigma))) as kbb from e a join e b on a.label = b.label, s group by a.label), x as (select b.label, avg(exp(-list_distance(a.v, b.v) ** 2 / (2 * sigma * sigma))) as kab from e a, e b, s where a.label >= 5 group by b.label) select label, n, round(sigma, {PLACES}) as bandwidth, round(kbb, {PLACES}) as kbb, round(kab, {PLACES}) as kab from w join x using (label), s"
+    f"with s as (select {_sigma('label >= 5', 0)} as sigma), e as (select * from {E_SQL}), w as (select a.label, count(distinct a.vec_id) as n, avg(exp(-(list_distance(a.v, b.v) ** 2) / (2 * sigma * sigma))) as kbb from e a join e b on a.label = b.label, s group by a.label), x as (select b.label, avg(exp(-(list_distance(a.v, b.v) ** 2) / (2 * sigma * sigma))) as kab from e a, e b, s where a.label >= 5 group by b.label) select label, n, round(sigma, {PLACES}) as bandwidth, round(kbb, {PLACES}) as kbb, round(kab, {PLACES}) as kab from w join x using (label), s"
 )
 def pool_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embeddings(spark, sf_dir)
