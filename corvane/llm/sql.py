@@ -1,3 +1,39 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .quality import LEAST_SHARE, LEAST_WORDS, LINE_LIMIT
+
+#: The words of a text: runs without white space.
+WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
+
+
+def words(t: str) -> str:
+    return WORDS.format(t=t)
+
+
+OP6 = rf"""with recursive t as (select doc_id, {words("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as g from t),
+x as (select doc_id, unnest(g) as g from s),
+l as (select a.doc_id as u, b.doc_id as v, count(*) as n from x a join x b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+e as (select u, v from l join s a on a.doc_id = u join s b on b.doc_id = v where 100 * n >= 75 * (len(a.g) + len(b.g) - n)),
+r as (select u as doc_id, u as other from e union select r.doc_id, e.v from r join e on e.u = r.other)
+select s.doc_id, len(g)::bigint as n_shingles, least(s.doc_id, coalesce(min(other), s.doc_id)) as component_id, s.doc_id <= coalesce(min(other), s.doc_id) as kept from s left join r using (doc_id) group by s.doc_id, g"""
+
+OP7 = """with p as (select page_id, encode(coalesce(html, '')) as b from pages), m as (select b, max(page_id) as top from p where octet_length(b) >= 1000 group by b)
+select page_id, octet_length(p.b)::bigint as payload_bytes, sha1(p.b) as payload_digest, case when top <> page_id then 'revisit' else 'response' end as record_type, case when top <> page_id then top end as refers_to from p left join m using (b)"""
+
+OP9 = rf"""with t as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as t, {words("coalesce(text, '')")} as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from t)),
+dup as (select doc_id, unnest(range(i, i + 8)) as p from (select doc_id, i, count(*) over (partition by doc_id, g) as n from win) where n > 1),
+rep as (select doc_id, count(distinct p) as n_repeat_words from dup group by doc_id),
+ln as (select doc_id, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(t, chr(10))) as line from t) where len({words('line')}) > 0 group by doc_id),
+base as (select t.doc_id, host, t, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words from t left join rep using (doc_id) left join ln using (doc_id)),
+doc as (select distinct host, t from base),
+nl as (select host, t, i, array_to_string({words('line')}, ' ') as line, len({words('line')}) as n from (select host, t, lower(unnest(string_split(t, chr(10)))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i from doc) where len({words('line')}) > 0),
+two as (select host, t, list_sort(list_distinct(list(line)))[1:2] as two from nl group by host, t),
+by_line as (select host, line, count(distinct coalesce(case when two[1] = line then two[2] else two[1] end, chr(1))) as c from nl join two using (host, t) group by host, line),
+gone as (select host, t from nl join by_line using (host, line) group by host, t having sum(case when c > {LINE_LIMIT} then 0 else n end) < {LEAST_SHARE} * sum(n) and sum(case when c > {LINE_LIMIT} then 0 else n end) < {LEAST_WORDS})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and gone.t is null as kept from base left join gone using (host, t)"""
+
+ORACLES: dict[str, str] = {"op6_minhash": OP6, "op7_warc": OP7, "op9_quality_rules": OP9}
