@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values. A word: letters, digits and underscores, with apostrophes and hyphens inside. A run: the part between word boundaries.
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
@@ -177,7 +178,7 @@ def dose_label(requested: Column, sample_id: Column, severity: Column) -> Column
 _TOKEN = re.compile(r"\b[\w'-]+\b|[^\w\s]")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_edit_ratio(before: pd.Series, after: pd.Series) -> pd.Series:
     """Changed tokens by tokens before, after the opcodes of a longest-matching-block comparison (no SQL function is that)."""
     out = []
@@ -188,7 +189,7 @@ def token_edit_ratio(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("array<struct<start:int,end:int,before:string,after:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("before", T.StringType()), T.StructField("after", T.StringType())])))
 def changed_spans(before: pd.Series, after: pd.Series) -> pd.Series:
     """Spans that turn before into after, by characters."""
     out = []
@@ -198,7 +199,7 @@ def changed_spans(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def case_folded(text: pd.Series) -> pd.Series:
     """White space collapsed and full case folding, which lower() isn't for letters like ß."""
     return text.map(lambda t: None if t is None else " ".join(t.split()).casefold())

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from corvane.functions import text as T
 
@@ -87,7 +88,7 @@ def anchor_exact(evidence: Column, perturbed: Column, clean: Column) -> Column:
     return F.coalesce((F.length(a) >= LEAST_ANCHOR) & F.exists(_unchanged(perturbed, clean), lambda s: F.contains(s, a)), F.lit(False))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _close(quoted: pd.Series, sentences: pd.Series) -> pd.Series:
     return pd.Series([any(difflib.SequenceMatcher(a=q, b=s).ratio() >= 0.85 for s in ss) for q, ss in zip(quoted, sentences, strict=True)])
 
