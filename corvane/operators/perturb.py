@@ -33,23 +33,28 @@ def chosen(eligible: Column, seed: int | str, key: Column, count: Column) -> Col
 
 
 def _places(parts: Column, test) -> Column:
-    """The odd places whose run passes the test, which gets the place and the run."""
-    return F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), lambda i: (i < F.size(parts)) & test(i, F.get(parts, i)))
+    """The odd places whose run passes the test, which gets the parts, the place and the run."""
+    return F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), lambda i: (i < F.size(parts)) & test(parts, i, F.get(parts, i)))
 
 
 def edit_runs(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str, test, change, after=None) -> DataFrame:
-    """docs with n_eligible, n_edited, realized and edited. change(run) gives the new run; after(separator) what becomes of the one behind it."""
-    rows = docs.withColumn("__p", runs(F.col(normal))).withColumn("__e", _places(F.col("__p"), lambda i, w: test(F.col("__p"), i, w)))
-    rows = rows.withColumn("n_eligible", F.size("__e").cast("long")).withColumn("__c", chosen(F.col("__e"), seed, F.col(key), choose_count(F.size("__e"), rate)))
+    """docs with n_eligible, n_edited, realized and edited. change(run) gives the new run; after(separator) what becomes of the one behind it.
 
-    def piece(x: Column, i: Column) -> Column:
-        new = F.when(F.array_contains("__c", i), change(x))
-        if after is not None:
-            new = new.when(F.array_contains("__c", i - 1), after(x))
-        return new.otherwise(x)
+    Parts and places are bound within one expression: as columns, they could be carried into the functions over their elements and be computed for each.
+    """
+
+    def edited(p: Column, e: Column, c: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            new = F.when(F.array_contains(c, i), change(x))
+            if after is not None:
+                new = new.when(F.array_contains(c, i - 1), after(x))
+            return new.otherwise(x)
+
+        return F.struct(F.size(e).cast("long").alias("n_eligible"), F.size(c).cast("long").alias("n_edited"), F.array_join(F.transform(p, piece), "").alias("edited"))
 
-    rows = rows.withColumn("edited", F.array_join(F.transform("__p", piece), ""))
-    return rows.withColumn("n_edited", F.size("__c").cast("long")).withColumn("realized", F.col("n_edited") / F.greatest("n_eligible", F.lit(1))).drop("__p", "__e", "__c")
+    told = T.let(runs(F.col(normal)), lambda p: T.let(_places(p, test), lambda e: T.let(chosen(e, seed, F.col(key), choose_count(F.size(e), rate)), lambda c: edited(p, e, c))))
+    rows = docs.withColumn("__r", told).withColumns({n: F.col(f"__r.{n}") for n in ("n_eligible", "n_edited", "edited")}).drop("__r")
+    return rows.withColumn("realized", F.col("n_edited") / F.greatest("n_eligible", F.lit(1)))
 
 
 def article_delete(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str) -> DataFrame:
@@ -86,18 +91,20 @@ def with_sentences(docs: DataFrame, key: str, normal: str, rate: float, seed: in
     """docs with __s (sentences), __e (eligible places from 0) and __c (chosen places)."""
     from .sampling import third
 
-    rows = docs.withColumn("__s", T.sentences(F.col(normal)))
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("__s") - 1, F.lit(0))), lambda i: i < F.size("__s"))
-    if position not in (None, "uniform"):
+    def eligible(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        if fits is not None:
+            places = F.filter(places, lambda i: fits(F.get(s, i)))
+        if position in (None, "uniform"):
+            return places
         # spans of sentences joined by single spaces
-        ends = F.aggregate("__s", F.array().cast("array<int>"), lambda a, s: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1) + 1, F.lit(0)) + F.length(s))))
-        rows = rows.withColumn("__ends", ends)
-        places = F.filter(places, lambda i: third(F.get("__ends", i) - F.length(F.get("__s", i)), F.get("__ends", i), F.length(normal), position))
-    if fits is not None:
-        places = F.filter(places, lambda i: fits(F.get("__s", i)))
-    rows = rows.withColumn("__e", places)
-    count = F.least(F.size("__e"), F.greatest(F.lit(least), choose_count(F.size("__e"), rate)))
-    return rows.withColumn("__c", chosen(F.col("__e"), seed, F.col(key), count)).drop("__ends")
+        ends = F.aggregate(s, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1) + 1, F.lit(0)) + F.length(x))))
+        return T.let(ends, lambda z: F.filter(places, lambda i: third(F.get(z, i) - F.length(F.get(s, i)), F.get(z, i), F.length(normal), position)))
+
+    count = lambda e: F.least(F.size(e), F.greatest(F.lit(least), choose_count(F.size(e), rate)))
+    told = T.let(T.sentences(F.col(normal)), lambda s: T.let(eligible(s), lambda e: F.struct(s.alias("s"), e.alias("e"), chosen(e, seed, F.col(key), count(e)).alias("c"))))
+    rows = docs.withColumn("__w", told)
+    return rows.withColumns({"__s": F.col("__w.s"), "__e": F.col("__w.e"), "__c": F.col("__w.c")}).drop("__w")
 
 
 def _done(rows: DataFrame, realized: Column) -> DataFrame:
