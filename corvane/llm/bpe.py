@@ -16,6 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import batches
 
 #: Entries of a worker's table of pieces; a full one makes way, and what is used of it moves over.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 120_000
 #: Longer pieces are not remembered.
 CACHE_PIECE = 64
 #: The pieces of the pre-tokenizer, and Unicode's white space.
@@ -164,9 +165,9 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None,
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches(rows):
+        for b in batches(rows, max_bytes=1 << 20):
             both = [c.both(t or "") for t in b.column(at).to_pylist()]
-            new = [pa.array([list(map(int, x.split())) for x, _ in both], pa.list_(pa.int32())), pa.array([d for _, d in both], pa.string())]
+            new = [pa.array([np.fromstring(x, np.int32, sep=" ") for x, _ in both], pa.list_(pa.int32())), pa.array([d for _, d in both], pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*keep, ids, decoded])
 
     return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
@@ -179,7 +180,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sha = codec(path), hashlib.sha256
-        for b in batches(rows):
+        for b in batches(rows, max_bytes=1 << 20):
             n, i, d = [], [], []
             for t in b.column(1).to_pylist():
                 x, y = c.both(t or "")
