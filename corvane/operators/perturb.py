@@ -130,9 +130,9 @@ def sentence_permute(docs: DataFrame, key: str, normal: str, rate: float, seed:
     """Two or more chosen sentences change places among themselves; texts with fewer eligible ones stay."""
     rows = with_sentences(docs, key, normal, rate, seed, position, least=2)
     rows = rows.withColumn("__c", F.when(F.size("__e") >= 2, F.col("__c")).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("__m", _shuffled(F.transform("__c", lambda i: F.get("__s", i)), f"{seed}p", F.col(key), F.lit("s")))
-    new = F.transform("__s", lambda s, i: F.coalesce(F.get("__m", F.array_position("__c", i).cast("int") - 1), s))
-    return _done(rows.withColumn("edited", F.array_join(new, " ")), F.size("__c") / F.greatest(F.size("__s"), F.lit(1))).drop("__m")
+    mixed = T.let(F.transform("__c", lambda i: F.get("__s", i)), lambda items: _shuffled(items, f"{seed}p", F.col(key), F.lit("s")))
+    new = T.let(mixed, lambda m: F.array_join(F.transform("__s", lambda s, i: F.coalesce(F.get(m, F.array_position("__c", i).cast("int") - 1), s)), " "))
+    return _done(rows.withColumn("edited", new), F.size("__c") / F.greatest(F.size("__s"), F.lit(1)))
 
 
 def _ascii(s: Column) -> Column:
@@ -155,7 +155,7 @@ def local_shuffle(docs: DataFrame, key: str, normal: str, rate: float, seed: int
             width = F.least(F.lit(window), n)
             start = _start(f"{seed}w", F.col(key), i, (n - width + 1).cast("long"))
             items = F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.get(p, 2 * (start + k) + 1))
-            new = _shuffled(items, f"{seed}l", F.col(key), i)
+            new = T.let(items, lambda x: _shuffled(x, f"{seed}l", F.col(key), i))
             return T.let(new, lambda m: F.array_join(F.transform(p, lambda x, j: F.when((j % 2 == 1) & ((j - 1) / 2 >= start) & ((j - 1) / 2 < start + width), F.get(m, ((j - 1) / 2).cast("int") - start)).otherwise(x)), ""))
 
         return T.let(_ascii(s), within)
