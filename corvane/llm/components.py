@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -31,6 +31,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         before, seen = seen, _print(edges)
+        del both, least, large, small
+        release(links.sparkSession)
         if before == seen:
             break
     else:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, written
+from .common import batches, cut, release, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -223,12 +223,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     rows, _ = written(sketches(docs, key, text), "sketches")
     classes = cut(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")))
     members = buckets(classes)
+    release(docs.sparkSession)
     wanted = members.select("node").distinct().join(classes.select("node", "rep"), "node")
     sets = full_sets(docs, key, text, wanted)
     stars = members.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
     links = cut(confirm(stars, sets, percent))
+    release(docs.sparkSession)
     roots = cut(components(links))
     more = cut(rest_links(members, sets, roots, percent))
+    release(docs.sparkSession)
     if not more.isEmpty():
         roots = cut(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)))
     named = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
