@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
+
+Null and empty texts fail the quality rules and go there; null sources are one source; rows without a
+doc_id are linked with nothing and stay; of rows with equal doc_id and text one stays; an empty table
+stays empty through all stages. Columns beyond those of documents pass until the last stage.
 """
 
 from __future__ import annotations

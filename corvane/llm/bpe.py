@@ -154,9 +154,10 @@ def codec(path: str) -> Codec:
 
 
 def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """docs with the columns `ids` (array of int) and `decoded` (string). Null texts count as empty and give no ids.
+    """docs with the columns `ids` (array of int) and `decoded` (string). Null texts count as empty and give no ids and an empty string.
 
-    path: the tokenizer's file, at the same place on each machine. Columns named like the new ones are replaced.
+    path: the tokenizer's file, at the same place on each machine. Columns named like the new ones are replaced, others pass
+    through with their nulls. Texts are encoded whole; repeated rows get equal results, an empty table an empty one.
     """
     path = path or default_path()
     keep = [c for c in docs.columns if c not in (ids, decoded)]
@@ -174,7 +175,10 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None,
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256: digests of what encode_decode gives, made where it is made."""
+    """key, n_tokens, ids_sha256, decoded_sha256: digests of what encode_decode gives, made where it is made.
+
+    Null and empty texts have no token and the digests of the empty string; null keys stay null; columns besides key and text play no part.
+    """
     path = path or default_path()
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 

@@ -218,7 +218,11 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """pages without `html`, with `text` and `n_chars` (code points); columns of these names are replaced."""
+    """pages without `html`, with `text` and `n_chars` (code points); columns of these names are replaced, others pass through.
+
+    Null, empty and textless pages have an empty text and n_chars 0; pages of any length and depth are read whole, as events;
+    repeated rows get equal results, an empty table an empty one.
+    """
     keep = [c for c in pages.columns if c not in (html, text, n_chars)]
     schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep), f"`{text}` string, `{n_chars}` long"])
 

@@ -202,8 +202,11 @@ def test_quality(spark):
     rows += [(100 + i, prose(50, 1), "h") for i in range(60)]  # copies of one document are one document
     kept = {r.doc_id: r.kept for r in quality.quality_rules(docs(spark, rows)).collect()}
     assert all(kept[i] for i in range(60) if i % 2) and all(kept[100 + i] for i in range(60))
-    bare = [(i, "\n".join([line, line + "s", line + "t", line + f" {prose(2, i)}"]), "h") for i in range(60)]
-    assert not any(r.kept for r in quality.quality_rules(docs(spark, bare)).collect())
+    boiler = [prose(9, 7000 + k) for k in range(6)]
+    rich = [(1000 + i, "\n".join([*random.Random(i).sample(boiler, 4), *(prose(30, 5000 + 9 * i + k) for k in range(4))]), "h") for i in range(120)]
+    bare = [(i, "\n".join([*random.Random(i).sample(boiler, 4), f"w{i}"]), "h") for i in range(60)]
+    told = quality.quality_rules(docs(spark, rich + bare)).collect()
+    assert not any(r.base_failed for r in told) and {r.doc_id for r in told if r.kept} == {i for i, _, _ in rich}
 
 
 def test_bpe(spark):
