@@ -12,6 +12,17 @@ def words(t: str) -> str:
     return WORDS.format(t=t)
 
 
+OP1 = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, p, substr(h, 2 * p + 1, 200) as g from (select doc_id, h, unnest(range(0, n - 99)) as p from d)),
+f as (select doc_id, p, row_number() over (partition by g order by doc_id, p) as k from w),
+c as (select doc_id, p as s, coalesce(p > max(p) over (partition by doc_id order by p rows between unbounded preceding and 1 preceding) + 100, true) as new from f where k > 1),
+i as (select doc_id, s, sum(new::int) over (partition by doc_id order by s) as i from c),
+r as (select doc_id, min(s) as s, max(s) + 100 as e from i group by doc_id, i),
+t as (select doc_id, count(*) as spans, sum(e - s) as gone from r group by doc_id),
+cut as (select doc_id, coalesce(lag(e) over (partition by doc_id order by s), 0) as a, s as b from r union all select doc_id, max(e), max(n) from r join d using (doc_id) group by doc_id),
+k as (select doc_id, string_agg(substr(h, (2 * a + 1)::bigint, (2 * (b - a))::bigint), '' order by a) as kept from cut join d using (doc_id) group by doc_id)
+select doc_id, n::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join t using (doc_id) left join k using (doc_id)"""
+
 OP6 = rf"""with recursive t as (select doc_id, {words("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
 s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as g from t),
 x as (select doc_id, unnest(g) as g from s),
@@ -36,4 +47,4 @@ by_line as (select host, line, count(distinct coalesce(case when two[1] = line t
 gone as (select host, t from nl join by_line using (host, line) group by host, t having sum(case when c > {LINE_LIMIT} then 0 else n end) < {LEAST_SHARE} * sum(n) and sum(case when c > {LINE_LIMIT} then 0 else n end) < {LEAST_WORDS})
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and gone.t is null as kept from base left join gone using (host, t)"""
 
-ORACLES: dict[str, str] = {"op6_minhash": OP6, "op7_warc": OP7, "op9_quality_rules": OP9}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1, "op6_minhash": OP6, "op7_warc": OP7, "op9_quality_rules": OP9}
