@@ -45,8 +45,8 @@ def assemble(base: DataFrame | None, layers: list[Layer], ban: DataFrame | None)
         n = F.size(T.split_words(T.normalize(F.col("text"))))
         short = (n == 0) | (n < layer.least_words)
         fresh = ~short & F.col("__ban").isNull() & F.col("__seen").isNull()
-        rows = rows.withColumn("__nth", F.when(fresh, F.row_number().over(Window.partitionBy("k", fresh).orderBy("ordinal"))))
-        status = F.when(short, "short").when(F.col("__ban").isNotNull(), "banned").when(F.col("__seen").isNotNull() | (F.col("__nth") > 1), "dup").otherwise("added")
+        rows = rows.join(rows.where(fresh).groupBy("k").agg(F.min("ordinal").alias("__first")), "k", "left")
+        status = F.when(short, "short").when(F.col("__ban").isNotNull(), "banned").when(F.col("__seen").isNotNull() | (fresh & (F.col("ordinal") != F.col("__first"))), "dup").otherwise("added")
         rows = rows.withColumn("status", status)
         if layer.limit is not None:
             last = rows.where("status = 'added'").select("ordinal").orderBy("ordinal").limit(layer.limit).agg(F.max("ordinal").alias("last"), F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -45,8 +45,9 @@ def admit(docs: DataFrame, ban: DataFrame, domains: tuple[str, ...], need: int,
     """docs read in order, domain after domain, with `status`: not_viable, duplicate, eval_exact, eval_ngram or admit.
 
     A domain stops once `need` texts are admitted; rows after that aren't read. Only admitted texts are
-    remembered, over all domains. The domains are few and go one after another on the driver; the rows
-    of each are ranked by counts of fixed slices first, so that no task holds a whole domain.
+    remembered, over all domains. The domains are few and go one after another on the driver. The first
+    of equal texts is a minimum with partial results, and the row that fills the need a top-k, so no task
+    holds a domain or a large group of copies.
     """
     grams = sharing_grams(docs, ban, order, text).withColumn("__gram", F.lit(True))
     exact = small(ban.select(T.folded_key(F.col(text)).alias("__k")).distinct()).withColumn("__exact", F.lit(True))
@@ -57,8 +58,8 @@ def admit(docs: DataFrame, ban: DataFrame, domains: tuple[str, ...], need: int,
         rows = told.where(F.col(domain) == d)
         rows = rows.join(seen.withColumn("__seen", F.lit(True)), "__k", "left") if seen is not None else rows.withColumn("__seen", F.lit(None).cast("boolean"))
         fresh = F.col("__ok") & ~F.col("__exact") & ~F.col("__gram")
-        rows = rows.withColumn("__nth", F.when(fresh, F.row_number().over(Window.partitionBy("__k", fresh).orderBy(order))))
-        status = F.when(~F.col("__ok"), "not_viable").when(F.col("__seen").isNotNull() | (F.col("__nth") > 1), "duplicate").when(F.col("__exact"), "eval_exact").when(F.col("__gram"), "eval_ngram").otherwise("admit")
+        rows = rows.join(rows.where(fresh).groupBy("__k").agg(F.min(order).alias("__first")), "__k", "left")
+        status = F.when(~F.col("__ok"), "not_viable").when(F.col("__seen").isNotNull() | (fresh & (F.col(order) != F.col("__first"))), "duplicate").when(F.col("__exact"), "eval_exact").when(F.col("__gram"), "eval_ngram").otherwise("admit")
         rows = rows.withColumn("status", status)
         # the row that fills the need: the need-th smallest in order among the admitted
         last = rows.where("status = 'admit'").select(order).orderBy(order).limit(need).agg(F.max(order).alias("last"), F.count("*").alias("n"))

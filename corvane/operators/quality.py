@@ -117,7 +117,6 @@ def rewrite_parents(rows: DataFrame, per_domain: int, least_sentences: int, leas
 
     t = F.col(text)
     fits = (F.size(T.sentences(T.normalize(t))) >= least_sentences) & F.size(T.words(t)).between(least_words, most_words)
-    told = rows.withColumn("__fits", fits)
-    nth = F.row_number().over(Window.partitionBy(domain, "__fits").orderBy(order))
-    told = told.withColumn("__n", F.when(F.col("__fits"), nth)).withColumn("picked", F.coalesce(F.col("__n") <= per_domain, F.lit(False)))
-    return told.withColumn("sample_id", F.when(F.col("picked"), F.format_string("relgen-%s-%04d", F.col(domain), F.col("__n")))).drop("__fits", "__n")
+    first = rows.where(fits).select(domain, order).withColumn("__n", F.row_number().over(Window.partitionBy(domain).orderBy(order))).where(F.col("__n") <= per_domain)
+    told = rows.join(F.broadcast(first.select(order, "__n")), order, "left")  # per_domain rows of each domain
+    return told.withColumn("picked", F.col("__n").isNotNull()).withColumn("sample_id", F.when(F.col("picked"), F.format_string("relgen-%s-%04d", F.col(domain), F.col("__n")))).drop("__n")

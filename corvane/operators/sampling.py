@@ -43,7 +43,10 @@ def three_way(rows: DataFrame, domain: str, key: str, domains: tuple[str, ...],
     """rows with `part` (mev, ref, unused) and `parent_id`: of each domain in seeded order, its share of parents, its share of references, and the rest up to a cap."""
     p, r = distribute(parents, len(domains)), distribute(reference, len(domains))
     spec = F.create_map(*[F.lit(x) for i, d in enumerate(domains) for x in (d, p[i])]), F.create_map(*[F.lit(x) for i, d in enumerate(domains) for x in (d, r[i])])
-    ranked = rows.where(F.col(domain).isin(*domains)).withColumn("__n", rank([domain], seed, [key]) - 1).withColumns({"__p": spec[0][F.col(domain)], "__q": spec[1][F.col(domain)]})
+    ranked = rows.where(F.col(domain).isin(*domains)).withColumn("__rank", rank([domain], seed, [key]))
+    if cap is not None:  # a bound that tasks apply before the shuffle
+        ranked = ranked.where(F.col("__rank") <= max(p) + max(r) + cap)
+    ranked = ranked.withColumns({"__n": F.col("__rank") - 1, "__p": spec[0][F.col(domain)], "__q": spec[1][F.col(domain)]}).drop("__rank")
     n, a, b = F.col("__n"), F.col("__p"), F.col("__p") + F.col("__q")
     part = F.when(n < a, "mev").when(n < b, "ref").otherwise("unused")
     place = F.when(n < a, n).when(n < b, n - a).otherwise(n - b)
@@ -66,8 +69,13 @@ def third(start: Column, end: Column, length: Column, position: str | None) -> C
 def cap_kinds(rows: DataFrame, caps: dict[str, int], kind: str, key: str, seed: int, drop: tuple[str, ...] = ()) -> DataFrame:
     """Rows without the dropped kinds, and of capped ones a seeded sample."""
     kept = rows.where(~F.coalesce(F.col(kind).isin(*drop), F.lit(False))) if drop else rows
+    if not caps:
+        return kept
     most = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])
-    return kept.withColumn("__n", rank([kind], seed, [key])).where(most[F.col(kind)].isNull() | (F.col("__n") <= most[F.col(kind)])).drop("__n")
+    capped = F.coalesce(F.col(kind).isin(*caps), F.lit(False))
+    # the largest cap bounds what a task sends of a kind; kinds without a cap aren't ranked
+    some = kept.where(capped).withColumn("__n", rank([kind], seed, [key])).where(F.col("__n") <= max(caps.values())).where(F.col("__n") <= most[F.col(kind)]).drop("__n")
+    return some.unionByName(kept.where(~capped))
 
 
 def repeats(rows: DataFrame, by_kind: dict[str, int], by_source: dict[str, int], kind: str, source: str) -> DataFrame:
