@@ -22,6 +22,22 @@ def rank(by: list[str], seed: int | str, keys: list[str]) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(hashed(seed, *by, *keys), *keys))
 
 
+def with_rank(rows: DataFrame, by: list[str], seed: int | str, keys: list[str], name: str) -> DataFrame:
+    """rows with `name`, the place that rank() gives less 1, for groups of any size.
+
+    A group is cut by the first three digits of the hash; a slice is ranked by itself and moved up by the counts of the slices before.
+    """
+    cut = rows.withColumn("__h", hashed(seed, *by, *keys)).withColumn("__s", F.substring("__h", 1, 3))
+    counts = cut.groupBy(*by, "__s").agg(F.count("*").alias("__c"))
+    shifts = counts.withColumn("__b", F.sum("__c").over(Window.partitionBy(*by).orderBy("__s")) - F.col("__c")).select(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), F.col("__s").alias("__t"), "__b")
+    inner = F.row_number().over(Window.partitionBy(*by, "__s").orderBy("__h", *keys)) - 1
+    same = F.col("__s") == F.col("__t")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    out = cut.withColumn("__i", inner).join(shifts, same)
+    return out.withColumn(name, F.col("__i") + F.col("__b")).drop("__h", "__s", "__t", "__b", "__i", *(f"__by{i}" for i in range(len(by))))
+
+
 def sample(rows: DataFrame, n: int, keys: list[str], seed: int | str) -> DataFrame:
     """n rows in seeded order; Spark takes the first n of each task and of those the first."""
     return rows.withColumn("__h", hashed(seed, *keys)).orderBy("__h", *keys).limit(n).drop("__h")
@@ -87,7 +103,7 @@ def repeats(rows: DataFrame, by_kind: dict[str, int], by_source: dict[str, int],
 
 def block_order(rows: DataFrame, groups: list[str], key: str, block: int, seed: int) -> DataFrame:
     """rows with `block`, `block_rank` (a hash that orders blocks) and `in_block`: groups in seeded order cut into blocks."""
-    ranked = rows.withColumn("__n", rank(groups, seed, [key]) - 1).withColumn("block", (F.col("__n") / block).cast("int"))
+    ranked = with_rank(rows, groups, seed, [key], "__n").withColumn("block", (F.col("__n") / block).cast("int"))
     return ranked.withColumn("in_block", (F.col("__n") % block).cast("int")).withColumn("block_rank", hashed(f"{seed}b", *groups, "block")).drop("__n")
 
 
@@ -96,6 +112,6 @@ def next_walk(rows: DataFrame, key: str, k: int, draws: int, seed: int, n: int)
     per = max(1, n // k)
     cycles = -(-draws // per)
     spread = rows.select(key, F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))).alias("cycle"))
-    ranked = spread.withColumn("__n", F.row_number().over(Window.partitionBy("cycle").orderBy(hashed(seed, "cycle", key), key)) - 1)
+    ranked = with_rank(spread, ["cycle"], seed, [key], "__n")
     out = ranked.where(F.col("__n") < per * k).withColumn("draw", (F.col("cycle") * per + F.floor(F.col("__n") / k)).cast("int"))
     return out.where(F.col("draw") < draws).select("draw", key)
