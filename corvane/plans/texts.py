@@ -9,7 +9,7 @@ from corvane.functions import text as T
 from corvane.operators import dedup, sampling
 from corvane.operators.quality import viable
 from corvane.registry import query
-from corvane.sources.tables import table
+from corvane.sources.tables import spread, table
 
 from . import sqltext as S
 
@@ -19,7 +19,7 @@ VIABLE_SQL = f"(n <> '' and {S.english('n')} and len({S.sentences('n')}) >= {LEA
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, lang, source, and n: the normalized text."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", T.normalize(F.col("text")).alias("n"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).withColumn("n", T.normalize(F.col("text")))
 
 
 NORMAL = f"(select doc_id, text, lang, source, {S.norm('text')} as n from documents)"
@@ -106,7 +106,7 @@ def exact_ban(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select distinct doc_id from (select doc_id, unnest({S.grams('text')}) as g from documents) where g in (select unnest({S.grams('text')}) from benchmark)")
 def ngram_ban(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a 13-gram with a benchmark text."""
-    return dedup.sharing_grams(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id").select("doc_id")
+    return dedup.sharing_grams(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id").select("doc_id")
 
 
 DOMAINS = ("en", "fr", "de", "es")
