@@ -80,32 +80,40 @@ def identity(text: str, host: str) -> list[Column]:
     return [F.coalesce(F.col(host), F.lit("")).alias("__host"), F.xxhash64(t).alias("__h1"), F.xxhash64(F.lit(1), t).alias("__h2")]
 
 
-def depleted(docs: DataFrame, text: str = "text", host: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
-    """(__host, __h1, __h2) of the documents that hardly hold more than boilerplate lines.
+def normal_lines(t: Column) -> Column:
+    """The lines of t, empty ones too, in lower case with single spaces between words."""
+    normal = F.lower(F.translate(t, "\t\x0b\x0c\r", "    "))
+    return F.transform(F.split(normal, "\n", -1), lambda x: F.array_join(F.array_remove(F.split(x, " ", -1), ""), " "))
+
 
-    A line counts once for each distinct document of the host. Near copies of one document are
-    not distinct here: a document is known by its first line in code point order besides the line itself, so a
-    group of copies, however large, counts by its few variants, while a boilerplate line meets other
-    neighbours in each document. The count is a distinct count with partial sums before each shuffle;
-    a line that a third of all documents hold is spread by those neighbours first.
+def common_lines(each: DataFrame, limit: int) -> DataFrame:
+    """(__host, __h, __c): hashes of lines that more than `limit` distinct documents of a host hold, with their counts.
+
+    each: one row for each distinct document of a host, __l: its lines. Counts are summed in part before the shuffle.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    normal = F.lower(F.translate(t, "\t\x0b\x0c\r", "    "))
-    lines = F.filter(F.transform(F.split(normal, "\n", -1), lambda x: F.array_join(F.array_remove(F.split(x, " ", -1), ""), " ")), lambda x: x != "")
+    held = each.select("__host", F.explode(F.array_distinct(F.transform("__l", lambda x: x["h"]))).alias("__h"))
+    return held.groupBy("__host", "__h").agg(F.count("*").alias("__c")).where(F.col("__c") > limit)
+
+
+def distinct_documents(docs: DataFrame, text: str, host: str) -> DataFrame:
+    """(__host, __h1, __h2, __l: hash and number of words of each line) of the distinct documents of each host that have lines."""
+    lines = F.filter(normal_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: x != "")
     each = docs.select(*identity(text, host), lines.alias("__l")).where(F.size("__l") > 0)
-    each = each.withColumn("__two", F.transform(F.slice(F.array_sort(F.array_distinct("__l")), 1, 2), lambda x: F.xxhash64(x)))
     each = each.withColumn("__l", F.transform("__l", lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ", -1)).alias("n"))))
-    each = cut(each)  # read twice, for the count of lines and for the sums
-    one, two = F.get("__two", F.lit(0)), F.get("__two", F.lit(1))
-    told = each.select("__host", "__h1", "__h2", "__two", F.posexplode("__l").alias("__i", "__x")).select(
-        "__host", "__h1", "__h2", "__i", F.col("__x.h").alias("__h"), F.col("__x.n").alias("__n"), F.when(one == F.col("__x.h"), two).otherwise(one).alias("__by")
-    )
-    common = told.groupBy("__host", "__h", "__by").agg(F.lit(1).alias("__1")).groupBy("__host", "__h").agg(F.count("*").alias("__c")).where(F.col("__c") > limit).select("__host", "__h", F.lit(True).alias("__common"))
-    common = small_or_shuffled(cut(common), BROADCAST_ROWS)
-    # copies on a host add alike to all sums
+    return each.dropDuplicates(["__host", "__h1", "__h2"])
+
+
+def depleted(docs: DataFrame, text: str = "text", host: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
+    """(__host, __h1, __h2) of the documents that hardly hold more than boilerplate lines.
+
+    A line counts once for each distinct document of the host; documents are distinct where their texts are.
+    """
+    each = cut(distinct_documents(docs, text, host))  # read twice, for the count of lines and for the sums
+    common = small_or_shuffled(cut(common_lines(each, limit).select("__host", "__h", F.lit(True).alias("__common"))), BROADCAST_ROWS)
+    told = each.select("__host", "__h1", "__h2", F.explode("__l").alias("__x")).select("__host", "__h1", "__h2", F.col("__x.h").alias("__h"), F.col("__x.n").alias("__n"))
     left = F.sum(F.when(F.col("__common"), 0).otherwise(F.col("__n")))
-    sums = told.join(common, ["__host", "__h"], "left").groupBy("__host", "__h1", "__h2").agg(F.sum("__n").alias("__all"), left.alias("__left"), F.sum((F.col("__i") == 0).cast("long")).alias("__copies"))
-    return sums.where((F.col("__left") < LEAST_SHARE * F.col("__all")) & (F.col("__left") < LEAST_WORDS * F.col("__copies"))).select("__host", "__h1", "__h2")
+    sums = told.join(common, ["__host", "__h"], "left").groupBy("__host", "__h1", "__h2").agg(F.sum("__n").alias("__all"), left.alias("__left"))
+    return sums.where((F.col("__left") < LEAST_SHARE * F.col("__all")) & (F.col("__left") < LEAST_WORDS)).select("__host", "__h1", "__h2")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
