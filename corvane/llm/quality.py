@@ -12,8 +12,10 @@ from .common import WORD_SPACE, cut, small_or_shuffled, words_of
 
 #: A line that more than so many distinct documents of one host hold is boilerplate.
 LINE_LIMIT = 20
-#: A document whose words outside boilerplate lines fall under both figures is depleted.
-LEAST_WORDS, LEAST_SHARE = 20, 0.1
+#: A document that boilerplate lines leave fewer words than this is depleted; the base rules reject texts of fewer.
+LEAST_WORDS = 20
+#: Only the query's SQL reads this share.
+LEAST_SHARE = 0.1
 #: Rows of the table of depleted documents up to which it is broadcast.
 BROADCAST_ROWS = 100_000
 WINDOW = 8
@@ -104,7 +106,7 @@ def distinct_documents(docs: DataFrame, text: str, host: str) -> DataFrame:
 
 
 def depleted(docs: DataFrame, text: str = "text", host: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
-    """(__host, __h1, __h2) of the documents that hardly hold more than boilerplate lines.
+    """(__host, __h1, __h2) of the documents that hold boilerplate lines and fewer than LEAST_WORDS words outside them.
 
     A line counts once for each distinct document of the host; documents are distinct where their texts are.
     """
@@ -113,7 +115,7 @@ def depleted(docs: DataFrame, text: str = "text", host: str = "source", limit: i
     told = each.select("__host", "__h1", "__h2", F.explode("__l").alias("__x")).select("__host", "__h1", "__h2", F.col("__x.h").alias("__h"), F.col("__x.n").alias("__n"))
     left = F.sum(F.when(F.col("__common"), 0).otherwise(F.col("__n")))
     sums = told.join(common, ["__host", "__h"], "left").groupBy("__host", "__h1", "__h2").agg(F.sum("__n").alias("__all"), left.alias("__left"))
-    return sums.where((F.col("__left") < LEAST_SHARE * F.col("__all")) & (F.col("__left") < LEAST_WORDS)).select("__host", "__h1", "__h2")
+    return sums.where((F.col("__left") < F.col("__all")) & (F.col("__left") < LEAST_WORDS)).select("__host", "__h1", "__h2")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", limit: int = LINE_LIMIT) -> DataFrame:

@@ -23,3 +23,12 @@ def test_lines_count_by_distinct_documents(spark):
     told = quality.quality_rules(df).collect()
     assert len(told) == 130 and not any(r.base_failed or r.kept for r in told)
     assert all(r.kept for r in quality.quality_rules(spark.createDataFrame(templated(20, 5), SCHEMA)).collect())
+
+
+def test_a_document_of_few_own_words_is_depleted(spark):
+    few, enough = templated(40, 19), [(100 + i, t, s) for i, t, s in templated(40, 20)]
+    long = [(200 + i, "\n".join(TEMPLATE * 80) + f"\nown {i} " + prose(18, 600 + i), "h") for i in range(3)]
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(few + enough, SCHEMA)).collect()}
+    assert not any(kept[i] for i in range(40)) and all(kept[100 + i] for i in range(40))
+    gone = quality.depleted(spark.createDataFrame(few + enough + long, SCHEMA)).count()
+    assert gone == 40  # 20 words of their own stand, of however many
