@@ -25,8 +25,10 @@ BROADCAST_ROWS = 200_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the line rule reject go; texts stay as they are."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    """Documents that the base rules or the line rule reject go; the others lose their boilerplate lines, and n_chars is counted anew there."""
+    kept = quality_rules(docs, clean=True).where("kept")
+    size = F.when(F.col("n_removed_lines") > 0, F.length("clean_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return kept.withColumns({"text": F.col("clean_text"), "n_chars": size}).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,26 +105,40 @@ def distinct_documents(docs: DataFrame, text: str, host: str) -> DataFrame:
     return each.dropDuplicates(["__host", "__h1", "__h2"])
 
 
-def depleted(docs: DataFrame, text: str = "text", host: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
-    """(__host, __h1, __h2) of the documents that hold boilerplate lines and fewer than LEAST_WORDS words outside them.
+def line_rule(docs: DataFrame, text: str = "text", host: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
+    """(__host, __h1, __h2, __gone, __common) of the distinct documents that hold boilerplate lines: whether those leave fewer than LEAST_WORDS words, and their hashes.
 
     A line counts once for each distinct document of the host; documents are distinct where their texts are.
     """
     each = cut(distinct_documents(docs, text, host))  # read twice, for the count of lines and for the sums
-    common = small_or_shuffled(cut(common_lines(each, limit).select("__host", "__h", F.lit(True).alias("__common"))), BROADCAST_ROWS)
+    common = small_or_shuffled(cut(common_lines(each, limit).select("__host", "__h", F.col("__h").alias("__found"))), BROADCAST_ROWS)
     told = each.select("__host", "__h1", "__h2", F.explode("__l").alias("__x")).select("__host", "__h1", "__h2", F.col("__x.h").alias("__h"), F.col("__x.n").alias("__n"))
-    left = F.sum(F.when(F.col("__common"), 0).otherwise(F.col("__n")))
-    sums = told.join(common, ["__host", "__h"], "left").groupBy("__host", "__h1", "__h2").agg(F.sum("__n").alias("__all"), left.alias("__left"))
-    return sums.where((F.col("__left") < F.col("__all")) & (F.col("__left") < LEAST_WORDS)).select("__host", "__h1", "__h2")
+    left = F.sum(F.when(F.col("__found").isNull(), F.col("__n")).otherwise(0))
+    sums = told.join(common, ["__host", "__h"], "left").groupBy("__host", "__h1", "__h2").agg((left < LEAST_WORDS).alias("__gone"), F.collect_set("__found").alias("__common"))
+    return sums.where(F.size("__common") > 0)
+
+
+def depleted(docs: DataFrame, text: str = "text", host: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
+    """(__host, __h1, __h2) of the documents that hold boilerplate lines and fewer than LEAST_WORDS words outside them."""
+    return line_rule(docs, text, host, limit).where("__gone").select("__host", "__h1", "__h2")
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", limit: int = LINE_LIMIT, clean: bool = False) -> DataFrame:
     """docs with the base counts and `kept`: false where the base rules fail or the document is depleted.
 
-    Null texts count as empty and fail; null hosts form one host; repeated rows get the same verdict;
-    an empty table gives an empty result; other columns pass through.
+    With `clean` also clean_text, the text without its boilerplate lines, and n_removed_lines. Else only depleted documents are joined.
+    Null texts count as empty and fail, clean_text being null; null hosts form one host; repeated rows get the same verdict;
+    an empty table gives an empty result; other columns pass through (columns of these names are replaced).
     """
-    gone = small_or_shuffled(cut(depleted(docs, text, host, limit)), BROADCAST_ROWS).withColumn("__gone", F.lit(True))
+    rule = line_rule(docs, text, host, limit)
+    rule = small_or_shuffled(cut(rule if clean else rule.where("__gone").drop("__common")), BROADCAST_ROWS)
     host_key, h1, h2 = identity(text, host)  # kept takes both sides of the join, so that no part of it is filtered before
     keyed = base_counts(docs, text).withColumns({"__host": host_key, "__h1": h1, "__h2": h2})
-    return keyed.join(gone, ["__host", "__h1", "__h2"], "left").withColumn("kept", F.when(F.col("__gone"), F.lit(False)).otherwise(~F.col("base_failed"))).drop("__host", "__h1", "__h2", "__gone")
+    out = keyed.join(rule, ["__host", "__h1", "__h2"], "left").withColumn("kept", F.when(F.col("__gone"), F.lit(False)).otherwise(~F.col("base_failed")))
+    if clean:
+        lines = F.split(F.col(text), "\n", -1)
+        stay = F.filter(F.arrays_zip(lines.alias("x"), normal_lines(F.col(text)).alias("y")), lambda z: ~F.array_contains(F.col("__common"), F.xxhash64(z["y"])))
+        told = let(stay, lambda s: F.struct(F.array_join(F.transform(s, lambda z: z["x"]), "\n").alias("t"), (F.size(lines) - F.size(s)).cast("long").alias("n")))
+        out = out.withColumn("__told", F.when(F.col("__common").isNotNull(), told))
+        out = out.withColumns({"clean_text": F.when(F.col("__common").isNull(), F.col(text)).otherwise(F.col("__told.t")), "n_removed_lines": F.coalesce("__told.n", F.lit(0).cast("long"))})
+    return out.drop("__host", "__h1", "__h2", "__gone", "__common", "__told")
