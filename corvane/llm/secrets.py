@@ -33,6 +33,8 @@ LEAST_ASSIGN = 6
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.8, "signature": 0.6, "salt": 0.6, "pass": 0.8}
 KEY_BEFORE = {"api", "private", "access", "secret", "signing", "encryption", "master", "service", "account", "auth", "session"}
 LEAST_SCORE = 0.5
+#: Characters up to which a value's joined text is kept; it holds every fixed placeholder.
+SHORT = 64
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|none|null|true|false|changeme|example|placeholder|your[_-].*|<.*>|todo|test|dummy)$")
 NAME_BEFORE = re.compile(r"([A-Za-z_][A-Za-z0-9_.\-]*)[\"']?[ \t]*$", re.ASCII)
 NAME_TAIL = re.compile(r"[A-Za-z0-9_.\-\"' \t]*$", re.ASCII)
@@ -56,12 +58,65 @@ def name_score(name: str) -> float:
     return max(best, 0.9 if keyed else 0.0)
 
 
-def literal_score(text: str) -> float:
+class Value:
+    """What a name stands for: literals (start, end, text) and earlier values, shared by reference, with what the score needs to know of their joined text."""
+
+    def __init__(self, parts: list[tuple[int, int, str] | Value]):
+        self.parts = parts
+        self.known = self.found = False  # whether the figures below are there; whether the literals were found before
+
+    def know(self) -> Value:
+        """With size, counts of characters, the text where it is short, its first and last characters and whether it holds a "://"."""
+        todo = [self]
+        while todo:
+            v = todo[-1]
+            missing = [x for x in v.parts if isinstance(x, Value) and not x.known]
+            if missing:
+                todo += missing
+                continue
+            todo.pop()
+            if not v.known:
+                v.join()
+        return self
+
+    def join(self) -> None:
+        self.size, self.counts, self.text, self.head, self.tail, self.url = 0, Counter(), "", "", "", False
+        for x in self.parts:
+            size, counts, text, head, tail, url = (x.size, x.counts, x.text, x.head, x.tail, x.url) if isinstance(x, Value) else (len(x[2]), x[2], x[2], x[2][:SHORT], x[2][-2:], "://" in x[2])
+            self.size += size
+            self.counts.update(counts)
+            self.url = self.url or url or "://" in self.tail + head[:2]
+            self.text = self.text + text if self.size <= SHORT else ""
+            self.head, self.tail = (self.head + head)[:SHORT], (self.tail + tail)[-2:]
+        self.known = True
+
+    def placeholder(self) -> bool:
+        if self.size <= SHORT:
+            return bool(PLACEHOLDER.match(self.text))
+        head = self.head.lower()
+        return set(self.counts) <= {"x", "X"} or len(self.counts) == 1 and head[0] in "*.-" or head.startswith(("your_", "your-")) or head[0] == "<" and self.tail[-1] == ">"
+
+    def literals(self) -> Iterator[tuple[int, int, str]]:
+        """The literals that no call before this one gave."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if not v.found:
+                v.found = True
+                for x in v.parts:
+                    if isinstance(x, Value):
+                        todo.append(x)
+                    else:
+                        yield x
+
+
+def value_score(value: Value) -> float:
     """From 0 to 1: long enough, of several kinds of characters, without runs of words."""
-    n = len(text)
-    if n < 8 or n > 4096 or PLACEHOLDER.match(text) or "://" in text or any(c.isspace() for c in text):
+    n, counts = value.know().size, value.counts
+    if n < 8 or value.placeholder() or value.url or any(c.isspace() for c in counts):
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(text).values())
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    text = "".join(counts)
     kinds = sum(bool(re.search(k, text)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     if kinds == 1 and n < 20:  # one plain word
         return 0.0
@@ -114,21 +169,22 @@ def terms_only(text: str, at: int) -> bool:
 
 
 def literal_spans(text: str) -> list[Span]:
-    constants: dict[str, list[tuple[int, int, str]]] = {}
+    constants: dict[str, Value] = {}
     out = {}
     for name, terms in pairs(text):
-        reached: list[tuple[int, int, str]] = []
+        reached: list[tuple[int, int, str] | Value] = []
         for t in terms:
             if isinstance(t, str):
-                reached += constants.get(t, [])
+                if t in constants:
+                    reached.append(constants[t])
             elif t[2] not in constants:
                 reached.append(t)
-        if not reached or len(reached) > 64:
+        if not reached:
             continue
-        constants[name] = reached
+        value = constants[name] = reached[0] if len(reached) == 1 and isinstance(reached[0], Value) else Value(reached)
         weight = name_score(name)
-        if weight and weight * literal_score("".join(x[2] for x in reached)) >= LEAST_SCORE:
-            for start, end, _ in reached:
+        if weight and weight * value_score(value) >= LEAST_SCORE:
+            for start, end, _ in value.literals():
                 if end > start:
                     out[start, end] = Span(start, 3, end, start)
     return list(out.values())
