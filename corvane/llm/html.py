@@ -2,11 +2,11 @@
 
 The standard library's streaming parser turns a page into lines, one for each block. What lies in
 elements that are never part of an article (menus, forms, scripts, notices, adverts, comments of
-readers) is told by element, role and class or id and left out as the events stream by. The rest
-depends on whether the page marks its article: within <article> or <main>, where that holds most of
-the text, all lines stay. Else each line has a ratio of text to tags, the ratios are smoothed by a
-Gaussian, and lines above a threshold between the two clusters of ratios form the content; short
-lines between content lines go with them.
+readers) is told by element, role and class or id and left out as the events stream by. Each line of the rest
+has a ratio of text to tags, the ratios are smoothed by a Gaussian, and lines above a threshold
+between the two clusters of ratios form the content; short lines between content lines go with them.
+Where a page marks its article by <article> or <main> and no more content lies outside than is
+marked, the marks bound the content: all marked lines are it.
 """
 
 from __future__ import annotations
@@ -32,15 +32,21 @@ SCOPE = frozenset("table ul ol dl td th article section div main body blockquote
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
 #: Words of classes and ids that name parts beside the article.
 BESIDE = frozenset("ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices alert nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets footer foot masthead topbar toolbar header share sharing social related recommended comment comments disqus replies respond discussion subscribe newsletter signup login search pagination pager skip hidden tags byline-share outbrain taboola".split())
-#: Text of lines, smoothed, above so much of the way between the clusters is content.
-SIGMA, MARKED_SHARE = 1.0, 0.3
+BESIDE |= frozenset("ad-banner ad-container ad-slot comment-list comments-area cookie-banner cookie-consent cookie-notice newsletter-signup related-articles related-posts share-buttons site-footer site-header site-nav social-links social-share".split())
+#: Those whose articles are never the page's own.
+OTHERS = frozenset("comment comments comment-list comments-area disqus replies respond discussion related related-articles related-posts recommended outbrain taboola".split())
+#: Width of the Gaussian in lines.
+SIGMA = 1.0
 SPACE = re.compile(r"\s+")
-WORDS = re.compile(r"[a-z]+")
 
 
-def beside(attrs: list[tuple[str, str | None]], inside: bool = False) -> bool:
-    """Whether an element is named as a part beside the article. Within the article a header is its own."""
-    names = BESIDE - {"header"} if inside else BESIDE
+def names_of(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """The whole names in an element's classes and ids."""
+    return {name for k, v in attrs if v and k in ("class", "id") for name in v.lower().split()}
+
+
+def beside(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether an element's attributes hide it or give it a role beside the article."""
     for k, v in attrs:
         if k == "hidden" or k == "aria-hidden" and v == "true":
             return True
@@ -50,10 +56,6 @@ def beside(attrs: list[tuple[str, str | None]], inside: bool = False) -> bool:
             return True
         if k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
             return True
-        if k in ("class", "id"):
-            for name in v.lower().split():
-                if name in names or not names.isdisjoint(WORDS.findall(name)):
-                    return True
     return False
 
 
@@ -65,9 +67,10 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []  # element, and whether it is left out
+        self.open: list[tuple[str, bool, bool]] = []  # element, whether it is left out, and whether only a name says so that an article within outdoes
         self.out = 0  # left-out elements that are open
         self.marked = 0  # open <article> or <main>
+        self.any_marked = False  # whether one that counts was open before
         self.links = 0
         self.lines: list[tuple[str, int, int, bool, bool]] = []
         self.parts: list[str] = []
@@ -75,14 +78,14 @@ class Lines(HTMLParser):
 
     def flush(self) -> None:
         if text := SPACE.sub(" ", "".join(self.parts)).strip():
-            self.lines.append((text, self.tags, self.link_chars, self.marked > 0, any(t in HEADINGS for t, _ in self.open)))
+            self.lines.append((text, self.tags, self.link_chars, self.marked > 0, any(t in HEADINGS for t, _, _ in self.open)))
             self.tags = 0
         self.link_chars = 0
         self.parts = []
 
     def pop(self, at: int) -> None:
         while len(self.open) > at:
-            tag, left_out = self.open[-1]
+            tag, left_out, _ = self.open[-1]
             if tag in BLOCK and not self.out:
                 self.flush()
             self.open.pop()
@@ -112,12 +115,21 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         inside = self.marked > 0
-        # a header within the article holds its title; elsewhere it is the site's
-        left_out = tag in DROP or tag == "header" and not inside or tag not in ("body", "html", "article", "main") and bool(attrs) and beside(attrs, inside)
+        names = names_of(attrs) & BESIDE if attrs else set()
         if tag in ("article", "main"):
-            left_out = False
+            left_out = named = False
+            if self.out and not self.any_marked and all(n for _, o, n in self.open if o):  # the names around it are no reason
+                self.open = [(t, False, False) for t, _, _ in self.open]
+                self.out = 0
+            self.any_marked |= not self.out
             self.marked += 1
-        self.open.append((tag, left_out))
+        else:
+            # a header within the article holds its title; elsewhere it is the site's
+            left_out = tag in DROP or tag == "header" and not inside or tag not in ("body", "html") and bool(attrs) and beside(attrs)
+            named = not left_out and tag not in ("body", "html") and bool(names - {"header"} if inside else names)
+            left_out |= named
+            named &= not names & OTHERS
+        self.open.append((tag, left_out, named))
         self.out += left_out
         if not self.out:
             self.tags += 1
@@ -133,7 +145,7 @@ class Lines(HTMLParser):
         self.handle_starttag(tag, attrs)  # the slash means nothing on other elements
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and not any(t == "p" for t, _ in self.open):
+        if tag == "p" and not any(t == "p" for t, _, _ in self.open):
             if not self.out:
                 self.flush()
             return
@@ -184,10 +196,6 @@ def two_clusters(x: np.ndarray) -> float:
 def content(lines: list[tuple[str, int, int, bool, bool]]) -> list[str]:
     if not lines:
         return []
-    total = sum(len(x[0]) for x in lines)
-    marked = [x[0] for x in lines if x[3]]
-    if sum(map(len, marked)) >= MARKED_SHARE * total:
-        return marked
     size = np.array([len(x[0]) for x in lines], float)
     link = np.array([min(x[2], len(x[0])) for x in lines], float)
     tags = np.array([x[1] for x in lines], float)
@@ -205,6 +213,9 @@ def content(lines: list[tuple[str, int, int, bool, bool]]) -> list[str]:
             while i and lines[i - 1][4] and plain[i - 1] and not keep[i - 1]:
                 i -= 1
                 keep[i] = True
+    marked = np.array([x[3] for x in lines])
+    if marked.any() and size[marked].sum() >= size[keep & ~marked].sum():
+        keep = marked
     return [x[0] for x, k in zip(lines, keep.tolist(), strict=True) if k]
 
 
