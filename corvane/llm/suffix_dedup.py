@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, erase, written
+from .common import batches, cut, erase, small_or_shuffled, written
 from .gsaca import suffix_array
 from .shingles import mix, text_bytes
 
@@ -35,6 +35,8 @@ FILTER_WORDS = 1 << 20
 BATCH_BYTES = 1 << 18
 #: Rows that a task gathers to drop its own repeats before they are shuffled.
 LOCAL_ROWS = 1 << 19
+#: Repeated rows' keys up to which they are broadcast.
+BROADCAST_ROWS = 100_000
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(100))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
@@ -129,6 +131,17 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_MOST)).alias("d"), F.xxhash64(t).alias("t"), t.alias("text"))
 
 
+def _distinct(texts: DataFrame) -> tuple[DataFrame, list[str]]:
+    """One row for each (d, t), with the paths of tables that were written. Only repeated rows meet, of each task one at most."""
+    again = cut(texts.groupBy("d", "t").agg(F.count("*").alias("n")).where("n > 1").select("d", "t"))
+    if again.isEmpty():
+        return texts, []
+    again = small_or_shuffled(again, BROADCAST_ROWS)
+    one = texts.join(again, ["d", "t"], "left_semi").dropDuplicates(["d", "t"])
+    out, path = written(texts.join(again, ["d", "t"], "left_anti").unionByName(one), "texts")
+    return out, [path]
+
+
 def _batch(arrays: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a.view(np.int64) if a.dtype == np.uint64 else a) for a in arrays], names=names)
 
@@ -379,7 +392,8 @@ def _merged(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
     """(d, t, w: array of s, e): starts of windows, s to e exclusive, that start earlier elsewhere; d, t name the texts as _texts does. With the path of the table."""
-    spark, texts = docs.sparkSession, _texts(docs, key, text)
+    spark = docs.sparkSession
+    texts, paths = _distinct(_texts(docs, key, text))
     repeated = Filter.of(grams_of(texts).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "h")
     found, path1 = written(runs_of(texts, repeated), "runs")
     runs_, path2 = written(first_runs(found), "runs")
@@ -390,7 +404,7 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
     spans = [x.where("not first").select("d", "t", "s", "e") for x in (found, runs_, pieces)]
     every = sorted_repeats(pieces.where("first")).unionByName(spans[0]).unionByName(spans[1]).unionByName(spans[2])
     out, path = written(every.groupBy("d", "t").agg(F.collect_list(F.struct("s", "e")).alias("w")), "spans")
-    erase(spark, path1, path2, path3, path4)
+    erase(spark, path1, path2, path3, path4, *paths)
     return out, path
 
 
