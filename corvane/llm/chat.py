@@ -22,8 +22,6 @@ from .common import batches
 SAMPLE = 600
 #: Turns of a conversation in one transcript; longer conversations are cut in parts at multiples of it.
 PART = 256
-#: Lines of a transcript that one path is found for; longer transcripts are decoded in stretches of it.
-STRETCH = 4096
 #: Words that mark speakers, and styles that transcripts are written in.
 MARKERS = {
     "user": "user human question customer instruction input prompt me q".split(),
@@ -84,7 +82,7 @@ class Model:
         if not len(x):
             return np.zeros(0, np.int64)
         score = sum(t[:, x[:, f]] for f, t in enumerate(self.shown)).T
-        best, back = self.start + score[0], np.zeros((len(x), len(self.start)), np.int64)
+        best, back = self.start + score[0], np.zeros((len(x), len(self.start)), np.min_scalar_type(len(self.start)))
         lines = np.arange(len(self.start))
         for i in range(1, len(x)):
             to = best[:, None] + self.step
@@ -98,25 +96,22 @@ class Model:
 
     def turns(self, transcript: str) -> tuple[list[tuple[str, str]], np.ndarray]:
         """Roles and texts of the turns, and the state of each line that isn't blank."""
-        lines, out, states = transcript.split("\n"), [], []
-        for k in range(0, len(lines), STRETCH):
-            part = lines[k : k + STRETCH]
-            path = self.path(looks(part))
-            states.append(path)
-            at = iter(path.tolist())
-            for line in part:
-                if not line.strip():
-                    if out:
-                        out[-1][1].append("")
-                    continue
-                s = next(at)
-                kind, size = marker(line)
-                role = self.roles[s // 2]
-                if s % 2 == 0 or not out or out[-1][0] != role:
-                    out.append((role, []))
-                    line = line[size if kind in (1, 2, 3) else 0 :]
-                out[-1][1].append(line)
-        return [(r, "\n".join(x).strip()) for r, x in out], np.concatenate(states)
+        lines, out = transcript.split("\n"), []
+        path = self.path(looks(lines))
+        at = iter(path.tolist())
+        for line in lines:
+            if not line.strip():
+                if out:
+                    out[-1][1].append("")
+                continue
+            s = next(at)
+            kind, size = marker(line)
+            role = self.roles[s // 2]
+            if s % 2 == 0 or not out or out[-1][0] != role:
+                out.append((role, []))
+                line = line[size if kind in (1, 2, 3) else 0 :]
+            out[-1][1].append(line)
+        return [(r, "\n".join(x).strip()) for r, x in out], path
 
 
 def canonical(turns: list[tuple[str, str]]) -> str:
@@ -184,9 +179,11 @@ def format_chats(rows: DataFrame, model: Model, transcript: str = "transcript",
 
 
 def agreement(told: DataFrame, labelled: DataFrame, roles: list[str]) -> DataFrame:
-    """told with n_lines and n_right: lines, and lines whose role is the labelled one."""
+    """told with n_lines and n_right: lines, and lines whose role is the labelled one. Null conv_ids are one conversation, which stays."""
     index = F.array(*[F.lit(r) for r in roles])
     true = F.flatten(F.transform(F.arrays_zip("true_roles", "n"), lambda x: F.array_repeat((F.array_position(index, x["true_roles"]) - 1).cast("int"), x["n"])))
-    both = told.join(labelled.select("conv_id", "part", F.col("roles").alias("true_roles"), "n"), ["conv_id", "part"]).withColumn("true", true)
+    known = labelled.select(F.col("conv_id").alias("__conv"), F.col("part").alias("__part"), F.col("roles").alias("true_roles"), "n")
+    same = F.col("conv_id").eqNullSafe(F.col("__conv")) & F.col("part").eqNullSafe(F.col("__part"))
+    both = told.join(known, same).drop("__conv", "__part").withColumn("true", true)
     right = F.size(F.filter(F.zip_with(F.transform("states", lambda s: F.floor(s / 2).cast("int")), "true", lambda a, b: a == b), lambda x: x))
     return both.withColumn("n_lines", F.size("true").cast("long")).withColumn("n_right", right.cast("long")).drop("true_roles", "true", "n", "states")
