@@ -62,18 +62,44 @@ def decomposition(anchor: DataFrame, pools: DataFrame, group: str, key: str, vec
 
 
 def probe_accuracy(rows: DataFrame, key: str, vec: str, label: str, seed: int, most: int = 4000, steps: int = 300) -> float:
-    """Accuracy on the held-out half of a logistic probe, by full gradient steps, of a seeded sample of `most` rows."""
-    data = rows.select(hashed(seed, key).alias("h"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("double").alias("y")).orderBy("h").limit(most).toArrow()
-    x, y = np.stack(data["v"].to_numpy()), data["y"].to_numpy()
-    half = len(x) // 2
-    mean, spread = x[:half].mean(0), x[:half].std(0) + 1e-6
+    """Accuracy on the held-out half of all rows of a logistic probe, by full gradient steps on at most half of `most` rows of the other half.
+
+    The halves go by seeded order, rows without a key first and rows of one key together. Held-out rows are scored where they lie; only the rows that the probe is fitted on are collected.
+    """
+    data = rows.select(F.coalesce(hashed(seed, key), F.lit("")).alias("h"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("double").alias("y"))
+    # the hash at which the held-out half begins, found by counts of its first digits
+    digits = F.substring("h", 1, 4)
+    counts = sorted((r.k, r.n) for r in data.groupBy(digits.alias("k")).agg(F.count("*").alias("n")).collect())
+    half = sum(n for _, n in counts) // 2
+    if not half:
+        return float("nan")
+    before, k = 0, ""
+    for k, n in counts:
+        if before + n > half:
+            break
+        before += n
+    edge = data.where(digits == k).select("h").orderBy("h").limit(half - before + 1).agg(F.max("h")).first()[0]
+    known = data.where(F.col("h") < edge).orderBy("h").limit(most // 2).toArrow()
+    if not known.num_rows:
+        return float("nan")
+    x, y = np.stack(known["v"].to_numpy()), known["y"].to_numpy()
+    mean, spread = x.mean(0), x.std(0) + 1e-6
     z = np.concatenate([(x - mean) / spread, np.ones((len(x), 1))], 1)
     w = np.zeros(z.shape[1])
     decay = np.append(np.full(x.shape[1], 1e-3), 0.0)
     for _ in range(steps):
-        miss = 1 / (1 + np.exp(-z[:half] @ w)) - y[:half]
-        w = w - 0.1 * (z[:half].T @ miss / half + decay * w)
-    return float(((z[half:] @ w > 0) == (y[half:] > 0.5)).mean())
+        miss = 1 / (1 + np.exp(-z @ w)) - y
+        w = w - 0.1 * (z.T @ miss / len(x) + decay * w)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                told = (np.stack(b.column(0).to_numpy(zero_copy_only=False)) - mean) / spread @ w[:-1] + w[-1] > 0
+                right = told == (b.column(1).to_numpy(zero_copy_only=False) > 0.5)
+                yield pa.RecordBatch.from_arrays([pa.array([int(right.sum())], pa.int64()), pa.array([b.num_rows], pa.int64())], names=["right", "n"])
+
+    right, n = data.where(F.col("h") >= edge).select("v", "y").mapInArrow(score, "right long, n long").agg(F.sum("right"), F.sum("n")).first()
+    return right / n
 
 
 def best_checkpoints(evals: DataFrame, step: str, val: str, ratio: str, tolerance: float) -> DataFrame:
