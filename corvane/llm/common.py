@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,13 +18,15 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. One is made only where the session names none."""
+    """The folder that the driver and all executors share. Where the session names none, one is made if driver and executors are one process; else that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm.isDefined():
         return jvm.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="corvane-shared-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -37,7 +40,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files and checkpoints of steps that nothing refers to any more.
+    """Lets Spark delete the shuffle files of steps that nothing refers to any more, and their checkpoints where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
 
     It does so when the driver collects garbage, which an iterative job with little on the driver seldom makes it do.
     """

@@ -1,41 +1,89 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links, by alternating large and small stars over locally contracted links."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import erase, release, written
+
+#: Links that a task holds at once to contract them.
+LOCAL_LINKS = 1 << 18
+
+
+class Union:
+    """Disjoint sets of nodes, each named by its smallest."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def find(self, x):
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x, y) -> None:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer links (u > v) with the same components: every LOCAL_LINKS links of a task become stars around their smallest nodes. Nothing is shuffled."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sets = Union()
+        for b in held:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sets.join(u, v)
+        nodes = list(sets.up)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, held[0].schema.field(0).type), pa.array([sets.find(x) for x in nodes], held[0].schema.field(1).type)], names=["u", "v"])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in rows:
+            held.append(b)
+            n += b.num_rows
+            if n >= LOCAL_LINKS:
+                yield stars(held)
+                held, n = [], 0
+        if held:
+            yield stars(held)
+
+    return edges.select("u", "v").mapInArrow(run, edges.select("u", "v").schema)
 
 
 def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (u, v); root is the smallest node reachable.
 
-    Each round sends every node's larger neighbours, then its smaller ones, to its smallest neighbour;
-    the number of rounds grows with the logarithm of the number of nodes. Minima have partial sums; the
-    joins back are left to adaptive execution, which splits the rows of a node with very many links.
+    Each round sends every node's larger neighbours, then its smaller ones, to its smallest neighbour, until
+    nothing changes; the number of rounds grows with the logarithm of the number of nodes. Minima have partial
+    sums and are written before the joins back to them, so that adaptive execution can split the rows of a node with very many links.
+    Links of a node to itself and repeated links change nothing; an empty table gives an empty one.
     """
-    edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    spark = links.sparkSession
+    edges, at = written(contracted(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")).distinct(), "links")
     seen = _print(edges)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least, path1 = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+        large, path2 = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least, path3 = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        told = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        last = at
+        edges, at = written(contracted(told).distinct(), "links")
         before, seen = seen, _print(edges)
-        del both, least, large, small
-        release(links.sparkSession)
+        erase(spark, path1, path2, path3, last)
+        release(spark)
         if before == seen:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

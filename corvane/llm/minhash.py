@@ -19,23 +19,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, release, written
+from .common import batches, erase, release, written
 from .components import components
 from .shingles import mix, shingle_sets
 
-#: Band values in either collection, and minhashes in each: at similarity 0.75 a pair is missed by all 100 tables once in about 2000 times.
-HASHES, ROWS = 10, 2
+#: Band values in either collection, and minhashes in each: at similarity 0.75 a pair is missed by all 256 tables once in about 3200 times,
+#: one at 0.2 is a candidate once in 70 times, one at 0.1 once in 4000.
+HASHES, ROWS = 16, 3
 #: Two classes are linked from this percentage of their union on.
 PERCENT = 75
 #: Classes, and bytes of their sets, in a block of those compared in memory.
-BLOCK, BLOCK_BYTES = 2048, 8 << 20
-#: Pairs there are confirmed where this part of so many further minhashes agrees. A pair at 0.75 falls below it once in some 3000 times.
-ESTIMATES, LEAST_AGREE = 128, 0.62
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
+#: Bits for each member of a set in the bitmaps that bound intersections there.
+SPREAD = 16
 #: Bits of the filter by which the second reading skips texts that have no candidate. Its size is fixed; a full filter skips none.
 FILTER_WORDS = 1 << 20
 _N = 2 * HASHES * ROWS
 _RNG = np.random.Generator(np.random.PCG64(75))
-_XOR, _MUL = _RNG.integers(1, 1 << 63, (2, _N + ESTIMATES), dtype=np.uint64)
+_XOR, _MUL = _RNG.integers(1, 1 << 63, (2, _N), dtype=np.uint64)
 _MUL |= np.uint64(1)
 _FOLD = _RNG.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -49,7 +50,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """A row of minhashes for each set; none may be empty."""
     every = np.concatenate(sets)
     at = np.append(0, np.cumsum([len(s) for s in sets])[:-1])
-    return np.stack([np.minimum.reduceat((every ^ x) * m, at) for x, m in zip(_XOR[:_N], _MUL[:_N], strict=True)], 1)
+    return np.stack([np.minimum.reduceat((every ^ x) * m, at) for x, m in zip(_XOR, _MUL, strict=True)], 1)
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -74,18 +75,30 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def buckets(classes: DataFrame) -> DataFrame:
-    """(key, node, leader, n) of the tables' buckets that hold two classes or more."""
-    values = classes.select("node", F.explode(F.concat(F.transform("a", lambda x: F.struct(F.lit(True).alias("first"), x.alias("x"))), F.transform("b", lambda x: F.struct(F.lit(False).alias("first"), x.alias("x"))))).alias("e")).select("node", "e.*")
-    shared = values.groupBy("first", "x").agg(F.count("*").alias("n")).where("n > 1").select("first", "x")
-    met = values.join(shared, ["first", "x"]).groupBy("node").agg(F.collect_list(F.when(F.col("first"), F.col("x"))).alias("a"), F.collect_list(F.when(~F.col("first"), F.col("x"))).alias("b"))
-    keyed = cut(met.select("node", F.explode("a").alias("x"), "b").select("node", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("key"), "node"))
+def shared_values(classes: DataFrame, column: str) -> DataFrame:
+    """(node, values: array) of the classes that share a value of the collection in `column` with another, and which they share."""
+    each = classes.select("node", F.explode(column).alias("x"))
+    shared = each.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
+    return each.join(shared, "x").groupBy("node").agg(F.collect_list("x").alias(column))
+
+
+def buckets(classes: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(key, node, leader, n) of the tables' buckets that hold two classes or more, with the paths of the tables written.
+
+    A class whose values are all its own in the first collection meets nobody; only the others' second values are dealt out.
+    """
+    first, path1 = written(shared_values(classes, "a"), "first")
+    second = shared_values(classes.select("node", "b").join(first.select("node"), "node", "left_semi"), "b")
+    pairs = first.join(second, "node").select("node", F.explode("a").alias("x"), "b").select("node", "x", F.explode("b").alias("y"))
+    keyed, path2 = written(pairs.select(F.xxhash64("x", "y").alias("key"), "node"), "keys")
     tops = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    return cut(keyed.join(tops, "key"))
+    met, path3 = written(keyed.join(tops, "key"), "members")
+    erase(classes.sparkSession, path1, path2)
+    return met, [path3]
 
 
-def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(node, set) of the classes in wanted (node, rep): the texts are read again; a filter of fixed size skips most of the others."""
+def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> tuple[DataFrame, str]:
+    """(node, set), with the table's path, of the classes in wanted (node, rep): the texts are read again; a filter of fixed size skips most of the others."""
     spark = docs.sparkSession
     at = F.pmod(F.shiftright(F.xxhash64("rep"), 6), F.lit(FILTER_WORDS)).cast("int")
     bit = F.expr("shiftleft(1L, cast(xxhash64(rep) & 63 as int))")
@@ -106,7 +119,7 @@ def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([class_key(s) for s in part], pa.binary()), pa.array([s.tobytes() for s in part], pa.binary())], names=["node", "set"])
 
     found = hashed.where(F.col("rep").isNotNull()).mapInArrow(run, "node binary, set binary")
-    return written(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")[0]
+    return written(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -118,13 +131,13 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * n >= percent * (len(both) - n)
 
 
-def estimates(sets: list[np.ndarray]) -> np.ndarray:
-    """A byte of each of ESTIMATES minhashes for each set; none may be empty."""
-    every = np.concatenate(sets)
-    at = np.append(0, np.cumsum([len(s) for s in sets])[:-1])
-    out = np.empty((len(sets), ESTIMATES), np.uint8)
-    for k in range(ESTIMATES):
-        out[:, k] = np.minimum.reduceat((every ^ _XOR[_N + k]) * _MUL[_N + k], at) >> np.uint64(3)
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set, one set for each member; wide enough that few members share one."""
+    bits = 1 << max(9, int(SPREAD * np.mean([len(s) for s in sets])).bit_length())
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    for row, s in zip(out, sets, strict=True):
+        at = s % np.uint64(bits)
+        np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     return out
 
 
@@ -143,58 +156,46 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", "s", "t").mapInArrow(run, "u binary, v binary")
 
 
-class _Union:
-    def __init__(self):
-        self.up: dict = {}
-
-    def find(self, x):
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = x = self.up.get(y, y)
-        return x
-
-    def join(self, x, y) -> None:
-        self.up[max(x, y)] = min(x, y)
-
-
 def linked(rows: list[tuple[int, bytes, bytes, bytes]], percent: int) -> list[tuple[bytes, bytes]]:
     """Confirmed links that join different components among (block, node, component, set) rows; between two blocks where there are two.
 
-    Pairs are tried in the order of their signatures' agreement, down to LEAST_AGREE; what is joined already isn't tried.
+    A member whose bit another set lacks isn't in it, so bitmaps bound the intersection of two sets from above: no
+    pair that the bound rules out can be linked. What is joined already isn't tried.
     """
     sets = [np.frombuffer(x[3], np.uint64) for x in rows]
-    sig = estimates(sets)
+    bits = bitmaps(sets)
     size, block = np.array([len(s) for s in sets]), np.array([x[0] for x in rows])
     name = {r: i for i, r in enumerate(dict.fromkeys(x[2] for x in rows))}
-    of, two = np.array([name[x[2]] for x in rows]), block[0] != block[-1]
-    tries = []
+    of, two, out = np.array([name[x[2]] for x in rows]), block[0] != block[-1], []
     for i in range(len(rows) - 1):
         fit = (of[i + 1 :] != of[i]) & (100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i]))
         j = np.flatnonzero(fit & (block[i + 1 :] != block[i]) if two else fit) + i + 1
-        agree = (sig[j] == sig[i]).sum(1)
-        near = agree >= LEAST_AGREE * ESTIMATES
-        tries += zip((-agree[near]).tolist(), [i] * int(near.sum()), j[near].tolist(), strict=True)
-    parts, out = _Union(), []
-    for _, i, j in sorted(tries):
-        a, b = parts.find(of[i]), parts.find(of[j])
-        if a != b and similar(sets[i], sets[j], percent):
-            parts.join(a, b)
-            out.append((rows[i][1], rows[j][1]))
+        if not len(j):
+            continue
+        most = np.minimum(size[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1), size[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1))
+        near = 100 * most >= percent * (size[i] + size[j] - most)
+        for k in j[near][np.argsort(-most[near], kind="stable")].tolist():
+            if of[i] != of[k] and similar(sets[i], sets[k], percent):
+                of[of == of[k]] = of[i]
+                out.append((rows[i][1], rows[k][1]))
     return out
 
 
-def rest_links(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between components so far, of classes that share buckets.
+def rest_links(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
+    """Links (u, v) between components so far, of classes that share buckets, with the paths of the tables that they are read from.
 
     Buckets that still span components are joined to groups by the classes they share. A group is dealt
     into blocks of bounded size, and every two blocks meet in one task, which tries their pairs in
-    memory and gives confirmed links only. Rows stream in order of group and blocks.
+    memory and gives confirmed links only. Rows stream in order of group and blocks; a set is sent once for each block of its group.
     """
+    spark = members.sparkSession
     named = members.select("key", "node").join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("r", F.coalesce("r", "node"))
-    mixed = named.groupBy("key").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("node").alias("u")).where("r0 <> r1").select("key", "u")
-    rows = cut(named.join(mixed, "key").select("u", "node", "r").distinct())
+    mixed, path1 = written(named.groupBy("key").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("node").alias("u")).where("r0 <> r1").select("key", "u"), "mixed")
+    rows, path2 = written(named.join(mixed, "key").select("u", "node", "r").distinct(), "spanning")
     groups = components(rows.select("u", F.col("node").alias("v"))).withColumnRenamed("root", "g")
-    rows = rows.select("node", "r").distinct().join(groups, "node").join(sets.select("node", F.length("set").alias("size")), "node")
-    sizes = rows.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows, path3 = written(rows.select("node", "r").distinct().join(groups, "node").join(sets.select("node", F.length("set").alias("size")), "node"), "grouped")
+    sizes, path4 = written(rows.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks")), "sizes")
+    erase(spark, path1, path2)
     rows = rows.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "node")
     rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "r", "set")
@@ -210,7 +211,7 @@ def rest_links(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: i
         out += linked(held, percent) if len(held) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["u", "v"])
 
-    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "block").mapInArrow(run, "u binary, v binary")
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "block").mapInArrow(run, "u binary, v binary"), [path3, path4]
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -220,20 +221,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     A text without words is linked with nothing; so is a row without a key, whose component_id is null
     and which is kept. Rows with equal keys and texts get equal results; an empty table an empty one.
     """
+    spark = docs.sparkSession
     rows, _ = written(sketches(docs, key, text), "sketches")
-    classes = cut(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")))
-    members = buckets(classes)
-    release(docs.sparkSession)
+    classes, _ = written(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    members, paths = buckets(classes)
+    release(spark)
     wanted = members.select("node").distinct().join(classes.select("node", "rep"), "node")
-    sets = full_sets(docs, key, text, wanted)
+    sets, path = full_sets(docs, key, text, wanted)
     stars = members.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-    links = cut(confirm(stars, sets, percent))
-    release(docs.sparkSession)
-    roots = cut(components(links))
-    more = cut(rest_links(members, sets, roots, percent))
-    release(docs.sparkSession)
+    links, path1 = written(confirm(stars, sets, percent), "links")
+    release(spark)
+    roots, path2 = written(components(links), "roots")
+    rest, more_paths = rest_links(members, sets, roots, percent)
+    more, path3 = written(rest, "links")
     if not more.isEmpty():
-        roots = cut(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)))
+        roots, _ = written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
+        more_paths.append(path2)
+    erase(spark, path, path1, path3, *paths, *more_paths)
+    release(spark)
     named = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
     labels = named.select("node", "root").join(least, "root").select("node", "component")
