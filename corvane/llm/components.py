@@ -56,22 +56,23 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInArrow(run, edges.select("u", "v").schema)
 
 
-def _print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def stars_only(edges: DataFrame) -> bool:
+    """Whether every node of the links (u > v) has either one smaller neighbour or larger ones alone, as the smallest of a component."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (u, v); root is the smallest node reachable.
 
     Each round sends every node's larger neighbours, then its smaller ones, to its smallest neighbour, until
-    nothing changes; the number of rounds grows with the logarithm of the number of nodes. Minima have partial
+    only stars are left; the number of rounds grows with the logarithm of the number of nodes. Minima have partial
     sums and are written before the joins back to them, so that adaptive execution can split the rows of a node with very many links.
     Links of a node to itself and repeated links change nothing; an empty table gives an empty one.
     """
     spark = links.sparkSession
     edges, at = written(contracted(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")).distinct(), "links")
-    seen = _print(edges)
-    while seen[0]:
+    while not stars_only(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least, path1 = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
         large, path2 = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -80,10 +81,8 @@ def components(links: DataFrame) -> DataFrame:
         told = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         last = at
         edges, at = written(contracted(told).distinct(), "links")
-        before, seen = seen, _print(edges)
         erase(spark, path1, path2, path3, last)
+        del both, least, large, small, told
         release(spark)
-        if before == seen:
-            break
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
