@@ -74,6 +74,12 @@ def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where its files make fewer tasks than there are cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def words_of(text):
     """The words of a text column as an array, without regular expressions."""
     flat = F.translate(F.coalesce(text, F.lit("")), WORD_SPACE[1:], " " * 5)

@@ -58,8 +58,14 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 def stars_only(edges: DataFrame) -> bool:
     """Whether every node of the links (u > v) has either one smaller neighbour or larger ones alone, as the smallest of a component."""
-    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
+    none = F.lit(None).cast(edges.schema["v"].dataType)
+    ends = edges.select(F.col("u").alias("x"), "v", F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), none.alias("v"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.min("v").alias("v0"), F.max("v").alias("v1"), F.max("down").alias("down")).where("v0 <> v1 or v0 is not null and down = 1").isEmpty()
+
+
+def _fewer(edges: DataFrame) -> DataFrame:
+    """Contracted where they lie, dealt by hash, and contracted again."""
+    return contracted(contracted(edges).distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -71,7 +77,7 @@ def components(links: DataFrame) -> DataFrame:
     Links of a node to itself and repeated links change nothing; an empty table gives an empty one.
     """
     spark = links.sparkSession
-    edges, at = written(contracted(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")).distinct(), "links")
+    edges, at = written(_fewer(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")), "links")
     while not stars_only(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least, path1 = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
@@ -80,9 +86,9 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         told = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         last = at
-        edges, at = written(contracted(told).distinct(), "links")
+        edges, at = written(_fewer(told), "links")
         erase(spark, path1, path2, path3, last)
         del both, least, large, small, told
         release(spark)
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -8,11 +8,13 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spread
+
 NAMES = ("op1_suffix_dedup", "op2_secrets", "op3_ann", "op4_html", "op5_mixing", "op6_minhash", "op7_warc", "op8_chat", "op9_quality_rules", "op10_bpe", "pipeline")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
