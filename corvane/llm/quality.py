@@ -14,8 +14,6 @@ from .common import WORD_SPACE, cut, small_or_shuffled, words_of
 LINE_LIMIT = 20
 #: A document that boilerplate lines leave fewer words than this is depleted; the base rules reject texts of fewer.
 LEAST_WORDS = 20
-#: Only the query's SQL reads this share.
-LEAST_SHARE = 0.1
 #: Rows of the table of depleted documents up to which it is broadcast.
 BROADCAST_ROWS = 100_000
 WINDOW = 8

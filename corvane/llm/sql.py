@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import LEAST_SHARE, LEAST_WORDS, LINE_LIMIT
+from .quality import LEAST_WORDS, LINE_LIMIT
 
 #: The words of a text: runs without white space.
 WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
@@ -42,9 +42,8 @@ ln as (select doc_id, count(*) - count(distinct line) as n_dup_lines from (selec
 base as (select t.doc_id, host, t, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words from t left join rep using (doc_id) left join ln using (doc_id)),
 doc as (select distinct host, t from base),
 nl as (select host, t, i, array_to_string({words('line')}, ' ') as line, len({words('line')}) as n from (select host, t, lower(unnest(string_split(t, chr(10)))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i from doc) where len({words('line')}) > 0),
-two as (select host, t, list_sort(list_distinct(list(line)))[1:2] as two from nl group by host, t),
-by_line as (select host, line, count(distinct coalesce(case when two[1] = line then two[2] else two[1] end, chr(1))) as c from nl join two using (host, t) group by host, line),
-gone as (select host, t from nl join by_line using (host, line) group by host, t having sum(case when c > {LINE_LIMIT} then 0 else n end) < {LEAST_SHARE} * sum(n) and sum(case when c > {LINE_LIMIT} then 0 else n end) < {LEAST_WORDS})
+common as (select host, line from nl group by host, line having count(distinct t) > {LINE_LIMIT}),
+gone as (select host, t from nl left join (select host, line, 1 as common from common) c using (host, line) group by host, t having count(common) > 0 and coalesce(sum(n) filter (where common is null), 0) < {LEAST_WORDS})
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and gone.t is null as kept from base left join gone using (host, t)"""
 
 ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1, "op6_minhash": OP6, "op7_warc": OP7, "op9_quality_rules": OP9}
