@@ -1,10 +1,9 @@
 """Secret scans by assignment-aware lexing.
 
-Besides fixed patterns (`assign`, `access`, `hex`), a text's source and configuration lines are read
-as pairs of a name and a value: `name = "literal"`, `"name": "literal"`, `export NAME=literal`,
-`name := other + "literal"`. Values that name earlier constants take their literals; a literal is
-scored by how sensitive the names it reaches are and how much it looks like a key, and found ones are
-added as kind `literal`.
+Besides fixed patterns (`assign`, `access`, `hex`), a text is read as assignments of terms to names (see
+assignments). Names that terms refer to are followed until only literals are left; a literal is scored by how
+sensitive the names it reaches are and how much the joined value looks like a key, and found ones are added as
+kind `literal`.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .assignments import Literal, assignments, resolved
 from .common import batches
 
 #: The base patterns. Keywords take letters in either case, ASCII only.
@@ -36,11 +36,11 @@ LEAST_SCORE = 0.5
 #: Characters up to which a value's joined text is kept; it holds every fixed placeholder.
 SHORT = 64
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|none|null|true|false|changeme|example|placeholder|your[_-].*|<.*>|todo|test|dummy)$")
-NAME_BEFORE = re.compile(r"([A-Za-z_][A-Za-z0-9_.\-]*)[\"']?[ \t]*$", re.ASCII)
-NAME_TAIL = re.compile(r"[A-Za-z0-9_.\-\"' \t]*$", re.ASCII)
-TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|\$\{?([A-Za-z_][A-Za-z0-9_]*)\}?|([^\s"',;(){}\[\]+]+))""", re.ASCII)
-PLUS = re.compile(r"[ \t]*\+")
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*", re.ASCII)
+#: Where a text in lower case may assign to a sensitive name: a part of it, the rest of the name, and what follows.
+PART = re.compile(r"password|passwd|passphrase|pwd|secret|token|apikey|credential|auth|bearer|signature|salt|pass|key")
+TAIL = re.compile(r"[a-z0-9_]*(?:[.\-][a-z0-9_]+)*")
+ASSIGNS = re.compile(r"""["'`]\s*[,:=\]/>v)]|["'`\]]*\s*(?:\[[^\[\]\n]*\]\s*)?(?:[:=>?|+]|->)|\(|\s+[a-z][a-z0-9_.:\-]*\s*=|[ \t]+(?:string|str)\b""")
+PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -59,20 +59,21 @@ def name_score(name: str) -> float:
 
 
 class Value:
-    """What a name stands for: literals (start, end, text) and earlier values, shared by reference, with what the score needs to know of their joined text."""
+    """What a name stands for: literals and other names' values, shared by reference, with what the score needs to know of their joined text."""
 
-    def __init__(self, parts: list[tuple[int, int, str] | Value]):
+    def __init__(self, parts: list[Literal | Value]):
         self.parts = parts
-        self.known = self.found = False  # whether the figures below are there; whether the literals were found before
+        self.known = self.busy = self.found = False  # whether the figures below are there, or being made; whether the literals were found before
 
     def know(self) -> Value:
-        """With size, counts of characters, the text where it is short, its first and last characters and whether it holds a "://"."""
+        """With size, counts of characters, the text where it is short, its first and last characters and whether it holds a "://". A value adds nothing to itself."""
         todo = [self]
         while todo:
             v = todo[-1]
-            missing = [x for x in v.parts if isinstance(x, Value) and not x.known]
+            v.busy = True
+            missing = [x for x in v.parts if isinstance(x, Value) and not x.known and not x.busy]
             if missing:
-                todo += missing
+                todo.append(missing[0])
                 continue
             todo.pop()
             if not v.known:
@@ -80,9 +81,12 @@ class Value:
         return self
 
     def join(self) -> None:
-        self.size, self.counts, self.text, self.head, self.tail, self.url = 0, Counter(), "", "", "", False
+        self.size, self.counts, self.text, self.head, self.tail, self.url, self.pem = 0, Counter(), "", "", "", False, False
         for x in self.parts:
-            size, counts, text, head, tail, url = (x.size, x.counts, x.text, x.head, x.tail, x.url) if isinstance(x, Value) else (len(x[2]), x[2], x[2], x[2][:SHORT], x[2][-2:], "://" in x[2])
+            if isinstance(x, Value) and not x.known:
+                continue
+            self.pem |= x.pem if isinstance(x, Value) else PEM.search(x.text) is not None
+            size, counts, text, head, tail, url = (x.size, x.counts, x.text, x.head, x.tail, x.url) if isinstance(x, Value) else (len(x.text), x.text, x.text, x.text[:SHORT], x.text[-2:], "://" in x.text)
             self.size += size
             self.counts.update(counts)
             self.url = self.url or url or "://" in self.tail + head[:2]
@@ -96,7 +100,7 @@ class Value:
         head = self.head.lower()
         return set(self.counts) <= {"x", "X"} or len(self.counts) == 1 and head[0] in "*.-" or head.startswith(("your_", "your-")) or head[0] == "<" and self.tail[-1] == ">"
 
-    def literals(self) -> Iterator[tuple[int, int, str]]:
+    def literals(self) -> Iterator[Literal]:
         """The literals that no call before this one gave."""
         todo = [self]
         while todo:
@@ -113,6 +117,8 @@ class Value:
 def value_score(value: Value) -> float:
     """From 0 to 1: long enough, of several kinds of characters, without runs of words."""
     n, counts = value.know().size, value.counts
+    if value.pem:
+        return 1.0
     if n < 8 or value.placeholder() or value.url or any(c.isspace() for c in counts):
         return 0.0
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
@@ -134,67 +140,38 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, str] | str]]]:
-    """The names that the text assigns to, each with its terms: a literal's start, end and text, or another name."""
-    for m in re.finditer(r"[:=]", text):
-        p = m.start()
-        left = text[max(0, p - 96) : p]
-        if left.endswith((":", "=", "!", "<", ">", "/")) or not (n := NAME_BEFORE.search(left, NAME_TAIL.search(left).start())):
-            continue
-        at = p + 1
-        if text[at : at + 1] == "=" and text[p] == ":" or text[at : at + 1] == ">":
-            at += 1
-        elif text[at : at + 1] in ("=", ":", "/"):
-            continue
-        terms: list[tuple[int, int, str] | str] = []
-        while t := TERM.match(text, at):
-            k = t.lastindex
-            bare = k == 4
-            if k == 3 or bare and IDENTIFIER.fullmatch(t[4]) and terms_only(text, t.end()):
-                terms.append(t[k])
-            if k != 3:
-                terms.append((t.start(k), t.end(k), t[k]))
-            at = t.end()
-            if not (plus := PLUS.match(text, at)):
-                break
-            at = plus.end()
-        if terms:
-            yield n[1], terms
-
-
-def terms_only(text: str, at: int) -> bool:
-    """Whether the line ends here but for closing marks or a joined term, as after a name that stands for a constant."""
-    rest = text[at : at + 8].lstrip(" \t;,)}]")
-    return not rest or rest[0] in "\n\r+#"
+def may_assign(text: str) -> bool:
+    """Whether a text has any place to read further for."""
+    low, at = text.lower(), 0
+    while m := PART.search(low, at):
+        at = TAIL.match(low, m.end()).end()
+        if ASSIGNS.match(low, at):
+            return True
+    return False
 
 
 def literal_spans(text: str) -> list[Span]:
-    constants: dict[str, Value] = {}
+    """The literals that reach sensitive names and look like keys, through any number of names between, in any order."""
+    if not may_assign(text):
+        return []
+    told = list(resolved(assignments(text)))
+    values = [Value([]) for _ in told]
+    for value, (_, terms) in zip(values, told, strict=True):
+        value.parts = [values[t] if isinstance(t, int) else t for t in terms]
     out = {}
-    for name, terms in pairs(text):
-        reached: list[tuple[int, int, str] | Value] = []
-        for t in terms:
-            if isinstance(t, str):
-                if t in constants:
-                    reached.append(constants[t])
-            elif t[2] not in constants:
-                reached.append(t)
-        if not reached:
-            continue
-        value = constants[name] = reached[0] if len(reached) == 1 and isinstance(reached[0], Value) else Value(reached)
+    for value, (name, _) in zip(values, told, strict=True):
         weight = name_score(name)
         if weight and weight * value_score(value) >= LEAST_SCORE:
-            for start, end, _ in value.literals():
-                if end > start:
-                    out[start, end] = Span(start, 3, end, start)
+            for x in value.literals():
+                if x.end > x.start:
+                    out[x.start, x.end] = Span(x.start, 3, x.end, x.start)
     return list(out.values())
 
 
 def spans_of(text: str) -> list[Span]:
     """All spans by start, then kind; literals that a base span covers are left to it."""
     base = base_spans(text)
-    if "=" in text or ":" in text:
-        base += [s for s in literal_spans(text) if not any(b.start <= s.start and s.end <= b.end for b in base)]
+    base += [s for s in literal_spans(text) if not any(b.start <= s.start and s.end <= b.end for b in base)]
     return sorted(base)
 
 
