@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 #: Fixed values. A word: letters, digits and underscores, with apostrophes and hyphens inside. A run: the part between word boundaries.
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
 RUN = r"[\p{L}\p{N}_]+"
-TOKEN = WORD + r"|[^\p{L}\p{N}_\s]"
+#: White space, as Unicode has it, with the information separators; the same text in Java's patterns and DuckDB's.
+SPACES = r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+TOKEN = WORD + r"|[^\p{L}\p{N}_" + SPACES + "]"
 SPLIT = "\x01"
 
 
@@ -24,7 +26,12 @@ def let(value: Column, body) -> Column:
 
 def normalize(text: Column) -> Column:
     """White space collapsed to single spaces, none at the ends."""
-    return F.btrim(F.regexp_replace(text, r"\s+", " "))
+    return F.btrim(F.regexp_replace(text, f"[{SPACES}]+", " "))
+
+
+def folded(text: Column) -> Column:
+    """Text in folded case: ß as ss, every sigma alike; a dotless i stays. What lies between the two cases keeps the optimizer from dropping the upper one."""
+    return F.translate(F.lower(F.translate(F.upper(F.translate(text, "\u0131", "\ue000")), "\ue001", "\ue001")), "\u03c2\ue000", "\u03c3\u0131")
 
 
 def words(text: Column) -> Column:

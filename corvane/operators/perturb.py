@@ -1,4 +1,5 @@
-"""Seeded edits of texts. Each gives the edited text, the numbers of eligible and edited places and the realized rate.
+"""Seeded edits of texts. Each gives the edited text, the numbers of eligible and edited places, the realized rate and
+the changed spans (start, end, before, after) of the normalized text, in order.
 
 A normalized text is cut into separators and runs of word characters by turns, or into sentences; the
 eligible places are ordered by a hash of seed, text id and place, the first ones at the rate are
@@ -11,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.sources.tables import PASSAGE
 
-from .sampling import choose_count
+from .sampling import choose_count, third
 
 #: Words that edits look for.
 DETERMINERS = ("a", "an", "the", "this", "that", "these", "those", "each", "every", "some", "any")
@@ -37,11 +39,18 @@ def _places(parts: Column, test) -> Column:
     return F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), lambda i: (i < F.size(parts)) & test(parts, i, F.get(parts, i)))
 
 
-def edit_runs(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str, test, change, after=None) -> DataFrame:
-    """docs with n_eligible, n_edited, realized and edited. change(run) gives the new run; after(separator) what becomes of the one behind it.
+def edit_runs(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str, test, change, after=None, position: str | None = None) -> DataFrame:
+    """docs with n_eligible, n_edited, realized, edited and spans. change(run) gives the new run; after(separator) what becomes of the one behind it.
 
-    Parts and places are bound within one expression: as columns, they could be carried into the functions over their elements and be computed for each.
+    position: the third of the text in which the middle of an edited run lies. Parts and places are bound within one
+    expression: as columns, they could be carried into the functions over their elements and be computed for each.
     """
+    begin = lambda p, i: F.length(F.array_join(F.slice(p, F.lit(1), i), ""))
+
+    def placed(p: Column, i: Column, w: Column) -> Column:
+        if position in (None, "uniform"):
+            return test(p, i, w)
+        return test(p, i, w) & T.let(begin(p, i), lambda at: third(at, at + F.length(w), F.length(normal), position))
 
     def edited(p: Column, e: Column, c: Column) -> Column:
         def piece(x: Column, i: Column) -> Column:
@@ -50,47 +59,54 @@ def edit_runs(docs: DataFrame, key: str, normal: str, rate: float, seed: int | s
                 new = new.when(F.array_contains(c, i - 1), after(x))
             return new.otherwise(x)
 
-        return F.struct(F.size(e).cast("long").alias("n_eligible"), F.size(c).cast("long").alias("n_edited"), F.array_join(F.transform(p, piece), "").alias("edited"))
+        def span(i: Column) -> Column:
+            before = F.get(p, i)
+            if after is not None:  # what goes of the separator
+                gap = F.get(p, i + 1)
+                before = F.concat(before, F.substr(gap, F.lit(1), F.length(gap) - F.length(after(gap))))
+            return T.let(begin(p, i), lambda at: F.struct(at.alias("start"), (at + F.length(before)).alias("end"), before.alias("before"), change(F.get(p, i)).alias("after")))
 
-    told = T.let(runs(F.col(normal)), lambda p: T.let(_places(p, test), lambda e: T.let(chosen(e, seed, F.col(key), choose_count(F.size(e), rate)), lambda c: edited(p, e, c))))
-    rows = docs.withColumn("__r", told).withColumns({n: F.col(f"__r.{n}") for n in ("n_eligible", "n_edited", "edited")}).drop("__r")
+        return F.struct(F.size(e).cast("long").alias("n_eligible"), F.size(c).cast("long").alias("n_edited"), F.array_join(F.transform(p, piece), "").alias("edited"), F.transform(c, span).alias("spans"))
+
+    told = T.let(runs(F.col(normal)), lambda p: T.let(_places(p, placed), lambda e: T.let(chosen(e, seed, F.col(key), choose_count(F.size(e), rate)), lambda c: edited(p, e, c))))
+    rows = docs.withColumn("__r", told).withColumns({n: F.col(f"__r.{n}") for n in ("n_eligible", "n_edited", "edited", "spans")}).drop("__r")
     return rows.withColumn("realized", F.col("n_edited") / F.greatest("n_eligible", F.lit(1)))
 
 
-def article_delete(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str) -> DataFrame:
+def article_delete(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str, position: str | None = None) -> DataFrame:
     """Determiners go, with the space behind them."""
-    return edit_runs(docs, key, normal, rate, seed, lambda p, i, w: F.lower(w).isin(*DETERMINERS), lambda w: F.lit(""), lambda s: F.ltrim(s))
+    return edit_runs(docs, key, normal, rate, seed, lambda p, i, w: F.lower(w).isin(*DETERMINERS), lambda w: F.lit(""), lambda s: F.ltrim(s), position)
 
 
-def function_word_repeat(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str) -> DataFrame:
+def function_word_repeat(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str, position: str | None = None) -> DataFrame:
     """Function words stand twice."""
-    return edit_runs(docs, key, normal, rate, seed, lambda p, i, w: F.lower(w).isin(*FUNCTION_WORDS), lambda w: F.concat(w, F.lit(" "), w))
+    return edit_runs(docs, key, normal, rate, seed, lambda p, i, w: F.lower(w).isin(*FUNCTION_WORDS), lambda w: F.concat(w, F.lit(" "), w), position=position)
 
 
-def agreement_error(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str) -> DataFrame:
+def agreement_error(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str, position: str | None = None) -> DataFrame:
     """Verbs right behind a pronoun change their number."""
     other = F.create_map(*[F.lit(x) for kv in VERBS.items() for x in kv])
     def test(p: Column, i: Column, w: Column) -> Column:
         return F.lower(w).isin(*VERBS) & (i >= 3) & (F.get(p, i - 1) == " ") & F.lower(F.get(p, i - 2)).isin(*SUBJECTS)
 
-    return edit_runs(docs, key, normal, rate, seed, test, lambda w: T.like_case(w, other[F.lower(w)]))
+    return edit_runs(docs, key, normal, rate, seed, test, lambda w: T.like_case(w, other[F.lower(w)]), position=position)
 
 
-def inflection_error(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str) -> DataFrame:
+def inflection_error(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str, position: str | None = None) -> DataFrame:
     """Words of ASCII letters take a wrong form. Words joined by apostrophes or hyphens count part by part."""
     test = lambda p, i, w: F.regexp_like(w, F.lit("^[A-Za-z]+$")) & T.wrong_inflection(w).isNotNull()
-    return edit_runs(docs, key, normal, rate, seed, test, T.wrong_inflection)
+    return edit_runs(docs, key, normal, rate, seed, test, T.wrong_inflection, position=position)
 
 
 def case_lower(docs: DataFrame, normal: str) -> DataFrame:
-    """All letters small; realized is 0 where nothing changes."""
-    return docs.withColumn("edited", F.lower(normal)).withColumn("n_edited", (F.col("edited") != F.col(normal)).cast("long")).withColumn("realized", F.col("n_edited").cast("double"))
+    """All letters small; realized is 0 where nothing changes. One span holds the whole text."""
+    whole = F.struct(F.lit(0).alias("start"), F.length(normal).alias("end"), F.col(normal).alias("before"), F.lower(normal).alias("after"))
+    spans = F.when(F.lower(normal) != F.col(normal), F.array(whole)).otherwise(F.slice(F.array(whole), 1, 0))
+    return docs.withColumn("edited", F.lower(normal)).withColumn("spans", spans).withColumn("n_edited", (F.col("edited") != F.col(normal)).cast("long")).withColumn("realized", F.col("n_edited").cast("double"))
 
 
 def with_sentences(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str, position: str | None = None, least: int = 1, fits=None) -> DataFrame:
     """docs with __s (sentences), __e (eligible places from 0) and __c (chosen places)."""
-    from .sampling import third
-
     def eligible(s: Column) -> Column:
         places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
         if fits is not None:
@@ -107,15 +123,23 @@ def with_sentences(docs: DataFrame, key: str, normal: str, rate: float, seed: in
     return rows.withColumns({"__s": F.col("__w.s"), "__e": F.col("__w.e"), "__c": F.col("__w.c")}).drop("__w")
 
 
-def _done(rows: DataFrame, realized: Column) -> DataFrame:
-    return rows.withColumn("n_eligible", F.size("__e").cast("long")).withColumn("n_edited", F.size("__c").cast("long")).withColumn("realized", realized).drop("__s", "__e", "__c")
+def _done(rows: DataFrame, new: Column, realized: Column) -> DataFrame:
+    """rows of with_sentences() with what an edit gives; new: the sentences afterwards."""
+
+    def span(i: Column, n: Column) -> Column:
+        at = F.length(F.array_join(F.slice("__s", F.lit(1), i), " ")) + F.least(i, F.lit(1))
+        return T.let(at, lambda x: F.struct(x.alias("start"), (x + F.length(F.get("__s", i))).alias("end"), F.get("__s", i).alias("before"), F.get(n, i).alias("after")))
+
+    both = T.let(new, lambda n: F.struct(F.array_join(n, " ").alias("edited"), F.transform(F.filter("__c", lambda i: F.get(n, i) != F.get("__s", i)), lambda i: span(i, n)).alias("spans")))
+    rows = rows.withColumn("__n", both).withColumns({n: F.col(f"__n.{n}") for n in ("edited", "spans")})
+    return rows.withColumn("n_eligible", F.size("__e").cast("long")).withColumn("n_edited", F.size("__c").cast("long")).withColumn("realized", realized).drop("__s", "__e", "__c", "__n")
 
 
 def sentence_repeat(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str, position: str | None = None) -> DataFrame:
     """Chosen sentences stand twice; realized by all sentences."""
     rows = with_sentences(docs, key, normal, rate, seed, position)
     new = F.transform("__s", lambda s, i: F.when(F.array_contains("__c", i), F.concat(s, F.lit(" "), s)).otherwise(s))
-    return _done(rows.withColumn("edited", F.array_join(new, " ")), F.size("__c") / F.greatest(F.size("__s"), F.lit(1)))
+    return _done(rows, new, F.size("__c") / F.greatest(F.size("__s"), F.lit(1)))
 
 
 def _shuffled(items: Column, seed: str, key: Column, tag: Column) -> Column:
@@ -131,8 +155,8 @@ def sentence_permute(docs: DataFrame, key: str, normal: str, rate: float, seed:
     rows = with_sentences(docs, key, normal, rate, seed, position, least=2)
     rows = rows.withColumn("__c", F.when(F.size("__e") >= 2, F.col("__c")).otherwise(F.array().cast("array<int>")))
     mixed = T.let(F.transform("__c", lambda i: F.get("__s", i)), lambda items: _shuffled(items, f"{seed}p", F.col(key), F.lit("s")))
-    new = T.let(mixed, lambda m: F.array_join(F.transform("__s", lambda s, i: F.coalesce(F.get(m, F.array_position("__c", i).cast("int") - 1), s)), " "))
-    return _done(rows.withColumn("edited", new), F.size("__c") / F.greatest(F.size("__s"), F.lit(1)))
+    new = T.let(mixed, lambda m: F.transform("__s", lambda s, i: F.coalesce(F.get(m, F.array_position("__c", i).cast("int") - 1), s)))
+    return _done(rows, new, F.size("__c") / F.greatest(F.size("__s"), F.lit(1)))
 
 
 def _ascii(s: Column) -> Column:
@@ -161,7 +185,7 @@ def local_shuffle(docs: DataFrame, key: str, normal: str, rate: float, seed: int
         return T.let(_ascii(s), within)
 
     new = F.transform("__s", lambda s, i: F.when(F.array_contains("__c", i), mixed(s, i)).otherwise(s))
-    return _done(rows.withColumn("edited", F.array_join(new, " ")), F.size("__c") / F.greatest(F.size("__e"), F.lit(1)))
+    return _done(rows, new, F.size("__c") / F.greatest(F.size("__e"), F.lit(1)))
 
 
 def phrase_repeat(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str, position: str | None = None) -> DataFrame:
@@ -180,8 +204,8 @@ def phrase_repeat(docs: DataFrame, key: str, normal: str, rate: float, seed: int
 
     new = F.transform("__s", lambda s, i: F.when(F.array_contains("__c", i), doubled(s, i)).otherwise(s))
     again = F.aggregate("__c", F.lit(0), lambda a, i: a + width(_ascii(F.get("__s", i))))
-    rows = rows.withColumn("edited", F.array_join(new, " ")).withColumn("__w", again)
-    return _done(rows, F.col("__w") / F.greatest(F.size(T.words(F.col("edited"))), F.lit(1))).drop("__w")
+    rows = rows.withColumn("__w", again)
+    return _done(rows, new, F.col("__w") / F.greatest(F.size(T.words(F.col("edited"))), F.lit(1))).drop("__w")
 
 
 def sentence_pool(texts: DataFrame, normal: str, least: int = 20, most: int = 300) -> DataFrame:
@@ -216,7 +240,7 @@ def splice(docs: DataFrame, pool: DataFrame, total: int, key: str, normal: str,
     rows = rows.join(drawn, key, "left").withColumn("__d", F.map_from_entries(F.coalesce("__d", F.array().cast("array<struct<i:int,__new:string>>"))))
     rows = rows.withColumn("__c", F.filter("__c", lambda i: F.col("__d")[i] != F.get("__s", i)))
     new = F.transform("__s", lambda s, i: F.when(F.array_contains("__c", i), F.col("__d")[i]).otherwise(s))
-    return _done(rows.withColumn("edited", F.array_join(new, " ")), F.size("__c") / F.greatest(F.size("__s"), F.lit(1))).drop("__d")
+    return _done(rows, new, F.size("__c") / F.greatest(F.size("__s"), F.lit(1))).drop("__d")
 
 
 def rewrite_sentences(docs: DataFrame, normal: str, targets: str, rewrites: str) -> DataFrame:
@@ -233,13 +257,24 @@ def rewrite_sentences(docs: DataFrame, normal: str, targets: str, rewrites: str)
 RULES = {"article_delete": article_delete, "inflection_error": inflection_error, "agreement_error": agreement_error, "function_word_repeat": function_word_repeat, "local_shuffle": local_shuffle, "phrase_repeat": phrase_repeat, "sentence_repeat": sentence_repeat, "sentence_permute": sentence_permute}
 
 
-def rule_records(docs: DataFrame, key: str, normal: str, rules: dict[str, dict[str, float]], seed: int, done: DataFrame | None = None) -> DataFrame:
-    """(sample_id, parent_sample_id, perturbation, severity, requested_rate, realized_rate, clean_text, perturbed_text, text_hash) of every rule and severity over every text, without those done and those that change nothing."""
+def rule_records(docs: DataFrame, key: str, normal: str, rules: dict[str, dict[str, float]], seed: int, done: DataFrame | None = None, positions: tuple[str | None, ...] = (None,), given: dict[str, str] | None = None) -> DataFrame:
+    """A record (the columns of PASSAGE) of every rule, severity and position over every text, without those done and those that change nothing.
+
+    done: (sample_id) of an earlier run. given: record fields that columns of docs hold. Rules without a position take each text once.
+    """
     out = None
     for rule, severities in rules.items():
         for severity, rate in severities.items():
-            rows = case_lower(docs, normal) if rule == "case_lower" else RULES[rule](docs, key, normal, rate, f"{seed}:{rule}:{severity}")
-            # the number keeps the filter above the edits: within them it would be computed for every piece
-            rows = rows.withColumn("__b", F.monotonically_increasing_id()).where((F.col("edited") != F.col(normal)) & (F.col("__b") >= 0)).select(F.concat(F.col(key).cast("string"), F.lit(f":{rule}:{severity}")).alias("sample_id"), F.col(key).cast("string").alias("parent_sample_id"), F.lit(rule).alias("perturbation"), F.lit(severity).alias("severity"), F.lit(rate).alias("requested_rate"), F.col("realized").alias("realized_rate"), F.col(normal).alias("clean_text"), F.col("edited").alias("perturbed_text"), F.sha2("edited", 256).alias("text_hash"))
-            out = rows if out is None else out.unionByName(rows)
-    return out.join(done.select("sample_id"), "sample_id", "left_anti") if done is not None else out
+            for position in positions if rule != "case_lower" else (None,):
+                tail = f":{rule}:{severity}" + (f":{position}" if position else "")
+                rows = case_lower(docs, normal) if rule == "case_lower" else RULES[rule](docs, key, normal, rate, f"{seed}{tail}", position=position)
+                # the number keeps the filter above the edits: within them it would be computed for every piece
+                rows = rows.withColumn("__b", F.monotonically_increasing_id()).where((F.col("edited") != F.col(normal)) & (F.col("__b") >= 0))
+                id_ = F.col(key).cast("string")
+                made = {"sample_id": F.concat(id_, F.lit(tail)), "source_document_id": id_, "role": F.lit("perturbed"), "text_hash": F.sha2("edited", 256), "clean_text": F.col(normal), "parent_sample_id": id_, "perturbed_text": F.col("edited")}
+                made |= {"perturbation": F.lit(rule), "severity": F.lit(severity), "requested_rate": F.lit(float(rate)), "realized_rate": F.col("realized"), "generator": F.lit("rule"), "seed": T.stable_seed(seed, T.quoted(id_), rule, severity, position or "uniform")}
+                made |= {"changed_spans": F.col("spans"), "word_count": F.size(T.words(F.col("edited"))), "sentence_count": F.size(T.sentences(T.normalize(F.col("edited")))), "position": F.lit(position)}
+                made |= {n: F.col(c) for n, c in (given or {}).items()}
+                rows = rows.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PASSAGE])
+                out = rows if out is None else out.unionByName(rows)
+    return out.join(done.select("sample_id").distinct(), "sample_id", "left_anti") if done is not None else out

@@ -73,12 +73,12 @@ ANCHOR = r'(?is)ANCHOR\s*:\s*["“]?(.+?)["”]?\s*(?:\|\||NEW\s*:|$)'
 
 
 def anchor(evidence: Column) -> Column:
-    return F.lower(T.normalize(F.regexp_extract(evidence, ANCHOR, 1)))
+    return T.folded(T.normalize(F.regexp_extract(evidence, ANCHOR, 1)))
 
 
 def _unchanged(perturbed: Column, clean: Column) -> Column:
     """Sentences of the edited text, normalized, that stand in the clean one too."""
-    cut = lambda t: F.transform(F.filter(F.split(t, r"(?<=[.!?])\s+", -1), lambda s: s != ""), lambda s: F.lower(T.normalize(s)))
+    cut = lambda t: F.transform(F.filter(F.split(t, r"(?<=[.!?])\s+", -1), lambda s: s != ""), lambda s: T.folded(T.normalize(s)))
     return F.array_intersect(cut(perturbed), cut(clean))
 
 
@@ -102,8 +102,8 @@ def anchor_survives(rows: DataFrame, evidence: str, perturbed: str, clean: str,
 
 def contradiction_ok(sentence: Column, exact: Column, perturbed: Column) -> Column:
     """A recorded anchor must stand in the edited text; where none is recorded, `exact` decides."""
-    a = F.lower(T.normalize(F.coalesce(sentence, F.lit(""))))
-    return F.when(a != "", (F.length(a) >= LEAST_ANCHOR) & F.contains(F.lower(T.normalize(perturbed)), a)).otherwise(exact)
+    a = T.folded(T.normalize(F.coalesce(sentence, F.lit(""))))
+    return F.when(a != "", (F.length(a) >= LEAST_ANCHOR) & F.contains(T.folded(T.normalize(perturbed)), a)).otherwise(exact)
 
 
 def not_pinned(revision: str | None) -> bool:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -17,17 +17,33 @@ RATE, SEED = 0.25, 17
 OUT = ("doc_id", "n_eligible", "n_edited", "realized", "edited_hash")
 
 
+def spans_hash() -> Column:
+    """Of the changed spans, one a line."""
+    return F.sha2(F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"], s["before"], s["after"])), "\n"), 256).alias("spans_hash")
+
+
 def told(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "n_eligible", "n_edited", F.round("realized", 8).alias("realized"), F.sha2("edited", 256).alias("edited_hash"))
+    return rows.select("doc_id", "n_eligible", "n_edited", F.round("realized", 8).alias("realized"), F.sha2("edited", 256).alias("edited_hash"), spans_hash())
+
+
+def _spans(of: str, start: str, before: str, after: str, where: str = "true") -> str:
+    """SQL for spans_hash: over i in the list `of`."""
+    return f"sha256(coalesce(array_to_string(list_transform(list_filter({of}, lambda i: {where}), lambda i: ({start}) || ':' || ({start} + length({before})) || ':' || {before} || ':' || {after}), chr(10)), '')) as spans_hash"
+
+
+def _sentence_spans(new: str) -> str:
+    """The same for sentences s, of which those at c (from 0) become `new`."""
+    return _spans("coalesce(c, [])", "coalesce(length(array_to_string(s[1:i], ' ')), 0) + least(i, 1)", "s[i + 1]", new, f"{new} <> s[i + 1]")
 
 
 def _runs_sql(test: str, new: str, behind: str | None = None) -> str:
     """test, new: SQL over p (pieces by turns), i (1-based place of a run); behind: over x, the separator."""
+    gone = "p[i] || left(p[i + 1], length(p[i + 1]) - length(" + behind.replace("$x", "p[i + 1]") + "))" if behind else "p[i]"
     rest = f" when list_contains(c, i - 1) then {behind.replace('$x', 'p[i]')}" if behind else ""
     return f"""with a as (select doc_id, {S.runs('n')} as p from {NORMAL}),
     b as (select doc_id, p, list_filter(range(2, len(p) + 1, 2), lambda i: {test}) as e from a),
     c as (select doc_id, p, e, list_transform(list_sort(list_transform(e, lambda i: {{'h': sha256('{SEED}:' || doc_id || ':' || (i - 1)), 'i': i}}))[1:{S.choose('len(e)', RATE)}], lambda x: x.i) as c from b)
-    select doc_id, len(e) as n_eligible, len(c) as n_edited, round(len(c) / greatest(len(e), 1), 8) as realized, sha256(array_to_string(list_transform(range(1, len(p) + 1), lambda i: case when list_contains(c, i) then {new}{rest} else p[i] end), '')) as edited_hash from c"""
+    select doc_id, len(e) as n_eligible, len(c) as n_edited, round(len(c) / greatest(len(e), 1), 8) as realized, sha256(array_to_string(list_transform(range(1, len(p) + 1), lambda i: case when list_contains(c, i) then {new}{rest} else p[i] end), '')) as edited_hash, {_spans('list_sort(c)', "coalesce(length(array_to_string(p[1:i - 1], '')), 0)", gone, new)} from c"""
 
 
 def _in(words: tuple[str, ...]) -> str:
@@ -57,9 +73,9 @@ def inflection_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(perturb.inflection_error(documents(spark, sf_dir), "doc_id", "n", RATE, SEED))
 
 
-@query(f"select doc_id, (lower(n) <> n)::bigint as n_edited, (lower(n) <> n)::double as realized, sha256(lower(n)) as edited_hash from {NORMAL}")
+@query(f"select doc_id, (lower(n) <> n)::bigint as n_edited, (lower(n) <> n)::double as realized, sha256(lower(n)) as edited_hash, sha256(case when lower(n) <> n then '0:' || length(n) || ':' || n || ':' || lower(n) else '' end) as spans_hash from {NORMAL}")
 def case_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perturb.case_lower(documents(spark, sf_dir), "n").select("doc_id", "n_edited", F.col("realized").cast("double").alias("realized"), F.sha2("edited", 256).alias("edited_hash"))
+    return perturb.case_lower(documents(spark, sf_dir), "n").select("doc_id", "n_edited", F.col("realized").cast("double").alias("realized"), F.sha2("edited", 256).alias("edited_hash"), spans_hash())
 
 
 def _places(least: int = 1, fits: str = "true", seed: int | str = SEED, rate: float = RATE) -> str:
@@ -69,7 +85,10 @@ def _places(least: int = 1, fits: str = "true", seed: int | str = SEED, rate: fl
     c as (select doc_id, n, s, e, list_sort(list_transform(list_sort(list_transform(e, lambda i: {{'h': sha256('{seed}:' || doc_id || ':' || i), 'i': i}}))[1:least(len(e), greatest({least}, {S.choose('len(e)', rate)}))], lambda x: x.i)) as c from b)"""
 
 
-@query(f"with {_places()} select doc_id, len(e) as n_eligible, len(c) as n_edited, round(len(c) / greatest(len(s), 1), 8) as realized, sha256(array_to_string(list_transform(range(0, len(s)), lambda i: case when list_contains(c, i) then s[i + 1] || ' ' || s[i + 1] else s[i + 1] end), ' ')) as edited_hash from c")
+TWICE = "s[i + 1] || ' ' || s[i + 1]"
+
+
+@query(f"with {_places()} select doc_id, len(e) as n_eligible, len(c) as n_edited, round(len(c) / greatest(len(s), 1), 8) as realized, sha256(array_to_string(list_transform(range(0, len(s)), lambda i: case when list_contains(c, i) then s[i + 1] || ' ' || s[i + 1] else s[i + 1] end), ' ')) as edited_hash, {_sentence_spans(TWICE)} from c")
 def sentence_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(perturb.sentence_repeat(documents(spark, sf_dir), "doc_id", "n", RATE, SEED))
 
@@ -78,7 +97,7 @@ _THIRD = "((list_sum(list_transform(s[1:i + 1], lambda x: length(x) + 1)) - 1) -
 
 
 @query(
-    f"with {_places(fits=f'{_THIRD} >= 1.0 / 3 and {_THIRD} < 2.0 / 3')} select doc_id, len(e) as n_eligible, len(c) as n_edited, round(len(c) / greatest(len(s), 1), 8) as realized, sha256(array_to_string(list_transform(range(0, len(s)), lambda i: case when list_contains(c, i) then s[i + 1] || ' ' || s[i + 1] else s[i + 1] end), ' ')) as edited_hash from c"
+    f"with {_places(fits=f'{_THIRD} >= 1.0 / 3 and {_THIRD} < 2.0 / 3')} select doc_id, len(e) as n_eligible, len(c) as n_edited, round(len(c) / greatest(len(s), 1), 8) as realized, sha256(array_to_string(list_transform(range(0, len(s)), lambda i: case when list_contains(c, i) then s[i + 1] || ' ' || s[i + 1] else s[i + 1] end), ' ')) as edited_hash, {_sentence_spans(TWICE)} from c"
 )
 def middle_sentence_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only sentences whose middle lies in the middle third of the text."""
@@ -93,7 +112,7 @@ def _mixed(items: str, seed: str, tag: str) -> str:
 @query(
     f"""with {_places(least=2)}, d as (select doc_id, s, e, case when len(e) >= 2 then c else [] end as c from c),
     f as (select *, list_transform(c, lambda i: s[i + 1]) as items from d), g as (select *, {_mixed('items', f'{SEED}p', "'s'")} as m from f)
-    select doc_id, len(e) as n_eligible, len(c) as n_edited, round(len(c) / greatest(len(s), 1), 8) as realized, sha256(array_to_string(list_transform(range(0, len(s)), lambda i: coalesce(m[list_position(c, i)], s[i + 1])), ' ')) as edited_hash from g"""
+    select doc_id, len(e) as n_eligible, len(c) as n_edited, round(len(c) / greatest(len(s), 1), 8) as realized, sha256(array_to_string(list_transform(range(0, len(s)), lambda i: coalesce(m[list_position(c, i)], s[i + 1])), ' ')) as edited_hash, {_sentence_spans('m[list_position(c, i)]')} from g"""
 )
 def sentence_permute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(perturb.sentence_permute(documents(spark, sf_dir), "doc_id", "n", RATE, SEED))
@@ -114,7 +133,7 @@ def _start(seed: str, i: str, room: str) -> str:
     y as (select *, list_transform(range(0, w), lambda j: p[2 * (st + j) + 2]) as items from x), z as (select *, {_mixed('items', f'{SEED}l', 'i')} as m from y),
     r as (select doc_id, i, array_to_string(list_transform(range(0, len(p)), lambda j: case when j % 2 = 1 and j // 2 >= st and j // 2 < st + w then m[j // 2 - st + 1] else p[j + 1] end), '') as sent from z),
     q as (select doc_id, map(list(i), list(sent)) as d from r group by doc_id)
-    select c.doc_id, len(e) as n_eligible, len(c) as n_edited, round(len(c) / greatest(len(e), 1), 8) as realized, sha256(array_to_string(list_transform(range(0, len(s)), lambda i: coalesce(d[i], s[i + 1])), ' ')) as edited_hash from c left join q using (doc_id)"""
+    select c.doc_id, len(e) as n_eligible, len(c) as n_edited, round(len(c) / greatest(len(e), 1), 8) as realized, sha256(array_to_string(list_transform(range(0, len(s)), lambda i: coalesce(d[i], s[i + 1])), ' ')) as edited_hash, {_sentence_spans('d[i]')} from c left join q using (doc_id)"""
 )
 def local_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(perturb.local_shuffle(documents(spark, sf_dir), "doc_id", "n", RATE, SEED))
@@ -126,8 +145,8 @@ def local_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     v as (select *, len(p) // 2 as k, least(5, greatest(2, len(p) // 2 // 3)) as w from u), x as (select *, {_start(f'{SEED}r', 'i', 'k - w + 1')} as st from v),
     r as (select doc_id, i, w, array_to_string(p[1:2 * (st + w)], '') || ' ' || array_to_string(p[2 * st + 2:2 * (st + w)], '') || array_to_string(p[2 * (st + w) + 1:], '') as sent from x),
     q as (select doc_id, map(list(i), list(sent)) as d, sum(w) as w from r group by doc_id),
-    o as (select c.doc_id, e, c, w, array_to_string(list_transform(range(0, len(s)), lambda i: coalesce(d[i], s[i + 1])), ' ') as edited from c left join q using (doc_id))
-    select doc_id, len(e) as n_eligible, len(c) as n_edited, round(coalesce(w, 0) / greatest(len({S.words('edited')}), 1), 8) as realized, sha256(edited) as edited_hash from o"""
+    o as (select c.doc_id, e, c, w, s, d, array_to_string(list_transform(range(0, len(s)), lambda i: coalesce(d[i], s[i + 1])), ' ') as edited from c left join q using (doc_id))
+    select doc_id, len(e) as n_eligible, len(c) as n_edited, round(coalesce(w, 0) / greatest(len({S.words('edited')}), 1), 8) as realized, sha256(edited) as edited_hash, {_sentence_spans('d[i]')} from o"""
 )
 def phrase_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(perturb.phrase_repeat(documents(spark, sf_dir), "doc_id", "n", RATE, SEED))
@@ -159,7 +178,7 @@ def _splice_sql(pools: dict[str, str]) -> str:
         head += f""", p{tag} as (select sentence, row_number() over (order by sentence) - 1 as n from ({_pool_sql(where)})),
         d{tag} as (select doc_id, map(list(i), list(sentence)) as d from (select doc_id, i, ('0x' || substr(sha256('{SEED}d{tag}:' || doc_id || ':' || i), 1, 8))::bigint % (select count(*) from p{tag}) as n from (select doc_id, unnest(c) as i from k)) join p{tag} using (n) group by doc_id),
         e{tag} as (select k.doc_id, s, e, list_filter(c, lambda i: d[i] <> s[i + 1]) as c, d from k left join d{tag} using (doc_id)),
-        o{tag} as (select doc_id, len(e) as n_eligible, len(coalesce(c, [])) as n_edited, round(len(coalesce(c, [])) / greatest(len(s), 1), 8) as realized, sha256(array_to_string(list_transform(range(0, len(s)), lambda i: case when list_contains(coalesce(c, []), i) then d[i] else s[i + 1] end), ' ')) as edited_hash from e{tag})"""
+        o{tag} as (select doc_id, len(e) as n_eligible, len(coalesce(c, [])) as n_edited, round(len(coalesce(c, [])) / greatest(len(s), 1), 8) as realized, sha256(array_to_string(list_transform(range(0, len(s)), lambda i: case when list_contains(coalesce(c, []), i) then d[i] else s[i + 1] end), ' ')) as edited_hash, {_sentence_spans('d[i]')} from e{tag})"""
         parts.append(f"select *, '{tag}' as pool from o{tag}")
     return head + " " + " union all ".join(parts)
 
@@ -395,4 +414,4 @@ def edit_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of several rules and severities, without those that change nothing."""
     out = perturb.rule_records(documents(spark, sf_dir), "doc_id", "n", {"sentence_repeat": {"mild": 0.1, "severe": 0.5}, "sentence_permute": {"mild": 0.2}, "case_lower": {"all": 1.0}}, SEED)
-    return out.drop("clean_text", "perturbed_text")
+    return out.select("sample_id", "parent_sample_id", "perturbation", "severity", "requested_rate", F.round("realized_rate", 8).alias("realized_rate"), "text_hash", "word_count", "sentence_count", F.size("changed_spans").alias("n_spans"), (T.apply_spans(F.col("clean_text"), F.col("changed_spans")) == F.col("perturbed_text")).alias("rebuilt"))

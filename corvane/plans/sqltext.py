@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.functions.text import IRREGULAR, RUN, TOKEN, WORD
+from corvane.functions.text import IRREGULAR, RUN, SPACES, TOKEN, WORD
 
 
 def q(text: str) -> str:
@@ -10,7 +10,7 @@ def q(text: str) -> str:
 
 
 def norm(t: str) -> str:
-    return rf"trim(regexp_replace({t}, '\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({t}, '[{SPACES}]+', ' ', 'g'))"
 
 
 def words(t: str) -> str:

@@ -197,7 +197,7 @@ def texts_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""with c as (select doc_id, p, trim(regexp_replace(x, '\s+', ' ', 'g')) as text from (select doc_id, unnest(range(1, len(y) + 1)) as p, unnest(y) as x from (select doc_id, string_split(text, chr(10)) as y from documents)))
+    rf"""with c as (select doc_id, p, {S.norm('x')} as text from (select doc_id, unnest(range(1, len(y) + 1)) as p, unnest(y) as x from (select doc_id, string_split(text, chr(10)) as y from documents)))
     select 'run:' || lpad((row_number() over (order by doc_id, p) - 1)::varchar, 6, '0') as sample_id, text, 'sampler' as model, 'run' as run_id, 13 as seed from c where text <> ''"""
 )
 def normalize_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

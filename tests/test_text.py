@@ -21,7 +21,7 @@ def one(spark, text, *columns):
 @pytest.mark.parametrize("text", ["", "   ", "Café d'été naïve one-two x", "a\n b\t c", "Ünï_code 12 -- 'quoted' end"])
 def test_words_and_tokens(spark, text):
     w, t, n = one(spark, text, T.words(F.col("t")), T.tokens(F.col("t")), T.normalize(F.col("t")))
-    assert w == re.findall(r"\b[\w'-]+\b", text) or "'" in text
+    assert w == re.findall(r"\b[\w'-]+\b", text)
     assert n == " ".join(text.split())
     assert [x for x in t if x in w] == w
 
