@@ -61,11 +61,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import agreement, fit, format_chats, transcripts
+    from .chat import agreement, fit, fitting, format_chats, transcripts
+    from .common import written
 
-    rows = transcripts(table(spark, sf_dir, "conversations"))
-    model = fit(rows)
-    return agreement(format_chats(rows, model), rows, model.roles).select("conv_id", "part", "n_turns", "roles", "rendered", "n_lines", "n_right")
+    rows, _ = written(transcripts(table(spark, sf_dir, "conversations")), "transcripts")
+    model = fit(rows.where(fitting()))
+    return agreement(format_chats(rows, model), rows, model.roles).select("conv_id", "part", "n_turns", "roles", "rendered", "n_lines", "held_out", "n_right")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
