@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import WORD_SPACE, batches, written
 
@@ -268,15 +269,34 @@ def format_chats(rows: DataFrame, model: Model) -> DataFrame:
             folds = [model.fold(x) if len(x) else None for x in seen]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array([f and f[k].astype(t).tobytes() for f in folds], pa.binary()) for k, t in enumerate((np.float64, np.uint8))), pa.array(bare)], names=["conv_id", "part", "best", "first", "bare"])
 
-    def border(table: pa.Table) -> pa.Table:
-        table = table.sort_by("part")
-        folds = [best and (np.frombuffer(best, np.float64).reshape(n + 1, n), np.frombuffer(first, np.uint8).reshape(n + 1, n)) for best, first in zip(table["best"].to_pylist(), table["first"].to_pylist(), strict=True)]
-        found, hollow, empty = model.borders(folds), [], False
-        for (_, leave, _, _), fold, bare in zip(found, folds, table["bare"].to_pylist(), strict=True):
-            hollow.append(empty)
+    names = ["conv_id", "part", "entry", "leave", "within", "after", "hollow"]
+
+    def border(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out, at = [], [], None
+        for b in batches_:
+            for conv, part, *told in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and conv != at:
+                    out += between(at, held)
+                    held = []
+                at = conv
+                held.append((part, *told))
+            if len(out) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                out = []
+        out += between(at, held) if held else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    kinds = [to_arrow_type(rows.schema["conv_id"].dataType), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_()]
+
+    def between(conv, held: list[tuple]) -> list[tuple]:
+        """The borders of one conversation's parts, which come in order."""
+        folds = [best and (np.frombuffer(best, np.float64).reshape(n + 1, n), np.frombuffer(first, np.uint8).reshape(n + 1, n)) for _, best, first, _ in held]
+        out, empty = [], False
+        for (part, _, _, bare), fold, (entry, leave, within, after) in zip(held, folds, model.borders(folds), strict=True):
+            out.append((conv, part, entry, leave, within, after, empty))
             empty = empty if fold is None else bare and leave % 2 == 0
-        columns = [*zip(*found, strict=True), hollow]
-        return pa.table([table["conv_id"], table["part"], *(pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_()), strict=True))], names=["c", "p", "entry", "leave", "within", "after", "hollow"])
+        return out
 
     def decode(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(batches_):
@@ -292,7 +312,8 @@ def format_chats(rows: DataFrame, model: Model) -> DataFrame:
     part = f"conv_id {kind}, part long"
     asked = rows.select("conv_id", F.col("part").cast("long").alias("part"), "transcript")
     folds, _ = written(asked.mapInArrow(fold, f"{part}, best binary, first binary, bare boolean"), "folds")
-    found, _ = written(folds.groupBy("conv_id").applyInArrow(border, f"c {kind}, p long, entry int, leave int, within boolean, after boolean, hollow boolean"), "borders")
+    found = folds.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(border, f"{part}, entry int, leave int, within boolean, after boolean, hollow boolean")
+    found, _ = written(found.withColumnsRenamed({"conv_id": "c", "part": "p"}), "borders")
     both = asked.join(found, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).select("conv_id", "part", "transcript", "entry", "leave", "within", "after", "hollow")
     return both.mapInArrow(decode, f"{part}, n_turns long, roles string, rendered string, states array<int>")
 
