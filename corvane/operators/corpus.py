@@ -56,6 +56,11 @@ def assemble(base: DataFrame | None, layers: list[Layer], ban: DataFrame | None)
     return out.drop("k")
 
 
+def layer_counts(rows: DataFrame) -> DataFrame:
+    """(kind, domain, n): rows of each kind and domain."""
+    return rows.groupBy("kind", "domain").agg(F.count("*").alias("n"))
+
+
 def prefix_sums(rows: DataFrame, order: list[str], size: Column, width: int = 4096) -> DataFrame:
     """rows with `before`: the sum of sizes of all rows before, in order. The first order column is a number; stretches of `width` of it add up by themselves, and only their totals meet."""
     ranged = rows.withColumn("__size", size).withColumn("__r", F.floor(F.col(order[0]) / width))

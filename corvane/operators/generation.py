@@ -30,6 +30,32 @@ def rewrite_prompt(rubric: str, passage: Column, targets: Column) -> Column:
     return F.concat(F.lit(f"{rubric}\n\nSentences to rewrite:\n"), F.to_json(targets), F.lit("\n\nPassage, for context only:\n"), passage, F.lit(f"\n\nAnswer with JSON of this shape only:\n{shape}"))
 
 
+#: What an answer to whole_prompt() holds.
+WHOLE_SHAPE = '{"sample_id": "", "perturbation": "", "severity": "", "perturbed_text": "", "changed_spans": [{"before": "", "after": ""}], "preserved_facts": [""], "introduced_error": "", "operation_evidence": "", "changed_sentence_indices": [0]}'
+
+
+def whole_prompt(template: str, family: Column | str, severity: Column | str, rubric: Column | str, passage: Column, sentences: Column | None = None) -> Column:
+    """A request for the whole edited passage. sentences (index, sentence): those to edit, one change each; without any the family says where."""
+    c = lambda x: F.lit(x) if isinstance(x, str) else x
+    listed = F.lit("")
+    if sentences is not None:
+        lines = F.array_join(F.transform(sentences, lambda s: F.concat(F.lit("["), s["index"].cast("string"), F.lit("] "), s["sentence"])), "\n")
+        listed = F.when(F.size(sentences) > 0, F.concat(F.lit("\nChange each of these sentences once and no other one:\n"), lines, F.lit("\n"))).otherwise(F.lit(""))
+    return F.concat(F.lit(f"{template}\n\nEdit: "), c(family), F.lit("\nSeverity: "), c(severity), F.lit("\nRubric: "), c(rubric), F.lit("\n"), listed, F.lit("\nPassage:\n"), passage, F.lit(f"\n\nAnswer with JSON of this shape only:\n{WHOLE_SHAPE}"))
+
+
+def rubric_with_constraints(rubric: Column | str, constraints: list[str], position: str | None = None, least_words: int | None = None) -> Column:
+    """A rubric followed by a numbered list of what must hold: the given constraints, where in the passage, and how long the result is at least."""
+    told = [*constraints, *([f"Change only the {position} third of the passage."] if position not in (None, "uniform") else []), *([f"Keep at least {least_words} words."] if least_words else [])]
+    text = "".join(f"\n{k}. {x}" for k, x in enumerate(told, 1))
+    return F.concat(F.lit(rubric) if isinstance(rubric, str) else rubric, F.lit(text))
+
+
+def request_counts(tasks: DataFrame, by: list[str]) -> DataFrame:
+    """The number of requests that tasks come to, in all combinations of the columns and over all (nulls)."""
+    return tasks.rollup(*by).agg(F.count("*").alias("n_requests"))
+
+
 def targets(docs: DataFrame, key: str, normal: str, n: int, seed: int | str) -> DataFrame:
     """docs with `targets` (index, sentence), of n sentences or all where there are fewer, in order, and `anchor`, a seeded other sentence, of six words or more where there is one."""
     picked = T.let(T.sentences(F.col(normal)), lambda s: T.let(F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>")), lambda e: F.struct(s.alias("s"), e.alias("e"), chosen(e, seed, F.col(key), F.least(F.size(e), F.lit(max(1, n)))).alias("c"))))

@@ -6,9 +6,14 @@ gives the sizes and the independence that draws from a generator have, not the s
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.shared import cut
+
 
 def hashed(seed: int | str, *keys: Column | str) -> Column:
     told = [F.lit(str(seed))]
@@ -43,6 +48,59 @@ def sample(rows: DataFrame, n: int, keys: list[str], seed: int | str) -> DataFra
     return rows.withColumn("__h", hashed(seed, *keys)).orderBy("__h", *keys).limit(n).drop("__h")
 
 
+def sample_exactly(rows: DataFrame, n: int, keys: list[str], seed: int | str, forbidden: dict[str, list] | None = None) -> DataFrame:
+    """sample() of rows without those that hold a forbidden value; fewer than n such rows are an error."""
+    for name, values in (forbidden or {}).items():
+        rows = rows.where(~F.coalesce(F.col(name).isin(*values), F.lit(False)))
+    found = rows.limit(n).count()
+    if found < n:
+        raise ValueError(f"{n} rows are asked for, {found} are there")
+    return sample(rows, n, keys, seed)
+
+
+def places(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
+    """rows with their place from 0 in order of a column. Rows are dealt by ranges of it; only the ranges' counts meet."""
+    dealt = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__task", F.spark_partition_id())
+    held = cut(dealt)
+    counts = held.groupBy("__task").agg(F.count("*").alias("__c"))
+    shift = counts.select("__task", (F.sum("__c").over(Window.orderBy("__task")) - F.col("__c")).alias("__b"))  # a row for each range
+    inner = F.row_number().over(Window.partitionBy("__task").orderBy(order)) - 1
+    return held.withColumn("__i", inner).join(F.broadcast(shift), "__task").withColumn(name, F.col("__i") + F.col("__b")).drop("__task", "__i", "__b")
+
+
+def val_and_pool(rows: DataFrame, domain: str, key: str, val_per_domain: int, seed: int) -> DataFrame:
+    """rows with `part`: `val` for the first of each domain in seeded order, `pool` for the others."""
+    first = rows.select(domain, key).withColumn("__n", rank([domain], seed, [key])).where(F.col("__n") <= val_per_domain).select(F.col(domain).alias("__d"), F.col(key).alias("__k"))
+    same = F.col(domain).eqNullSafe(F.col("__d")) & F.col(key).eqNullSafe(F.col("__k"))
+    return rows.join(first, same, "left").withColumn("part", F.when(F.col("__k").isNotNull(), "val").otherwise("pool")).drop("__d", "__k")
+
+
+def final_order(rows: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """rows with their place from 0 in a seeded order of all."""
+    return with_rank(rows, [], seed, [key], name)
+
+
+def scheduled(epoch: int, base: dict, schedule: list[dict]) -> tuple[dict, dict]:
+    """Repeats by kind and by source in an epoch: the base ones, overridden by every entry of the schedule whose first and last epoch (both count) hold it."""
+    told = [base, *(x for x in schedule if x["epochs"][0] <= epoch <= x["epochs"][1])]
+    kinds, sources = ({k: v for x in told for k, v in (x.get(n) or {}).items()} for n in ("repeat_kinds", "repeat_sources"))
+    return kinds, sources
+
+
+def epochs(rows: DataFrame, number: int, base: dict, schedule: list[dict], kind: str, source: str) -> DataFrame:
+    """rows of each epoch, from 0, with `epoch` and `copy`, each as often as the epoch's repeats ask."""
+    out = None
+    for e in range(number):
+        some = repeats(rows, *scheduled(e, base, schedule), kind, source).withColumn("epoch", F.lit(e))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def seeded_rng(*parts) -> np.random.Generator:
+    """A generator that any process makes alike, for each sequence of parts its own."""
+    return np.random.default_rng([int.from_bytes(hashlib.sha256(str(p).encode()).digest()[:4], "big") for p in parts])
+
+
 def distribute(total: int, bins: int) -> list[int]:
     """total in bins that differ by at most one, the larger ones first."""
     return [total // bins + (i < total % bins) for i in range(bins)]
@@ -55,10 +113,18 @@ def choose_count(total: Column, rate: float) -> Column:
     return F.when(total == 0, F.lit(0)).otherwise(F.least(total, F.greatest(F.lit(1), F.ceil(total * F.lit(rate)).cast("int"))))
 
 
-def three_way(rows: DataFrame, domain: str, key: str, domains: tuple[str, ...], parents: int, reference: int, cap: int | None, seed: int) -> DataFrame:
-    """rows with `part` (mev, ref, unused) and `parent_id`: of each domain in seeded order, its share of parents, its share of references, and the rest up to a cap."""
+def three_way(rows: DataFrame, domain: str, key: str, domains: tuple[str, ...], parents: int, reference: int, cap: int | None, seed: int, strict: bool = False) -> DataFrame:
+    """rows with `part` (mev, ref, unused) and `parent_id`: of each domain in seeded order, its share of parents, its share of references, and the rest up to a cap.
+
+    strict: a domain with fewer rows than its two shares is an error.
+    """
     p, r = distribute(parents, len(domains)), distribute(reference, len(domains))
     spec = F.create_map(*[F.lit(x) for i, d in enumerate(domains) for x in (d, p[i])]), F.create_map(*[F.lit(x) for i, d in enumerate(domains) for x in (d, r[i])])
+    if strict:
+        have = {r_[0]: r_[1] for r_ in rows.where(F.col(domain).isin(*domains)).groupBy(domain).count().collect()}  # a row for each named domain
+        few = [d for i, d in enumerate(domains) if have.get(d, 0) < p[i] + r[i]]
+        if few:
+            raise ValueError(f"too few rows in {few}")
     ranked = rows.where(F.col(domain).isin(*domains)).withColumn("__rank", rank([domain], seed, [key]))
     if cap is not None:  # a bound that tasks apply before the shuffle
         ranked = ranked.where(F.col("__rank") <= max(p) + max(r) + cap)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import corpus, perturb, quality, sampling
 from corvane.registry import query
+from corvane.sources.shared import cut
 from corvane.sources.tables import table
 
 from . import sqltext as S
@@ -276,9 +277,17 @@ def validate_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def token_edit_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changed tokens by tokens of the sentence that is repeated; a longest-matching-block comparison has no SQL form."""
-    rows = perturb.with_sentences(documents(spark, sf_dir), "doc_id", "n", RATE, SEED).select("doc_id", F.explode("__c").alias("i"), "__s").withColumn("s", F.get("__s", F.col("i")))
-    return rows.select("doc_id", "i", F.round(T.token_edit_ratio(F.col("s"), F.concat("s", F.lit(" "), F.upper("s"))), 8).alias("ratio"))
+    """Changed tokens by tokens of whole texts with wrong agreement; a longest-matching-block comparison has no SQL form."""
+    rows = cut(perturb.agreement_error(documents(spark, sf_dir), "doc_id", "n", RATE, SEED).select("doc_id", "n", "edited"))  # a UDF takes columns, not expressions with functions over elements
+    return rows.select("doc_id", F.round(T.token_edit_ratio(F.col("n"), F.col("edited")), 8).alias("ratio"))
+
+
+@query(f"select doc_id, edited_hash from ({_runs_sql(_in(perturb.DETERMINERS), chr(39) * 2, 'ltrim($x)')}) union all select doc_id, edited_hash from ({_runs_sql(_in(perturb.FUNCTION_WORDS), TWICE.replace('s[i + 1]', 'p[i]'))})")
+def rebuilt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts made of the clean ones and the changed spans alone."""
+    docs = documents(spark, sf_dir)
+    rows = [f(docs, "doc_id", "n", RATE, SEED).select("doc_id", F.sha2(T.apply_spans(F.col("n"), F.col("spans")), 256).alias("edited_hash")) for f in (perturb.article_delete, perturb.function_word_repeat)]
+    return rows[0].unionByName(rows[1])
 
 
 @query(
@@ -373,7 +382,7 @@ def packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _layer_edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = documents(spark, sf_dir).where("doc_id % 5 < 3")
+    docs = documents(spark, sf_dir)
     parents = docs.select(F.col("doc_id").alias("parent_id"), F.col("n").alias("text"), F.col("lang").alias("domain"))
     edits = None
     for i, (family, rows) in enumerate({"repeat": perturb.sentence_repeat(docs, "doc_id", "n", RATE, SEED), "permute": perturb.sentence_permute(docs, "doc_id", "n", RATE, SEED), "benign_paraphrase": docs.withColumn("edited", F.concat("n", F.lit(" Indeed.")))}.items()):
@@ -410,8 +419,27 @@ def edit_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "perturbation", F.lit(":"), "severity", F.coalesce(F.concat(F.lit(":"), "position"), F.lit(""))).alias("sample_id"), "perturbation", "severity", "position")
 
 
-@query()
+def _record_sql(rule: str, severity: str, rate: float) -> str:
+    """SQL for the records of one rule and severity."""
+    tail, seed = f":{rule}:{severity}", f"{SEED}:{rule}:{severity}"
+    if rule == "case_lower":
+        made = f"select doc_id, n, lower(n) as edited, 1.0::double as realized, 1 as n_spans from {NORMAL}"
+    elif rule == "sentence_repeat":
+        made = f"with {_places(seed=seed, rate=rate)} select doc_id, n, array_to_string(list_transform(range(0, len(s)), lambda i: case when list_contains(c, i) then {TWICE} else s[i + 1] end), ' ') as edited, len(c) / greatest(len(s), 1) as realized, len(c) as n_spans from c"
+    else:
+        made = f"""with {_places(least=2, seed=seed, rate=rate)}, d as (select doc_id, n, s, case when len(e) >= 2 then c else [] end as c from c), f as (select *, list_transform(c, lambda i: s[i + 1]) as items from d),
+        g as (select *, {_mixed('items', f'{seed}p', "'s'")} as m from f)
+        select doc_id, n, array_to_string(list_transform(range(0, len(s)), lambda i: coalesce(m[list_position(c, i)], s[i + 1])), ' ') as edited, len(c) / greatest(len(s), 1) as realized, len(list_filter(c, lambda i: m[list_position(c, i)] <> s[i + 1])) as n_spans from g"""
+    return f"""select doc_id || '{tail}' as sample_id, doc_id::varchar as parent_sample_id, '{rule}' as perturbation, '{severity}' as severity, {rate}::double as requested_rate, round(realized, 8) as realized_rate, sha256(edited) as text_hash,
+    len({S.words('edited')})::int as word_count, len({S.sentences(S.norm('edited'))})::int as sentence_count, n_spans::int as n_spans, true as rebuilt from ({made}) where edited <> n"""
+
+
+RECORDS = {"sentence_repeat": {"mild": 0.1, "severe": 0.5}, "sentence_permute": {"mild": 0.2}, "case_lower": {"all": 1.0}}
+
+
+@query(" union all ".join(_record_sql(r, s, x) for r, severities in RECORDS.items() for s, x in severities.items()))
 def rule_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of several rules and severities, without those that change nothing."""
-    out = perturb.rule_records(documents(spark, sf_dir), "doc_id", "n", {"sentence_repeat": {"mild": 0.1, "severe": 0.5}, "sentence_permute": {"mild": 0.2}, "case_lower": {"all": 1.0}}, SEED)
-    return out.select("sample_id", "parent_sample_id", "perturbation", "severity", "requested_rate", F.round("realized_rate", 8).alias("realized_rate"), "text_hash", "word_count", "sentence_count", F.size("changed_spans").alias("n_spans"), (T.apply_spans(F.col("clean_text"), F.col("changed_spans")) == F.col("perturbed_text")).alias("rebuilt"))
+    out = perturb.rule_records(documents(spark, sf_dir), "doc_id", "n", RECORDS, SEED)
+    rebuilt = T.apply_spans(F.col("clean_text"), F.col("changed_spans")) == F.col("perturbed_text")
+    return out.select("sample_id", "parent_sample_id", "perturbation", "severity", "requested_rate", F.round("realized_rate", 8).alias("realized_rate"), "text_hash", "word_count", "sentence_count", F.size("changed_spans").alias("n_spans"), rebuilt.alias("rebuilt"))

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The one that the session names in spark.checkpoint.dir; one is made only where it names none."""
+    """The one that the session names in spark.checkpoint.dir; where it names none, one is made if driver and executors are one process, else that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm.isDefined():
         return jvm.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="corvane-shared-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -24,3 +28,8 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared folder: what follows neither computes them again nor moves its filters into their expressions."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
