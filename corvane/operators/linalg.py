@@ -55,12 +55,17 @@ def decomposition(anchor: DataFrame, pools: DataFrame, group: str, key: str, vec
     """(group, n, bandwidth, kbb, kab): mean kernels within each pool and between it and the anchor, at the anchor's bandwidth."""
     sigma = median_bandwidth(anchor, key, vec, seed=0)
     named = anchor.select(F.lit(None).cast(pools.schema[group].dataType).alias(group), key, vec)
-    within = kernel_sums(pools, pools, group, key, vec, sigma).where("g1 = g2").select(F.col("g1").alias(group), F.col("n1").alias("n"), (F.col("total") / (F.col("n1") * F.col("n1"))).alias("kbb"))
+    within = kernel_sums(pools, pools, group, key, vec, sigma, within=True).select(F.col("g1").alias(group), F.col("n1").alias("n"), (F.col("total") / (F.col("n1") * F.col("n1"))).alias("kbb"))
     one = named.withColumn(group, F.lit(-1).cast(pools.schema[group].dataType))
     across = kernel_sums(one, pools, group, key, vec, sigma).select(F.col("g2").alias(group), (F.col("total") / (F.col("n1") * F.col("n2"))).alias("kab"))
     return within.join(across, group).select(group, "n", F.lit(sigma).alias("bandwidth"), "kbb", "kab")
 
 
+def group_means(told: DataFrame, group: str) -> DataFrame:
+    """(group, n_pools, kbb, kab): means over the pools of each group, each pool alike whatever its size."""
+    return told.groupBy(group).agg(F.count("*").alias("n_pools"), F.avg("kbb").alias("kbb"), F.avg("kab").alias("kab"))
+
+
 def probe_accuracy(rows: DataFrame, key: str, vec: str, label: str, seed: int, most: int = 4000, steps: int = 300) -> float:
     """Accuracy on the held-out half of all rows of a logistic probe, by full gradient steps on at most half of `most` rows of the other half.
 

@@ -80,15 +80,24 @@ def null_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(r("raw_mmd"), r("bandwidth"), "n_generated", "n_reference", r("z_score", 4), r("null_mean"), r("null_std"))
 
 
-@query(
-    f"with s as (select {_sigma('label >= 5', 0)} as sigma), e as (select * from {E_SQL}), w as (select a.label, count(distinct a.vec_id) as n, avg(exp(-(list_distance(a.v, b.v) ** 2) / (2 * sigma * sigma))) as kbb from e a join e b on a.label = b.label, s group by a.label), x as (select b.label, avg(exp(-(list_distance(a.v, b.v) ** 2) / (2 * sigma * sigma))) as kab from e a, e b, s where a.label >= 5 group by b.label) select label, n, round(sigma, {PLACES}) as bandwidth, round(kbb, {PLACES}) as kbb, round(kab, {PLACES}) as kab from w join x using (label), s"
-)
+_DECOMPOSED = f"with s as (select {_sigma('label >= 5', 0)} as sigma), e as (select * from {E_SQL}), w as (select a.label, count(distinct a.vec_id) as n, avg(exp(-(list_distance(a.v, b.v) ** 2) / (2 * sigma * sigma))) as kbb from e a join e b on a.label = b.label, s group by a.label), x as (select b.label, avg(exp(-(list_distance(a.v, b.v) ** 2) / (2 * sigma * sigma))) as kab from e a, e b, s where a.label >= 5 group by b.label) select label, n, round(sigma, {PLACES}) as bandwidth, round(kbb, {PLACES}) as kbb, round(kab, {PLACES}) as kab from w join x using (label), s"
+
+
+@query(_DECOMPOSED)
 def pool_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embeddings(spark, sf_dir)
     out = linalg.decomposition(rows.where("label >= 5"), rows, "label", "vec_id", "v")
     return out.select("label", "n", *(F.round(c, PLACES).alias(c) for c in ("bandwidth", "kbb", "kab")))
 
 
+@query(f"select label % 2 as part, count(*) as n_pools, round(avg(kbb), 6) as kbb, round(avg(kab), 6) as kab from ({_DECOMPOSED}) group by label % 2")
+def decomposition_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over pools of even and of odd labels."""
+    rows = embeddings(spark, sf_dir)
+    out = linalg.decomposition(rows.where("label >= 5"), rows, "label", "vec_id", "v").withColumn("part", F.col("label") % 2)
+    return linalg.group_means(out, "part").select("part", "n_pools", *(F.round(c, 6).alias(c) for c in ("kbb", "kab")))
+
+
 @query(
     f"with t as (select label < 5 as g, i, x from (select label, unnest(v) as x, generate_subscripts(v, 1) as i from {E_SQL})), m as (select i, avg(x) filter (where g) as a, avg(x) filter (where not g) as b, var_samp(x) filter (where g) as va, var_samp(x) filter (where not g) as vb from t group by i) select round(sum((a - b) ** 2), {PLACES}) as mean_term, round(sum(va), {PLACES}) as trace_a, round(sum(vb), {PLACES}) as trace_b from m"
 )
