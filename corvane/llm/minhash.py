@@ -29,7 +29,7 @@ HASHES, ROWS = 16, 3
 #: Two classes are linked from this percentage of their union on.
 PERCENT = 75
 #: Classes, and bytes of their sets, in a block of those compared in memory.
-BLOCK, BLOCK_BYTES = 4096, 16 << 20
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Bits for each member of a set in the bitmaps that bound intersections there.
 SPREAD = 16
 #: Bits of the filter by which the second reading skips texts that have no candidate. Its size is fixed; a full filter skips none.
