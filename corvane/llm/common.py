@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters between words: space, \t, \n, \v, \f, \r.
@@ -69,9 +69,10 @@ def erase(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it counts at most `rows` rows; beyond that unhinted, for a shuffled join. df must be cheap to count: cut it first."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_or_shuffled(df: DataFrame, rows: int, entries: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it counts at most `rows` rows, or entries where a row holds several; beyond that unhinted, for a shuffled join. df must be cheap to count: cut it first."""
+    some = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.lit(1) if entries is None else entries).alias("m")).first()
+    return F.broadcast(df) if max(some["n"], some["m"] or 0) <= rows else df
 
 
 def spread(df: DataFrame) -> DataFrame:

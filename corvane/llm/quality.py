@@ -14,7 +14,7 @@ from .common import WORD_SPACE, cut, small_or_shuffled, words_of
 LINE_LIMIT = 20
 #: A document that boilerplate lines leave fewer words than this is depleted; the base rules reject texts of fewer.
 LEAST_WORDS = 20
-#: Rows of the table of depleted documents up to which it is broadcast.
+#: Rows of a table, or hashes of lines in its rows, up to which it is broadcast.
 BROADCAST_ROWS = 100_000
 WINDOW = 8
 
@@ -129,7 +129,8 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", lim
     an empty table gives an empty result; other columns pass through (columns of these names are replaced).
     """
     rule = line_rule(docs, text, host, limit)
-    rule = small_or_shuffled(cut(rule if clean else rule.where("__gone").drop("__common")), BROADCAST_ROWS)
+    rule = cut(rule if clean else rule.where("__gone").drop("__common"))
+    rule = small_or_shuffled(rule, BROADCAST_ROWS, F.size("__common") if clean else None)
     host_key, h1, h2 = identity(text, host)  # kept takes both sides of the join, so that no part of it is filtered before
     keyed = base_counts(docs, text).withColumns({"__host": host_key, "__h1": h1, "__h2": h2})
     out = keyed.join(rule, ["__host", "__h1", "__h2"], "left").withColumn("kept", F.when(F.col("__gone"), F.lit(False)).otherwise(~F.col("base_failed")))
