@@ -10,6 +10,9 @@ stays empty through all stages. Columns beyond those of documents pass until the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +23,24 @@ from corvane.llm.mixing import mix
 from corvane.llm.quality import quality_rules
 from corvane.llm.secrets import redacted
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows of removed keys up to which they are broadcast.
 BROADCAST_ROWS = 200_000
 
 
+def guarded(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage, with columns beyond those of documents under names that nothing else has."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        more = {c: f"beyond {k}" for k, c in enumerate(docs.columns) if c not in COLUMNS}
+        out = stage(spark, docs.withColumnsRenamed(more) if more else docs, sf_dir)
+        return out.withColumnsRenamed({v: k for k, v in more.items()}) if more else out
+
+    return run
+
+
+@guarded
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the line rule reject go; the others lose their boilerplate lines, and n_chars is counted anew there."""
     kept = quality_rules(docs, clean=True).where("kept")
@@ -31,6 +48,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumns({"text": F.col("clean_text"), "n_chars": size}).select(*docs.columns)
 
 
+@guarded
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group of near copies stays, and one row of equal ones."""
     told = cut(near_duplicates(docs.select("doc_id", "text")).select("doc_id", "kept"))
@@ -40,20 +58,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out if again.isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
+@guarded
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts, and n_chars counted anew there."""
     return redacted(docs)
 
 
+@guarded
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it, from 0 to 3 times."""
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("__row", F.md5(key))  # 128 bits, so that no two documents share their number of copies
     takes = mix(keyed.select("__row", "text", "source"), key="__row").where("taken > 0")
     times = takes.groupBy("__row").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__times"))
     out = keyed.join(times, "__row").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return out.select(*docs.columns)
 
 
+@guarded
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids of each document."""
     told = encode_decode(docs.select("doc_id", "lang", "source", "text"))
