@@ -232,6 +232,8 @@ def test_pipeline(spark, tmp_path):
     for name, some in (("full", rows), ("none", [])):
         spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{name}/documents.parquet")
         df = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for c in ("__row", "__n", "__times", "__c", "kept", "size", "taken", "n_words", "__host", "component_id", "ids", "decoded", "clean_text"):
+            df = df.withColumn(c, F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
         seen = [df]
         for k, (n, stage) in enumerate(p.STAGES):
             stage(spark, df, f"{tmp_path}/{name}").write.parquet(f"{tmp_path}/{name}/{k}")
@@ -239,6 +241,8 @@ def test_pipeline(spark, tmp_path):
             seen.append(df)
         columns = [d.columns for d in seen]
         assert all(c == columns[0] for c in columns[:-1])
+        for d in seen[:-1]:
+            assert d.where("kept <> concat('kept of ', coalesce(cast(doc_id as string), 'none')) or __n <> concat('__n of ', coalesce(cast(doc_id as string), 'none'))").isEmpty()
         if some:
             base = {(i, t) for i, t, *_ in rows if not brute.quality(t)[5]}
             assert {(r.doc_id, r.text) for r in seen[1].collect()} == base
