@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import spread
 
-NAMES = ("op1_suffix_dedup", "op2_secrets", "op3_ann", "op4_html", "op5_mixing", "op6_minhash", "op7_warc", "op8_chat", "op9_quality_rules", "op10_bpe", "pipeline")
+NAMES = ("op1_suffix_dedup", "op2_secrets", "op3_ann", "op4_html", "op5_mixing", "op6_minhash", "op7_warc", "op8_chat", "op9_quality_rules", "op10_bpe", "op11_packing", "op12_spelling", "pipeline")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), ids=False)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spellings
+
+    return spellings(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
