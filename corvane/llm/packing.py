@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_PIECE, Codec, codec, default_path
+from .bpe import CACHE_PIECE, END, Codec, codec, default_path
 from .common import batches, cut, small_or_shuffled, written
 
 #: Patterns of three lengths that are enumerated at most; beyond it an even share of them is.
@@ -29,13 +29,15 @@ MOST_PATTERNS = 40_000
 #: Steps of the fit.
 STEPS = 150
 #: Entries of a worker's table of chunks, in each of its two halves.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 600_000
+#: Pieces that are encoded as one text.
+TOGETHER = 64
 #: Counts of pieces by task and length up to which they are broadcast.
 BROADCAST_ROWS = 200_000
 
 
 class Words:
-    """Token ids of texts as little-endian unsigned 32-bit numbers. Chunks between white space are looked up in a bounded table; those it lacks are encoded together."""
+    """Token ids of texts as little-endian unsigned 32-bit numbers. Chunks between white space are looked up in a bounded table; the pieces of those it lacks are encoded many at a time."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -45,33 +47,76 @@ class Words:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.ends = np.zeros(max(self.codec.strings) + 1, bool)
+        self.ends[[i for i, s in self.codec.strings.items() if s.endswith(END)]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of chunks that the table lacks. What it still has of its older half moves over; long chunks are not kept."""
-        found = {x: self.older.get(x) for x in chunks}
-        new = [x for x, ids in found.items() if ids is None]
-        found |= zip(new, [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False)], strict=True)
+        """Puts chunks that the table lacks into it and gives the long ones, which are not kept. What it still has of its older half moves over.
+
+        Pieces are encoded `TOGETHER` at a time with spaces between; the last token of a piece is one that ends a word, which tells
+        them apart. The common kinds of pieces are found without the pre-tokenizer's pattern.
+        """
         if len(self.known) >= TABLE_ENTRIES:
             self.older, self.known = self.known, {}
-        self.known |= {x: ids for x, ids in found.items() if len(x) <= CACHE_PIECE}
-        return found
+        known, older, findall = self.known, self.older.get, self.codec.pieces.findall
+        long: dict[str, bytes] = {}
+        new: dict[str, None] = {}
+        made: list[tuple[str, list[str]]] = []
+        for x in dict.fromkeys(chunks):
+            if (ids := older(x)) is not None:
+                known[x] = ids
+            elif x.isalpha():
+                new[x] = None
+            else:
+                parts = [x[:-1], x[-1]] if x[-1] in ".,;:!?" and x[:-1].isalpha() else findall(x)
+                made.append((x, parts))
+                for p in parts:
+                    if p not in known:
+                        if (ids := older(p)) is not None:
+                            known[p] = ids
+                        else:
+                            new[p] = None
+        pieces = list(new)
+        groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        for group, ids in zip(groups, self.encoded([" ".join(g) for g in groups]), strict=True):
+            cuts = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 4).tolist()
+            known.update(zip(group, [ids[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(group) else self.encoded(group), strict=True))
+        for x, parts in made:
+            known[x] = b"".join([known[p] for p in parts])
+        for x in [x for x in pieces if len(x) > CACHE_PIECE] + [x for x, _ in made if len(x) > CACHE_PIECE]:
+            long[x] = known.pop(x)
+        return long
+
+    def all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        c, known, told, lacking = self.codec, self.known.get, [], []
+        for text in texts:
+            mine: list = []
+            for k, part in enumerate(c.cuts.split(text) if c.cuts else [text]):
+                if k % 2:
+                    mine.append((None, [c.special[part].to_bytes(4, "little")]))
+                    continue
+                part = c.normal(part)
+                if c.odd_space.search(part):  # patterns and str.split() take these for white space, the library doesn't
+                    mine.append((None, self.encoded([part])))
+                    continue
+                chunks = part.split()
+                got = list(map(known, chunks))
+                if None in got:
+                    lacking += [x for x, ids in zip(chunks, got) if ids is None]
+                mine.append((chunks, got))
+            told.append(mine)
+        long = self.learn(lacking) if lacking else {}
+        known = self.known.get
+        return [b"".join([b"".join([ids if ids is not None else known(x) or long.get(x, b"") for x, ids in zip(chunks, got)] if None in got else got) for chunks, got in mine]) for mine in told]
 
     def ids(self, text: str) -> bytes:
-        c, out = self.codec, []
-        for k, part in enumerate(c.cuts.split(text) if c.cuts else [text]):
-            if k % 2:
-                out.append(c.special[part].to_bytes(4, "little"))
-                continue
-            part = c.normal(part)
-            chunks = [x for x in c.space.split(part) if x] if c.odd_space.search(part) else part.split()
-            got = list(map(self.known.get, chunks))
-            if None in got:
-                found = self.learn([x for x, ids in zip(chunks, got, strict=True) if ids is None])
-                got = [found[x] if ids is None else ids for x, ids in zip(chunks, got, strict=True)]
-            out.extend(got)
-        return b"".join(out)
+        return self.all([text])[0]
 
 
 @lru_cache(maxsize=1)
@@ -95,8 +140,8 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         words, task, seen = words_of(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for b in batches(rows, max_bytes=1 << 20):
             at, piece, start, length, crc, nth, kept = [], [], [], [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                all_ids = words.ids(t or "") + tail
+            for i, found in enumerate(words.all([t or "" for t in b.column(1).to_pylist()])):
+                all_ids = found + tail
                 for p, s in enumerate(range(0, len(all_ids), 4 * size)):
                     mine = all_ids[s : s + 4 * size]
                     n = len(mine) // 4
