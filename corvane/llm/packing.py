@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ STEPS = 150
 TABLE_ENTRIES = 600_000
 #: Pieces that are encoded as one text.
 TOGETHER = 64
+#: Bytes of texts that are encoded together; a longer text goes alone.
+BATCH_BYTES = 8 << 20
 #: Counts of pieces by task and length up to which they are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -92,28 +95,32 @@ class Words:
             long[x] = known.pop(x)
         return long
 
+    def apart(self, text: str) -> bytes:
+        """The ids of a text with special tokens, or with characters that patterns and splitting take for white space and the library doesn't."""
+        c = self.codec
+        parts = c.cuts.split(text) if c.cuts else [text]
+        return b"".join([c.special[p].to_bytes(4, "little") if k % 2 else b"".join(self.encoded([c.normal(p)])) for k, p in enumerate(parts)])
+
     def all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        c, known, told, lacking = self.codec, self.known.get, [], []
-        for text in texts:
-            mine: list = []
-            for k, part in enumerate(c.cuts.split(text) if c.cuts else [text]):
-                if k % 2:
-                    mine.append((None, [c.special[part].to_bytes(4, "little")]))
-                    continue
-                part = c.normal(part)
-                if c.odd_space.search(part):  # patterns and str.split() take these for white space, the library doesn't
-                    mine.append((None, self.encoded([part])))
-                    continue
-                chunks = part.split()
-                got = list(map(known, chunks))
-                if None in got:
-                    lacking += [x for x, ids in zip(chunks, got) if ids is None]
-                mine.append((chunks, got))
-            told.append(mine)
-        long = self.learn(lacking) if lacking else {}
-        known = self.known.get
-        return [b"".join([b"".join([ids if ids is not None else known(x) or long.get(x, b"") for x, ids in zip(chunks, got)] if None in got else got) for chunks, got in mine]) for mine in told]
+        """The ids of each text. The chunks of all texts are numbered, so each distinct one is looked up once, and the ids are gathered by number."""
+        c = self.codec
+        odd = [bool(c.odd_space.search(t) or c.cuts and c.cuts.search(t)) for t in texts]
+        lists = pc.utf8_split_whitespace(pa.array(["" if o else c.normal(t) for o, t in zip(odd, texts)], pa.string()))
+        numbered = lists.flatten().dictionary_encode()
+        chunks, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        got = list(map(self.known.get, chunks))
+        lacking = [x for x, ids in zip(chunks, got) if ids is None and x]
+        if lacking:
+            long, known = self.learn(lacking), self.known.get
+            got = [ids if ids is not None else known(x) or long.get(x, b"") for x, ids in zip(chunks, got)]
+        got = [ids or b"" for ids in got]
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat, starts = np.frombuffer(b"".join(got), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[at] if len(at) else np.zeros(0, np.int64)
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(starts[at] - ends + each, each) + np.arange(int(ends[-1]) if len(ends) else 0)] if len(flat) else flat
+        edges = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+        return [self.apart(t) if o else ids[a:b].tobytes() for o, t, a, b in zip(odd, texts, edges, edges[1:])]
 
     def ids(self, text: str) -> bytes:
         return self.all([text])[0]
@@ -138,7 +145,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task, seen = words_of(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for b in batches(rows, max_bytes=1 << 20):
+        for b in batches(rows, max_bytes=BATCH_BYTES):
             at, piece, start, length, crc, nth, kept = [], [], [], [], [], [], []
             for i, found in enumerate(words.all([t or "" for t in b.column(1).to_pylist()])):
                 all_ids = found + tail
