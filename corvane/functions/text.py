@@ -24,9 +24,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Runs of white space that aren't a single space; the others need no change.
+UNEVEN = rf" [{SPACES}]+|[{SPACES}&&[^ ]][{SPACES}]*"
+
+
 def normalize(text: Column) -> Column:
     """White space collapsed to single spaces, none at the ends."""
-    return F.btrim(F.regexp_replace(text, f"[{SPACES}]+", " "))
+    return F.btrim(F.regexp_replace(text, UNEVEN, " "))
 
 
 def folded(text: Column) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 
-from . import quality
+from corvane.sources.shared import cut
+
+from . import perturb, quality
 from .dedup import first_seen
 from .sampling import hashed
 
@@ -98,3 +100,45 @@ def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     if not n == left.count() == right.count():
         raise ValueError("the rows don't align")
     return out
+
+
+def planned(settings: dict) -> list[dict]:
+    """A set's conditions: (condition, family, group, kind, role, dose, dose_kind), of rules by dose, spliced sentences by dose and pool, and the clean parents."""
+    told = []
+    for spec in settings["rule_families"]:
+        for dose in settings["rule_doses"]:
+            told.append({"condition": named(spec["alias"], dose), "family": spec["alias"], "group": spec["group"], "kind": "harmful", "role": "harmful", "dose": float(dose), "dose_kind": "rate"})
+    for dose in settings["splice_doses"]:
+        for family, role in (("generated_splice", "harmful"), ("human_splice", "control")):
+            told.append({"condition": named(family, dose), "family": family, "group": "generated_mix", "kind": "harmful", "role": role, "dose": float(dose), "dose_kind": "rate"})
+    told.append({"condition": "clean_candidates", "family": "clean_candidates", "group": "control", "kind": "benign", "role": "benign", "dose": 0.0, "dose_kind": "none"})
+    return told
+
+
+def named(family: str, rate: float) -> str:
+    return f"{family}__r{round(rate * 100):03d}"
+
+
+def condition_rows(parents: DataFrame, pools: dict[str, DataFrame], settings: dict) -> DataFrame:
+    """(condition, parent_id, text, realized_rate): every planned condition over every parent, without edits that change nothing.
+
+    parents: (parent_id, n), n the normalized text. pools: sentences by the family that splices them; families of one dose
+    fill the same places, so they differ in the sentences alone. A pool that is empty gives no rows.
+    """
+    out = parents.select(F.lit("clean_candidates").alias("condition"), "parent_id", F.col("n").alias("text"), F.lit(0.0).alias("realized_rate"))
+
+    def put(rows: DataFrame, name: str) -> None:
+        nonlocal out
+        # the number keeps the filter above the edit: within it the edit would be computed again
+        rows = rows.withColumn("__b", F.monotonically_increasing_id()).where((F.col("edited") != F.col("n")) & (F.col("__b") >= 0))
+        out = out.unionByName(rows.select(F.lit(name).alias("condition"), "parent_id", F.col("edited").alias("text"), F.round("realized", 3).alias("realized_rate")))
+
+    seed, position = settings["seed"], settings["position"]
+    for spec in settings["rule_families"]:
+        for dose in settings["rule_doses"]:
+            put(perturb.RULES[spec["rule"]](parents, "parent_id", "n", dose, f"{seed}:{spec['rule']}:r{dose}", position=position), named(spec["alias"], dose))
+    for family, pool in pools.items():
+        numbered, total = perturb.numbered_pool(cut(pool))
+        for dose in settings["splice_doses"]:
+            put(perturb.splice(parents, numbered, total, "parent_id", "n", dose, f"{seed}:splice:r{dose}", family, position), named(family, dose))
+    return out

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .mmd import kernel_sums, median_bandwidth, moments
+from .gram import moments
+from .mmd import kernel_sums, median_bandwidth
 from .sampling import hashed
 
 

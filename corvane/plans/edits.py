@@ -79,9 +79,9 @@ def case_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perturb.case_lower(documents(spark, sf_dir), "n").select("doc_id", "n_edited", F.col("realized").cast("double").alias("realized"), F.sha2("edited", 256).alias("edited_hash"), spans_hash())
 
 
-def _places(least: int = 1, fits: str = "true", seed: int | str = SEED, rate: float = RATE) -> str:
+def _places(least: int = 1, fits: str = "true", seed: int | str = SEED, rate: float = RATE, texts: str = NORMAL) -> str:
     """a: sentences, b: with eligible places from 0, c: with the chosen ones."""
-    return f"""a as (select doc_id, n, {S.sentences('n')} as s from {NORMAL}),
+    return f"""a as (select doc_id, n, {S.sentences('n')} as s from {texts}),
     b as (select doc_id, n, s, list_filter(range(0, len(s)), lambda i: {fits}) as e from a),
     c as (select doc_id, n, s, e, list_sort(list_transform(list_sort(list_transform(e, lambda i: {{'h': sha256('{seed}:' || doc_id || ':' || i), 'i': i}}))[1:least(len(e), greatest({least}, {S.choose('len(e)', rate)}))], lambda x: x.i)) as c from b)"""
 

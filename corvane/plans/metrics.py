@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import linalg, mmd, vectors
+from corvane.operators import gram, linalg, mmd, vectors
+from corvane.operators.quantiles import quantiles
 from corvane.registry import query
 from corvane.sources.tables import table
 
@@ -108,6 +109,12 @@ def frechet_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg(F.round(F.sum((F.col("a") - F.col("b")) ** 2), PLACES).alias("mean_term"), F.round(F.sum("va"), PLACES).alias("trace_a"), F.round(F.sum("vb"), PLACES).alias("trace_b"))
 
 
+@query(f"with t as (select vec_id, unnest(v) as x, generate_subscripts(v, 1) - 1 as i from {E_SQL}) select a.i::int as i, b.i::int as j, round(sum(a.x * b.x), 6) as value from t a join t b on a.vec_id = b.vec_id and a.i <= b.i group by all")
+def gram_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over all rows of the products of two columns, from blocks of 24 columns."""
+    return gram.entries(embeddings(spark, sf_dir), "v", WIDTH, block=24).select("i", "j", F.round("value", 6).alias("value"))
+
+
 @query()
 def frechet_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the cross term, for which SQL has no eigenvectors."""
@@ -150,7 +157,8 @@ def pairwise_cosine_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
     unit = lambda c: F.transform(c, lambda x: x / (vectors.l2(F.col(c)) + 1e-9))
     rows = e.where("vec_id % 2 = 0").select("vec_id", F.col("v").alias("s")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("t")), "vec_id").select("vec_id", unit("s").alias("s"), unit("t").alias("t"))
-    cos = rows.select(vectors.dot(F.col("s"), F.col("t")).alias("c")).agg(F.avg("c").alias("cos"), F.percentile("c", F.lit(0.1)).alias("cos_p10"))
+    c = rows.select(F.lit(0).alias("all"), vectors.dot(F.col("s"), F.col("t")).alias("c"))
+    cos = c.agg(F.avg("c").alias("cos")).crossJoin(quantiles(c, "all", "c", {"cos_p10": 0.1}).select("cos_p10"))  # a row each
 
     def mean_pair(c: str, name: str) -> DataFrame:
         sums = rows.select(F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))

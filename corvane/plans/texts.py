@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import dedup, sampling
+from corvane.operators.digests import corpus_hashes
 from corvane.operators.quality import viable
+from corvane.operators.quantiles import quantiles
 from corvane.registry import query
 from corvane.sources.tables import spread, table
 
@@ -191,9 +193,8 @@ def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with s as (select doc_id, sha256(text) as h from documents) select source, sha256(string_agg(h, chr(10) order by doc_id)) as corpus_hash, count(*) as n from s join documents using (doc_id) group by source")
 def texts_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hash of each source's texts in order. The hashes of a source, 64 bytes each, meet in one row."""
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("x"))
-    return rows.select("source", F.sha2(F.array_join(F.transform("x", lambda r: r["h"]), "\n"), 256).alias("corpus_hash"), F.size("x").cast("long").alias("n"))
+    """A hash of each source's texts in order."""
+    return corpus_hashes(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
 @query(
@@ -209,8 +210,20 @@ def normalize_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select lang, avg(n_chars) as mean_chars, round(stddev_pop(n_chars), 6) as std_chars, median(n_chars)::double as median_chars, round(quantile_cont(n_chars, 0.1), 6) as p10_chars from documents group by lang")
 def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_chars")
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.avg(n).alias("mean_chars"), F.round(F.stddev_pop(n), 6).alias("std_chars"), F.percentile(n, F.lit(0.5)).alias("median_chars"), F.round(F.percentile(n, F.lit(0.1)), 6).alias("p10_chars"))
+    n, docs = F.col("n_chars"), table(spark, sf_dir, "documents").select("lang", "n_chars")
+    exact = quantiles(docs, "lang", "n_chars", {"median_chars": 0.5, "p10_chars": 0.1}).select("lang", "median_chars", F.round("p10_chars", 6).alias("p10_chars"))
+    return docs.groupBy("lang").agg(F.avg(n).alias("mean_chars"), F.round(F.stddev_pop(n), 6).alias("std_chars")).join(exact, F.col("lang").eqNullSafe(exact["lang"])).drop(exact["lang"])
+
+
+@query(
+    "with t as (select source, length(text) as x from documents union all select 'all', length(text) from documents) select source, count(*) as n, round(quantile_cont(x, 0.01), 6) as p01, round(quantile_cont(x, 0.25), 6) as p25, round(quantile_cont(x, 0.5), 6) as p50, round(quantile_cont(x, 0.9), 6) as p90, round(quantile_cont(x, 0.999), 6) as p999, max(x)::double as most from t where x is not null group by source"
+)
+def length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of text lengths by source, and of all texts as one group."""
+    docs = table(spark, sf_dir, "documents").select("source", F.length("text").alias("x"))
+    shares = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p999": 0.999, "most": 1.0}
+    out = quantiles(docs.select(F.explode(F.array("source", F.lit("all"))).alias("source"), "x"), "source", "x", shares)
+    return out.select("source", "n", *(F.round(c, 6).alias(c) for c in shares))
 
 
 @query(
