@@ -8,10 +8,9 @@ import pyarrow as pa
 SIZE = 5
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32  # A-Z as a-z
 _STEP = _RNG.integers(1, 1 << 63, SIZE + 1, dtype=np.uint64) | _U(1)
-_BASE = _U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -26,12 +25,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array, one after another, and the n + 1 offsets of its texts; nulls are empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -42,7 +35,11 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word, and the n + 1 offsets of the texts' words."""
+    """A hash for each word, and the n + 1 offsets of the texts' words.
+
+    Eight bytes at a time are mixed with their place in the word before they are added up, and the word's length goes in, so what two words'
+    hashes have in common isn't a sum over their letters.
+    """
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     inside = ~_SPACE[raw]
@@ -56,9 +53,13 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     where = np.flatnonzero(inside)
     begins = np.searchsorted(where, starts)
     sizes = np.diff(np.append(begins, len(where)))
-    inner = np.arange(len(where)) - np.repeat(begins, sizes)
-    sums = np.add.reduceat(_BYTE[raw[where]] * powers(int(sizes.max()))[inner], begins)
-    return mix(sums), np.searchsorted(starts, at)
+    parts = (sizes + 7) // 8
+    ahead = np.cumsum(parts) - parts
+    eights = np.zeros(8 * int(parts.sum()), np.uint8)
+    eights[np.repeat(8 * ahead - begins, sizes) + np.arange(len(where))] = _LOWER[raw[where]]
+    place = (np.arange(len(eights) // 8) - np.repeat(ahead, parts)).astype(np.uint64)
+    mixed = mix(eights.view(np.uint64) ^ mix(place * _STEP[0] + _STEP[1]))
+    return mix(np.add.reduceat(mixed, ahead) ^ (sizes.astype(np.uint64) * _STEP[2])), np.searchsorted(starts, at)
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
