@@ -50,12 +50,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @guarded
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near copies stays, and one row of equal ones."""
-    told = cut(near_duplicates(docs.select("doc_id", "text")).select("doc_id", "kept"))
-    gone = small_or_shuffled(cut(told.where("not kept").select("doc_id").distinct()), BROADCAST_ROWS)
-    out = docs.join(gone, "doc_id", "left_anti")
-    again = told.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    """The document of smallest doc_id of each group of near copies stays, and one row of those with equal doc_id and text.
+
+    Rows are told apart by doc_id and text, so one that shares its doc_id with a copy goes or stays by its own text. Rows without a doc_id stay all.
+    """
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("text")))
+    keyed = docs.withColumn("__row", row)
+    told = cut(near_duplicates(keyed.select("__row", "text"), key="__row").select("__row", "kept"))
+    gone = small_or_shuffled(cut(told.where("not kept").select("__row").distinct()), BROADCAST_ROWS)
+    out = keyed.join(gone, "__row", "left_anti")
+    again = cut(told.where("kept and __row is not null").groupBy("__row").count().where("count > 1").select("__row"))
+    if not again.isEmpty():
+        again = small_or_shuffled(again, BROADCAST_ROWS)
+        out = out.join(again, "__row", "left_anti").unionByName(out.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
+    return out.select(*docs.columns)
 
 
 @guarded
