@@ -2,7 +2,8 @@
 
 The standard library's streaming parser turns a page into lines, one for each block. What lies in
 elements that are never part of an article (menus, forms, scripts, notices, adverts, comments of
-readers) is told by element, role and class or id and left out as the events stream by. Each line of the rest
+readers) is told by element and role and left out as the events stream by; what only a class or id tells is left out unless it holds more
+content than the rest. Each line of the rest
 has a ratio of text to tags, the ratios are smoothed by a Gaussian, and lines above a threshold
 between the two clusters of ratios form the content; short lines between content lines go with them.
 Where a page marks its article by <article> or <main> and no more content lies outside than is
@@ -35,6 +36,8 @@ BESIDE = frozenset("ad ads advert adverts advertisement adsense banner sponsor s
 BESIDE |= frozenset("ad-banner ad-container ad-slot comment-list comments-area cookie-banner cookie-consent cookie-notice newsletter-signup related-articles related-posts share-buttons site-footer site-header site-nav social-links social-share".split())
 #: Those whose articles are never the page's own.
 OTHERS = frozenset("comment comments comment-list comments-area disqus replies respond discussion related related-articles related-posts recommended outbrain taboola".split())
+#: Those that a page's own story has at times, too.
+WEAK = frozenset("tags login search header share sharing social alert notice notices hidden skip widget widgets rail overlay modal popup".split())
 #: Width of the Gaussian in lines.
 SIGMA = 1.0
 SPACE = re.compile(r"\s+")
@@ -63,44 +66,78 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, link characters, marked, heading) of each block as events stream in."""
+    """Collects (text, tags, link characters, marked, heading, name) of each block as events stream in.
+
+    name: the number of the innermost open element that only a name puts beside the article, 0 for none. `around` has the one around
+    each, `others` those of readers' comments and other articles, `weak` those that have weak names alone. Places of open elements are kept by tag, so an event costs the same however deep it stands.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # element, whether it is left out, and whether only a name says so that an article within outdoes
+        self.open: list[tuple[str, bool, int]] = []  # element, whether it is left out, and its number if only a name says that it lies beside
+        self.at: dict[str, list[int]] = {}  # places in open, by tag
+        self.blocks: list[int] = []
+        self.walls: list[int] = []  # places of elements that end the search for one to close
         self.out = 0  # left-out elements that are open
-        self.marked = 0  # open <article> or <main>
-        self.any_marked = False  # whether one that counts was open before
-        self.links = 0
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
+        self.named: list[int] = []
+        self.around = [0]
+        self.others: set[int] = set()
+        self.weak: set[int] = set()
+        self.marked = self.links = self.headings = 0  # open ones
+        self.any_marked = False  # whether an article that counts was open before
+        self.lines: list[tuple[str, int, int, bool, bool, int]] = []
         self.parts: list[str] = []
         self.tags = self.link_chars = 0
 
     def flush(self) -> None:
         if text := SPACE.sub(" ", "".join(self.parts)).strip():
-            self.lines.append((text, self.tags, self.link_chars, self.marked > 0, any(t in HEADINGS for t, _, _ in self.open)))
+            self.lines.append((text, self.tags, self.link_chars, self.marked > 0, self.headings > 0, self.named[-1] if self.named else 0))
             self.tags = 0
         self.link_chars = 0
         self.parts = []
 
+    def push(self, tag: str, left_out: bool, name: int) -> None:
+        k = len(self.open)
+        self.at.setdefault(tag, []).append(k)
+        if tag in BLOCK:
+            self.blocks.append(k)
+        if tag in SCOPE or left_out:
+            self.walls.append(k)
+        if name:
+            self.named.append(name)
+        self.open.append((tag, left_out, name))
+        self.out += left_out
+        self.marked += tag in ("article", "main")
+        self.links += tag == "a"
+        self.headings += tag in HEADINGS
+
     def pop(self, at: int) -> None:
         while len(self.open) > at:
-            tag, left_out, _ = self.open[-1]
+            tag, left_out, name = self.open[-1]
             if tag in BLOCK and not self.out:
                 self.flush()
             self.open.pop()
+            k = len(self.open)
+            self.at[tag].pop()
+            for places in (self.blocks, self.walls):
+                if places and places[-1] == k:
+                    places.pop()
+            if name and self.named and self.named[-1] == name:
+                self.named.pop()
             self.out -= left_out
             self.marked -= tag in ("article", "main")
             self.links -= tag == "a"
+            self.headings -= tag in HEADINGS
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else -1
 
     def close_open(self, tags: frozenset | set) -> None:
         """Ends the innermost of the tags that is open within its scope."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                self.pop(i)
-                return
-            if self.open[i][0] in SCOPE or self.open[i][1]:
-                return
+        at = max(map(self.last, tags))
+        if at >= 0 and at >= (self.walls[-1] if self.walls else 0):
+            self.pop(at)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br" or tag == "wbr":
@@ -114,28 +151,27 @@ class Lines(HTMLParser):
             self.flush()
         if tag in VOID:
             return
-        inside = self.marked > 0
-        names = names_of(attrs) & BESIDE if attrs else set()
+        inside, left_out, name = self.marked > 0, False, 0
         if tag in ("article", "main"):
-            left_out = named = False
-            if self.out and not self.any_marked and all(n for _, o, n in self.open if o):  # the names around it are no reason
-                self.open = [(t, False, False) for t, _, _ in self.open]
-                self.out = 0
-            self.any_marked |= not self.out
-            self.marked += 1
+            if self.named and not self.out and not self.any_marked and self.others.isdisjoint(self.named):  # the names around it are no reason
+                self.named = []
+            self.any_marked |= not self.out and not self.named
         else:
             # a header within the article holds its title; elsewhere it is the site's
             left_out = tag in DROP or tag == "header" and not inside or tag not in ("body", "html") and bool(attrs) and beside(attrs)
-            named = not left_out and tag not in ("body", "html") and bool(names - {"header"} if inside else names)
-            left_out |= named
-            named &= not names & OTHERS
-        self.open.append((tag, left_out, named))
-        self.out += left_out
+            names = names_of(attrs) & BESIDE if attrs and not left_out and not self.out and tag not in ("body", "html") else set()
+            if names - {"header"} if inside else names:
+                name = len(self.around)
+                self.around.append(self.named[-1] if self.named else 0)
+                if tag not in BLOCK:
+                    self.flush()
+                if names & OTHERS:
+                    self.others.add(name)
+                elif names <= WEAK:
+                    self.weak.add(name)
+        self.push(tag, left_out, name)
         if not self.out:
             self.tags += 1
-            self.links += tag == "a"
-        elif tag == "a":
-            self.links += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID or tag not in BLOCK | DROP:
@@ -145,18 +181,18 @@ class Lines(HTMLParser):
         self.handle_starttag(tag, attrs)  # the slash means nothing on other elements
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and not any(t == "p" for t, _, _ in self.open):
-            if not self.out:
+        at = self.last(tag)
+        if at < 0:
+            if tag == "p" and not self.out:
                 self.flush()
             return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if not self.out:
-                    self.tags += 1
-                self.pop(i)
-                return
-            if tag not in BLOCK and tag not in DROP and self.open[i][0] in BLOCK:
-                return  # an inline end tag doesn't end blocks
+        if tag not in BLOCK and tag not in DROP and self.blocks and self.blocks[-1] > at:
+            return  # an inline end tag doesn't end blocks
+        if not self.out:
+            self.tags += 1
+            if self.open[at][2] and tag not in BLOCK:
+                self.flush()
+        self.pop(at)
 
     def handle_data(self, data: str) -> None:
         if not self.out:
@@ -164,7 +200,7 @@ class Lines(HTMLParser):
             if self.links:
                 self.link_chars += len(data)
 
-    def done(self) -> list[tuple[str, int, int, bool, bool]]:
+    def done(self) -> list[tuple[str, int, int, bool, bool, int]]:
         self.close()
         self.pop(0)
         self.flush()
@@ -193,7 +229,8 @@ def two_clusters(x: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def content(lines: list[tuple[str, int, int, bool, bool]]) -> list[str]:
+def chosen(lines: list[tuple]) -> list[bool]:
+    """Which of the lines are content by their ratios, and by the marks where there are any."""
     if not lines:
         return []
     size = np.array([len(x[0]) for x in lines], float)
@@ -216,7 +253,37 @@ def content(lines: list[tuple[str, int, int, bool, bool]]) -> list[str]:
     marked = np.array([x[3] for x in lines])
     if marked.any() and size[marked].sum() >= size[keep & ~marked].sum():
         keep = marked
-    return [x[0] for x, k in zip(lines, keep.tolist(), strict=True) if k]
+    return keep.tolist()
+
+
+def content(lines: list[tuple], around: list[int], others: set[int], weak: set[int]) -> list[str]:
+    """The lines that are content. What a name puts beside the article is left out, unless a weak name holds more content by its ratios than
+    all that stays, or nothing stays at all.
+
+    Such a name is passed over, one at a time, the one that holds most first; those of readers' comments and of other articles never
+    are. Each time what stays more than doubles, so few are.
+    """
+    over: set[int] = set()
+    while True:
+        # of each name: how many of it and those around it stand, the outermost of them, and whether one is of others
+        n, first, other = [0], [0], [False]
+        for k in range(1, len(around)):
+            up, stands = around[k], k not in over
+            n.append(n[up] + stands)
+            first.append(first[up] or (k if stands else 0))
+            other.append(other[up] or k in others)
+        stays = [x for x in lines if not n[x[5]]]
+        kept = [x[0] for x, k in zip(stays, chosen(stays), strict=True) if k]
+        size, held = sum(map(len, kept)), {}
+        for x in lines:
+            k = x[5]
+            if n[k] == 1 and not other[k] and (first[k] in weak or not size):
+                held.setdefault(first[k], []).append(x)
+        sizes = {k: sum(len(x[0]) for x, c in zip(xs, chosen(xs), strict=True) if c) for k, xs in held.items()}
+        top = max(sizes, key=sizes.get, default=0)
+        if not top or sizes[top] <= size:
+            return kept
+        over.add(top)
 
 
 def main_text(html: str | None) -> str:
@@ -225,7 +292,7 @@ def main_text(html: str | None) -> str:
         return ""
     parser = Lines()
     parser.feed(html.replace("\0", "�"))
-    return "\n\n".join(content(parser.done()))
+    return "\n\n".join(content(parser.done(), parser.around, parser.others, parser.weak))
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
