@@ -12,7 +12,9 @@ import hashlib
 import math
 import re
 from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -170,9 +172,10 @@ def literal_spans(text: str) -> list[Span]:
 
 def spans_of(text: str) -> list[Span]:
     """All spans by start, then kind; literals that a base span covers are left to it."""
-    base = base_spans(text)
-    base += [s for s in literal_spans(text) if not any(b.start <= s.start and s.end <= b.end for b in base)]
-    return sorted(base)
+    base = sorted(base_spans(text))
+    starts, reach = [b.start for b in base], list(accumulate((b.end for b in base), max))  # how far the spans that begin so early go
+    rest = [s for s in literal_spans(text) if not (k := bisect_right(starts, s.start)) or reach[k - 1] < s.end]
+    return sorted(base + rest)
 
 
 def told(spans: list[Span]) -> str:
