@@ -25,11 +25,16 @@ DP_WORDS = 1 << 16
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each size (distinct, positive) to take so that their words come nearest to the budget from below."""
+    """How many documents of each size (distinct, positive) to take so that their words come nearest to the budget from below.
+
+    The table has dp_words places. What a budget has beyond them is taken as the same share of every size, and what rounding leaves beyond
+    them as whole documents; the table fits the rest. So budgets within it are met as well as any choice can.
+    """
     total = sum(int(s) * int(c) for s, c in zip(sizes, counts, strict=True))
     if budget >= total:
         return counts.copy()
-    take = np.array([int(c) * budget // total for c in counts], np.int64)  # the same share of every size
+    beyond = max(0, budget - dp_words)
+    take = np.array([int(c) * beyond // total for c in counts], np.int64)
     spare = counts - take
     rest = budget - sum(int(s) * int(t) for s, t in zip(sizes, take, strict=True))
     for i in np.argsort(-sizes, kind="stable"):  # what is beyond the table goes to whole documents, large ones first
@@ -63,30 +68,31 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_W
     return take
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their numbers from 0 in order: those within ranges behind the counts of the ranges before, of which there are as many as partitions."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut(ranged.withColumns({"__part": F.spark_partition_id(), "__in": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    ahead = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__ahead"))
+    return ranged.join(F.broadcast(ahead), "__part").withColumn(name, F.col("__ahead") + F.col("__in")).drop("__part", "__in", "__ahead")
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
     """sources (__none, __src, source_size) with `target`: shares by weight of the sum of sizes, none above `most` times its size.
 
-    Sources in code point order, null last, take the weights in turn. What a capped source leaves is
-    shared again by weight until none is above its cap: sources are full in the order of cap over
-    weight, so one pass in that order finds the common level.
+    Sources in code point order, null last, take the weights in turn. What is above a cap is shared again by weight among the others
+    until none is: each round sums the caps that the level fills and the weights of the others. Sources are never in one task; the
+    driver gets two sums a round.
     """
-    ordered = sources.withColumn("__k", F.row_number().over(Window.orderBy("__none", "__src")) - 1)
-    ordered = ordered.withColumn("__w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("__k") % len(weights) + 1).cast("int")))
-    ordered = ordered.withColumn("__cap", F.col("source_size") * float(most))
-    by_full = Window.orderBy(F.col("__cap") / F.col("__w"), "__k")
-    before = by_full.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    told = ordered.withColumns(
-        {
-            "__full": F.coalesce(F.sum("__cap").over(before), F.lit(0.0)),
-            "__open": F.sum("__w").over(everything) - F.coalesce(F.sum("__w").over(before), F.lit(0.0)),
-            "__all": F.sum("source_size").over(everything).cast("double"),
-        }
-    )
-    told = told.withColumn("__level", (F.col("__all") - F.col("__full")) / F.col("__open"))
-    told = told.withColumn("__rank", F.row_number().over(by_full))  # the first source that the level doesn't fill sets it
-    told = told.withColumn("__at", F.min(F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.struct("__rank", "__level"))).over(everything)["__level"])
-    return told.select("__none", "__src", "source_size", F.least(F.col("__cap"), F.coalesce("__at", F.lit(float("inf"))) * F.col("__w")).alias("target"))
+    told = numbered(sources, ["__none", "__src"], "__k")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("__k") % len(weights) + 1).cast("int"))
+    told = cut(told.select("__none", "__src", "source_size", weight.alias("__w"), (F.col("source_size") * float(most)).alias("__cap")))
+    everything, level, last = told.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double")).first()[0], 0.0, -1.0
+    while level > last:  # it rises with each source that fills, and stays once none does
+        full = F.col("__cap") < F.lit(level) * F.col("__w")
+        caps, open_ = told.agg(F.coalesce(F.sum(F.when(full, F.col("__cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("__w"))), F.lit(0.0))).first()
+        last, level = level, (everything - caps) / open_ if open_ else level
+    return told.select("__none", "__src", "source_size", F.least(F.col("__cap"), F.lit(level) * F.col("__w")).alias("target"))
 
 
 def mix(docs: DataFrame, seed: int = 0, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, dp_words: int = DP_WORDS) -> DataFrame:

@@ -74,3 +74,17 @@ def test_a_rest_beyond_the_table_is_met(spark):
             take = mixing.fit(sizes, counts, budget, words)
             gap = budget - int((take * sizes).sum())
             assert (take >= 0).all() and (take <= counts).all() and 0 <= gap <= (400 if words == 16 else 200)
+            if budget <= words:  # the best that any choice can do
+                sums = {0}
+                for s, c in zip(sizes.tolist(), counts.tolist()):
+                    sums = {x + s * k for x in sums for k in range(c + 1) if x + s * k <= budget}
+                assert budget - gap == max(sums)
+
+
+def test_many_sources_of_every_size(spark):
+    r = random.Random(34)
+    sizes = [round(2 ** r.uniform(0, 30)) for _ in range(700)]
+    df = spark.createDataFrame([(False, f"h{k:04d}", s) for k, s in enumerate(sizes)], "__none boolean, __src string, source_size long").repartition(6)
+    got = {x["__src"]: x["target"] for x in mixing.targets(df).collect()}
+    assert [got[f"h{k:04d}"] for k in range(len(sizes))] == pytest.approx(plain_targets(sizes))
+    assert mixing.targets(df.limit(0)).count() == 0
