@@ -136,11 +136,11 @@ def edit_layer(parents: DataFrame, edits: DataFrame, reserve: float, per_family:
 
     parents: (parent_id, text, domain); edits: (parent_id, family, ordinal, text). A seeded share of parents is reserved, and so are its edits.
     """
-    from .sampling import hashed, rank
+    from .sampling import rank, sample
 
     total = parents.count()
     n = max(1, round(reserve * total))
-    reserved = parents.select("parent_id").orderBy(hashed(seed, "parent_id"), "parent_id").limit(n)
+    reserved = sample(parents.select("parent_id"), n, ["parent_id"], seed)
     trained = parents.join(small(reserved), "parent_id", "left_anti")
     changed = edits.join(trained.select("parent_id", F.col("text").alias("clean")), "parent_id").where(T.normalize(F.col("text")) != T.normalize(F.col("clean")))
     harmful = changed.where(F.col("family") != benign).withColumn("k", rank(["family"], seed, ["parent_id", "ordinal"])).where(F.col("k") <= per_family)

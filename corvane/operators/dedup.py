@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -41,9 +41,10 @@ def sharing_grams(rows: DataFrame, ban: DataFrame, key: str, text: str = "text",
     return mine.join(hashes, "h", "left_semi").join(small(grams), "g", "left_semi").select(key).distinct()
 
 
-def admit(docs: DataFrame, ban: DataFrame, domains: tuple[str, ...], need: int, ok: Column, order: str = "doc_id", domain: str = "lang", text: str = "text") -> DataFrame:
+def admit(docs: DataFrame, ban: DataFrame, domains: tuple[str, ...], need: int, ok: Column, order: str = "doc_id", domain: str = "lang", text: str = "text", seen: DataFrame | None = None) -> DataFrame:
     """docs read in order, domain after domain, with `status`: not_viable, duplicate, eval_exact, eval_ngram or admit.
 
+    seen: (__k) keys that were admitted before.
     A domain stops once `need` texts are admitted; rows after that aren't read. Only admitted texts are
     remembered, over all domains. The domains are few and go one after another on the driver. The first
     of equal texts is a minimum with partial results, and the row that fills the need a top-k, so no task
@@ -53,7 +54,7 @@ def admit(docs: DataFrame, ban: DataFrame, domains: tuple[str, ...], need: int,
     exact = small(ban.select(T.folded_key(F.col(text)).alias("__k")).distinct()).withColumn("__exact", F.lit(True))
     told = docs.withColumns({"__k": T.folded_key(F.col(text)), "__ok": ok}).select(order, domain, "__k", "__ok").join(exact, "__k", "left").join(grams, order, "left")
     told = cut(told.withColumns({"__exact": F.coalesce("__exact", F.lit(False)), "__gram": F.coalesce("__gram", F.lit(False))}))
-    out = seen = None
+    out = None
     for d in domains:
         rows = told.where(F.col(domain) == d)
         rows = rows.join(seen.withColumn("__seen", F.lit(True)), "__k", "left") if seen is not None else rows.withColumn("__seen", F.lit(None).cast("boolean"))
@@ -68,3 +69,24 @@ def admit(docs: DataFrame, ban: DataFrame, domains: tuple[str, ...], need: int,
         mine = rows.where("status = 'admit'").select("__k")
         seen = mine if seen is None else seen.unionByName(mine)
     return out
+
+
+def admit_shards(spark: SparkSession, shards: dict[str, list[str]], ban: DataFrame, need: int, ok: Column, order: str = "doc_id", domain: str = "lang", text: str = "text", prepare=None) -> DataFrame:
+    """What admit() tells of the Parquet shards of each domain, read in the order given and no further than the need is met.
+
+    Shards are taken in growing batches: as many as the need asks for at the rate so far, at most twice the last batch. So files behind
+    the batch that meets the need are never opened. prepare: what is done to the rows of a batch before `ok` can look at them.
+    """
+    out = seen = None
+    for d, files in shards.items():
+        got, at, step = 0, 0, 1
+        while at < len(files) and got < need:
+            rows = spark.read.parquet(*files[at : at + step]).withColumn(domain, F.lit(d))
+            at += step
+            told = admit(prepare(rows) if prepare else rows, ban, (d,), need - got, ok, order, domain, text, seen)
+            mine = told.where("status = 'admit'").select("__k")
+            got += mine.count()
+            out = told if out is None else out.unionByName(told)
+            seen = mine if seen is None else seen.unionByName(mine)
+            step = max(1, min(2 * step, -(-(need - got) * at // max(got, 1))))
+    return out

@@ -5,14 +5,18 @@ from __future__ import annotations
 import json
 import random
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.sources.shared import cut
 
 from .perturb import chosen
 
@@ -67,8 +71,8 @@ def targets(docs: DataFrame, key: str, normal: str, n: int, seed: int | str) ->
     return out.withColumn("anchor", F.get("__w.s", F.get(one, F.lit(0)))).drop("__w")
 
 
-def answer(client: Client, prompt: str, field: str, tries: int = 4, base: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> dict:
-    """The JSON object that the service answers with, which must hold `field`; thoughts before it are left out. Waits double, with jitter, between tries."""
+def answer(client: Client, prompt: str, field: str, tries: int = 4, base: float = 1.0, sleep: Callable[[float], None] = time.sleep, more: Callable[[], bool] = lambda: True) -> dict:
+    """The JSON object that the service answers with, which must hold `field`; thoughts before it are left out. Waits double, with jitter, between tries; `more` says whether there may be another."""
     for k in range(tries):
         try:
             said = re.sub(r"(?s)<think>.*?</think>", "", client(prompt)).strip()
@@ -77,28 +81,90 @@ def answer(client: Client, prompt: str, field: str, tries: int = 4, base: float
                 raise ValueError(f"no {field} in the answer")
             return found
         except (Retry, ValueError):
-            if k == tries - 1:
+            if k == tries - 1 or not more():
                 raise
             sleep(base * 2**k * (1 + random.random() / 4))
     raise AssertionError
 
 
-def generate(tasks: DataFrame, key: str, prompt: str, connect: Callable[[], Client], field: str = "rewrites", concurrency: int = 8) -> DataFrame:
-    """(key, answer: JSON, error) of each task. Each partition has one client; failures become rows with an error, not failed jobs."""
+class Budget:
+    """Tries beyond the first that the calls of a partition have together; once they are spent, each call has one try."""
+
+    def __init__(self, n: int):
+        self.left, self.lock = n, threading.Lock()
+
+    def take(self) -> bool:
+        with self.lock:
+            self.left -= 1
+            return self.left >= 0
+
+
+def generate(tasks: DataFrame, key: str, prompt: str, connect: Callable[[], Client], field: str = "rewrites", concurrency: int = 8, in_flight: int = 4, retries: int = 1000, base: float = 1.0) -> DataFrame:
+    """(key, answer: JSON, error) of each task; failures become rows with an error, not failed jobs.
+
+    `concurrency` partitions have a client each and up to `in_flight` calls under way. A task is taken from the input only when a call
+    ends, so what waits is bounded. `retries` bounds the further tries of a partition: a service that is down costs one try a task then.
+    A null prompt is an error of its row; an empty table gives none.
+    """
     schema = f"`{key}` {tasks.schema[key].dataType.simpleString()}, answer string, error string"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = connect()
-        for f in frames:
-            out = []
-            for k, p in zip(f[key], f[prompt], strict=True):
-                try:
-                    out.append((k, json.dumps(answer(client, p, field)), None))
-                except Exception as e:  # noqa: BLE001  the row says what went wrong
-                    out.append((k, None, str(e)))
-            yield pd.DataFrame(out, columns=[key, "answer", "error"])
-
-    return tasks.select(key, prompt).repartition(concurrency, key).mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, budget = connect(), Budget(retries)
+
+        def one(p: str | None) -> tuple[str | None, str | None]:
+            try:
+                if p is None:
+                    raise ValueError("no prompt")
+                return json.dumps(answer(client, p, field, base=base, more=budget.take)), None
+            except Exception as e:  # noqa: BLE001  the row says what went wrong
+                return None, str(e) or type(e).__name__
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=[key, "answer", "error"])
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            under_way: dict = {}
+            for b in batches:
+                kind = b.schema.field(0).type
+                for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if len(under_way) >= in_flight:
+                        ended, _ = wait(under_way, return_when=FIRST_COMPLETED)
+                        yield told([(under_way.pop(f), *f.result()) for f in ended])
+                    under_way[pool.submit(one, p)] = k
+            if under_way:
+                yield told([(k, *f.result()) for f, k in under_way.items()])
+
+    return tasks.select(key, prompt).repartition(concurrency, key).mapInArrow(run, schema)
+
+
+ANSWERS = "answer string, error string, part int"
+
+
+def answers(spark: SparkSession, path: str, key: str, kind: str) -> DataFrame:
+    """What stands at a path of generate_into(); none where nothing was committed yet."""
+    schema = f"`{key}` {kind}, {ANSWERS}"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def generate_into(tasks: DataFrame, key: str, prompt: str, connect: Callable[[], Client], path: str, parts: int = 16, **how) -> DataFrame:
+    """Answers of generate() for the tasks that have none at `path` yet, appended there in commits, and all that stands there then.
+
+    Tasks are dealt to `parts` by key, and each part is one append: a run that is killed loses the part under way alone, and the next run asks
+    only for what is missing. Failed tasks are committed with their errors and asked for again by the next run. Keys must be distinct.
+    """
+    spark, kind = tasks.sparkSession, tasks.schema[key].dataType.simpleString()
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    for k in range(parts):
+        done = answers(spark, path, key, kind).where((F.col("part") == k) & F.col("error").isNull()).select(key)
+        left = cut(tasks.where(part == k).select(key, prompt).join(done, key, "left_anti"))
+        if not left.isEmpty():
+            generate(left, key, prompt, connect, **how).withColumn("part", F.lit(k)).write.mode("append").partitionBy("part").parquet(path)
+    return answers(spark, path, key, kind)
 
 
 def sample_id(model: Column, seed: Column, i: Column) -> Column:

@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from corvane.plans import edits, metrics, readers, texts  # noqa: F401
+    from corvane.plans import edits, files, metrics, readers, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,26 +62,52 @@ def load_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     raise ValueError(f"unsupported kind of file: {path}")
 
 
+#: What local addresses begin with, in the forms that Spark has.
+LOCAL = "^file:/+"
+
+
+def owners(files: list[str], runs: dict[str, list[tuple[str, str]]]) -> list[tuple[str, str, str]]:
+    """(file, run_id, key): each file with the runs whose path it is or lies under."""
+    out = []
+    known = {re.sub(LOCAL, "/", p): x for p, x in runs.items()}
+    for f in files:
+        at = unquote(re.sub(LOCAL, "/", f))
+        while at:
+            out += [(re.sub(LOCAL, "/", f), *x) for x in known.get(at, ())]
+            at = at.rpartition("/")[0]
+    return out
+
+
 def load_runs(spark: SparkSession, manifest: str, base: str = "", require: bool = True) -> DataFrame:
-    """text rows of every run in a manifest, with run_id and row_id. Two runs of one id are an error, and so is no run; runs without samples are one if required, else left out."""
+    """(run_id, row_id, text) of the JSON lines of every run in a manifest, read in one scan however many runs there are.
+
+    A run's samples are a file or a folder of files; the field with the text is the run's own. Two runs of one id are an error, and so is
+    none; runs without samples are one if required, else left out. Malformed lines are an error, blank ones don't count. row_id orders
+    the rows of a file. Rows meet their run by the address of their file; the driver holds the manifest and the addresses.
+    """
     runs = read_jsonl(spark, manifest, RUN)
     twice = runs.groupBy("run_id").count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"run_id twice in {manifest}: {twice[0][0]}")
-    out, hadoop = None, spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for run in runs.collect():  # a row for each file of samples
-        path = run.samples_path if run.samples_path.startswith("/") or "://" in run.samples_path else f"{base.rstrip('/')}/{run.samples_path}"
-        at = hadoop(path)
-        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            if require:
-                raise FileNotFoundError(path)
-            continue
-        key = run.text_key or "text"
-        rows = spark.read.schema(f"`{key}` string").option("mode", "FAILFAST").json(path).select(F.lit(run.run_id).alias("run_id"), F.monotonically_increasing_id().alias("row_id"), F.col(key).alias("text"))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    told = {}
+    for r in runs.collect():
+        path = r.samples_path if r.samples_path.startswith("/") or "://" in r.samples_path else f"{base.rstrip('/')}/{r.samples_path}"
+        told.setdefault(path.rstrip("/"), []).append((r.run_id, r.text_key or "text"))
+    if told and not require:
+        hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        told = {p: x for p, x in told.items() if hadoop(p).getFileSystem(conf).exists(hadoop(p))}
+    if not told:
         raise ValueError(f"no runs in {manifest}")
-    return out
+    try:
+        lines = spark.read.text([*told])
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(str(e)) from None
+        raise
+    own = spark.createDataFrame(owners(lines.inputFiles(), told), "file string, run_id string, key string")
+    fields = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
+    rows = lines.where(F.btrim("value", F.lit(" \t\n\x0b\x0c\r")) != "").select(F.regexp_replace("_metadata.file_path", LOCAL, "/").alias("file"), F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("row_id"), fields.alias("fields"))
+    return rows.join(own, "file").select("run_id", "row_id", F.try_element_at("fields", "key").alias("text"))
 
 
 def checked_texts(rows: DataFrame, text: str = "text", mode: str = "none") -> DataFrame:
