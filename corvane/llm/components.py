@@ -63,22 +63,33 @@ def stars_only(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.min("v").alias("v0"), F.max("v").alias("v1"), F.max("down").alias("down")).where("v0 <> v1 or v0 is not null and down = 1").isEmpty()
 
 
-def _fewer(edges: DataFrame) -> DataFrame:
-    """Contracted where they lie, dealt by hash, and contracted again."""
-    return contracted(contracted(edges).distinct())
+def _fewer(edges: DataFrame) -> tuple[DataFrame, str, bool]:
+    """Contracted where they lie, and again in as many tasks as blocks of LOCAL_LINKS: a table with its path, and whether one block held all links, which makes them stars.
+
+    With more blocks, links are dealt by hash first, so that they meet others than before.
+    """
+    spark = edges.sparkSession
+    once, path = written(contracted(edges), "links")
+    blocks = once.count() // LOCAL_LINKS + 1
+    if blocks == 1:
+        out, at = written(contracted(once.coalesce(1)), "links")
+    else:
+        out, at = written(contracted(once.distinct()), "links")
+    erase(spark, path)
+    return out, at, blocks == 1
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (u, v); root is the smallest node reachable.
 
     Each round sends every node's larger neighbours, then its smaller ones, to its smallest neighbour, until
-    only stars are left; the number of rounds grows with the logarithm of the number of nodes. Minima have partial
+    only stars are left or one block of LOCAL_LINKS holds what is left of the links; the number of rounds grows with the logarithm of the number of nodes. Minima have partial
     sums and are written before the joins back to them, so that adaptive execution can split the rows of a node with very many links.
     Links of a node to itself and repeated links change nothing; an empty table gives an empty one.
     """
     spark = links.sparkSession
-    edges, at = written(_fewer(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")), "links")
-    while not stars_only(edges):
+    edges, at, whole = _fewer(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"))
+    while not whole and not stars_only(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least, path1 = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
         large, path2 = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -86,7 +97,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         told = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         last = at
-        edges, at = written(_fewer(told), "links")
+        edges, at, whole = _fewer(told)
         erase(spark, path1, path2, path3, last)
         del both, least, large, small, told
         release(spark)
