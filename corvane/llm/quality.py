@@ -126,8 +126,12 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", lim
 
     With `clean` also clean_text, the text without its boilerplate lines, and n_removed_lines. Else only depleted documents are joined.
     Null texts count as empty and fail, clean_text being null; null hosts form one host; repeated rows get the same verdict;
-    an empty table gives an empty result; other columns pass through (columns of these names are replaced).
+    an empty table gives an empty result; other columns pass through, those of the operator's own names too (columns of these names are replaced).
     """
+    own = {c: f"own {k}" for k, c in enumerate(docs.columns) if c.startswith("__")}
+    if own:
+        out = quality_rules(docs.withColumnsRenamed(own), own.get(text, text), own.get(host, host), limit, clean)
+        return out.withColumnsRenamed({v: k for k, v in own.items()})
     rule = line_rule(docs, text, host, limit)
     rule = cut(rule if clean else rule.where("__gone").drop("__common"))
     rule = small_or_shuffled(rule, BROADCAST_ROWS, F.size("__common") if clean else None)

@@ -46,4 +46,21 @@ common as (select host, line from nl group by host, line having count(distinct t
 gone as (select host, t from nl left join (select host, line, 1 as common from common) c using (host, line) group by host, t having count(common) > 0 and coalesce(sum(n) filter (where common is null), 0) < {LEAST_WORDS})
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and gone.t is null as kept from base left join gone using (host, t)"""
 
-ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1, "op6_minhash": OP6, "op7_warc": OP7, "op9_quality_rules": OP9}
+#: The remainders of the 256 bytes, by the polynomial of CRC-32.
+CRC_TABLE = "list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(1, 9)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+
+OP12 = f"""with recursive t as (select {CRC_TABLE} as t),
+runs as (select doc_id, run, count(*) as c from (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents) group by doc_id, run),
+x as (select run, c, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from runs where length(run) >= 5),
+b as (select run, c, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint) as b from x),
+h as (select run, c, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda a, k: xor(a >> 8, t.t[(xor(a, k) & 255) + 1])), 4294967295) as h from b, t),
+w as (select case when h % 97 = 0 then left(run, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, c from h),
+v as (select word, sum(c)::bigint as n from w where length(word) >= 5 group by word having sum(c) >= 3),
+d as (select word, n, i, left(word, i) || substr(word, i + 2) as k from (select word, n, unnest(range(0, length(word))) as i from v)),
+p as (select a.word, b.word as other, b.n as m from d a join d b on a.k = b.k and a.i = b.i and a.word <> b.word union select d.word, v.word, v.n from d join v on d.k = v.word union select v.word, d.word, d.n from d join v on d.k = v.word),
+f as (select word, count(*) as n_near, first(other order by m desc, other) as other, max(m) as m from p group by word),
+o as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when m >= 2 * v.n then other end as form, case when m >= 2 * v.n then m end as form_n from v left join f using (word)),
+r as (select word, word as root, 0 as steps from o union all select r.word, o.form, steps + 1 from r join o on o.word = r.root where o.form is not null)
+select o.word, form, arg_max(r.root, r.steps) as root, n, n_near, form_n from o join r using (word) group by all"""
+
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1, "op6_minhash": OP6, "op7_warc": OP7, "op9_quality_rules": OP9, "op12_spelling": OP12}
