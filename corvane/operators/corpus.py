@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 
-from corvane.sources.shared import cut
+from corvane.sources.shared import cut, stored
 
 from .dedup import first_seen, small
 from .perturb import numbered_pool
@@ -36,24 +36,30 @@ def assemble(base: DataFrame | None, layers: list[Layer], ban: DataFrame | None)
     The layers of a recipe are few and go one after another; each is distributed.
     """
     key = T.folded_key(F.col("text"))
-    out = base.select("text", "domain", "kind", F.col("ordinal").cast("long").alias("ordinal"), F.lit(-1).alias("layer"), F.lit("added").alias("status"), key.alias("k")) if base is not None else None
+    out = base.select("text", "domain", "kind", F.col("ordinal").cast("long").alias("ordinal"), F.lit(-1).alias("layer"), F.lit("added").alias("status")) if base is not None else None
+    seen = cut(base.select(key.alias("k"))) if base is not None else None
     bans = small(ban.select(T.folded_key(F.col("text")).alias("k")).distinct()).withColumn("__ban", F.lit(True)) if ban is not None else None
     for i, layer in enumerate(layers):
-        rows = layer.rows.select("text", F.lit(layer.domain).alias("domain"), F.lit(layer.kind).alias("kind"), F.col(layer.order).cast("long").alias("ordinal"), F.lit(i).alias("layer")).withColumn("k", key)
+        # texts are normalized and written once; what decides reads keys alone and meets the texts again by row
+        n = F.size(T.split_words(F.col("__n")))
+        keyed = layer.rows.select("text", F.col(layer.order).cast("long").alias("ordinal"), T.normalize(F.col("text")).alias("__n"), F.monotonically_increasing_id().alias("row"))
+        keyed = stored(keyed.select("text", "ordinal", "row", F.sha2(F.lower("__n"), 256).alias("k"), F.coalesce((n == 0) | (n < layer.least_words), F.lit(True)).alias("short")), "layer")
+        rows = keyed.drop("text")
         rows = rows.join(bans, "k", "left") if bans is not None else rows.withColumn("__ban", F.lit(None).cast("boolean"))
-        rows = rows.join(out.where("status = 'added'").select("k").distinct().withColumn("__seen", F.lit(True)), "k", "left") if out is not None else rows.withColumn("__seen", F.lit(None).cast("boolean"))
-        n = F.size(T.split_words(T.normalize(F.col("text"))))
-        short = (n == 0) | (n < layer.least_words)
-        fresh = ~short & F.col("__ban").isNull() & F.col("__seen").isNull()
+        rows = rows.join(small(seen.distinct()).withColumn("__seen", F.lit(True)), "k", "left") if seen is not None else rows.withColumn("__seen", F.lit(None).cast("boolean"))
+        fresh = ~F.col("short") & F.col("__ban").isNull() & F.col("__seen").isNull()
         rows = rows.join(rows.where(fresh).groupBy("k").agg(F.min("ordinal").alias("__first")), "k", "left")
-        status = F.when(short, "short").when(F.col("__ban").isNotNull(), "banned").when(F.col("__seen").isNotNull() | (fresh & (F.col("ordinal") != F.col("__first"))), "dup").otherwise("added")
-        rows = rows.withColumn("status", status)
+        status = F.when(F.col("short"), "short").when(F.col("__ban").isNotNull(), "banned").when(F.col("__seen").isNotNull() | (fresh & (F.col("ordinal") != F.col("__first"))), "dup").otherwise("added")
+        rows = stored(rows.select("row", "ordinal", "k", status.alias("status")), "status")
         if layer.limit is not None:
             last = rows.where("status = 'added'").select("ordinal").orderBy("ordinal").limit(layer.limit).agg(F.max("ordinal").alias("last"), F.count("*").alias("n"))
             rows = rows.crossJoin(F.broadcast(last)).where((F.col("n") < layer.limit) | (F.col("ordinal") <= F.col("last")))
-        rows = cut(rows.select("text", "domain", "kind", "ordinal", "layer", "status", "k"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.drop("k")
+        added = rows.where("status = 'added'").select("k")
+        seen = added if seen is None else seen.unionByName(added)
+        told = keyed.select("row", "text").join(rows.select("row", "ordinal", "status"), "row")
+        told = told.select("text", F.lit(layer.domain).alias("domain"), F.lit(layer.kind).alias("kind"), "ordinal", F.lit(i).alias("layer"), "status")
+        out = told if out is None else out.unionByName(told)
+    return out
 
 
 def layer_counts(rows: DataFrame) -> DataFrame:

@@ -18,7 +18,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key in the given order. A minimum with partial results, joined back: a key with very many rows meets in no single task."""
+    """The first row of each key in the given order. A minimum with partial results, joined back: a key with very many rows meets in no single task.
+
+    Rows of keys and order alone are written once, so their keys aren't computed twice.
+    """
+    if {*rows.columns} == {*keys, order}:
+        rows = cut(rows)
     firsts = rows.groupBy(*keys).agg(F.min(order).alias(order))
     return rows.join(firsts, [*keys, order], "left_semi")
 
@@ -71,15 +76,15 @@ def admit(docs: DataFrame, ban: DataFrame, domains: tuple[str, ...], need: int,
     return out
 
 
-def admit_shards(spark: SparkSession, shards: dict[str, list[str]], ban: DataFrame, need: int, ok: Column, order: str = "doc_id", domain: str = "lang", text: str = "text", prepare=None) -> DataFrame:
+def admit_shards(spark: SparkSession, shards: dict[str, list[str]], ban: DataFrame, need: int, ok: Column, order: str = "doc_id", domain: str = "lang", text: str = "text", prepare=None, first: int | None = None) -> DataFrame:
     """What admit() tells of the Parquet shards of each domain, read in the order given and no further than the need is met.
 
-    Shards are taken in growing batches: as many as the need asks for at the rate so far, at most twice the last batch. So files behind
-    the batch that meets the need are never opened. prepare: what is done to the rows of a batch before `ok` can look at them.
+    Shards are taken in growing batches: `first` of them (one for each core unless given), then as many as the need asks for at the rate so
+    far, at most twice the last batch. So files behind the batch that meets the need are never opened. prepare: what is done to the rows of a batch before `ok` can look at them.
     """
     out = seen = None
     for d, files in shards.items():
-        got, at, step = 0, 0, 1
+        got, at, step = 0, 0, first or spark.sparkContext.defaultParallelism
         while at < len(files) and got < need:
             rows = spark.read.parquet(*files[at : at + step]).withColumn(domain, F.lit(d))
             at += step

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.shared import stored
+
 from .gram import moments
 from .mmd import kernel_sums, median_bandwidth
 from .sampling import hashed
@@ -67,12 +69,56 @@ def group_means(told: DataFrame, group: str) -> DataFrame:
     return told.groupBy(group).agg(F.count("*").alias("n_pools"), F.avg("kbb").alias("kbb"), F.avg("kab").alias("kab"))
 
 
-def probe_accuracy(rows: DataFrame, key: str, vec: str, label: str, seed: int, most: int = 4000, steps: int = 300) -> float:
-    """Accuracy on the held-out half of all rows of a logistic probe, by full gradient steps on at most half of `most` rows of the other half.
+#: Rows of a block that gradients are taken over at once.
+PROBE_ROWS = 4096
+
+
+def packed_rows(rows: DataFrame) -> DataFrame:
+    """(x, y) blocks of the rows (v, y) as doubles, in the tasks where they lie."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, PROBE_ROWS):
+                part = b.slice(k, PROBE_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).flatten().to_numpy(zero_copy_only=False).tobytes()], pa.binary()), pa.array([part.column(1).to_numpy(zero_copy_only=False).tobytes()], pa.binary())], names=["x", "y"])
+
+    return rows.select("v", "y").mapInArrow(pack, "x binary, y binary")
+
+
+def total(blocks: DataFrame, f) -> np.ndarray:
+    """The sum of f(x, y) over all blocks: by task where they lie, then by the square root of the tasks, then on the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = None
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                y = np.frombuffer(y)
+                g = f(np.frombuffer(x).reshape(len(y), -1), y)
+                s = g if s is None else s + g
+        if s is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary())], names=["s"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = None
+        for b in batches:
+            for g in b.column(0).to_pylist():
+                s = np.frombuffer(g) if s is None else s + np.frombuffer(g)
+        if s is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary())], names=["s"])
+
+    parts, tasks = blocks.mapInArrow(run, "s binary"), blocks.rdd.getNumPartitions()
+    if tasks > 64:
+        parts = parts.repartition(int(tasks**0.5)).mapInArrow(add, "s binary")
+    return sum(np.frombuffer(g) for g in parts.toArrow()["s"].to_pylist())
+
+
+def probe_accuracy(rows: DataFrame, key: str, vec: str, label: str, seed: int, steps: int = 300) -> float:
+    """Accuracy on the held-out half of all rows of a logistic probe, by full gradient steps on all rows of the other half.
 
-    The halves go by seeded order, rows without a key first and rows of one key together. Held-out rows are scored where they lie; only the rows that the probe is fitted on are collected.
+    The halves go by seeded order, rows without a key first and rows of one key together. Rows are packed into blocks and kept where they lie; a
+    step sends the weights there and the sums of gradients back, so what moves has the width of a vector whatever the number of rows.
     """
-    data = rows.select(F.coalesce(hashed(seed, key), F.lit("")).alias("h"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("double").alias("y"))
+    data = stored(rows.select(F.coalesce(hashed(seed, key), F.lit("")).alias("h"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("double").alias("y")), "probe")
     # the hash at which the held-out half begins, found by counts of its first digits
     digits = F.substring("h", 1, 4)
     counts = sorted((r.k, r.n) for r in data.groupBy(digits.alias("k")).agg(F.count("*").alias("n")).collect())
@@ -85,17 +131,26 @@ def probe_accuracy(rows: DataFrame, key: str, vec: str, label: str, seed: int, m
             break
         before += n
     edge = data.where(digits == k).select("h").orderBy("h").limit(half - before + 1).agg(F.max("h")).first()[0]
-    known = data.where(F.col("h") < edge).orderBy("h").limit(most // 2).toArrow()
-    if not known.num_rows:
+    known = data.where(F.col("h") < edge)
+    fit = known.count()
+    if not fit:
         return float("nan")
-    x, y = np.stack(known["v"].to_numpy()), known["y"].to_numpy()
-    mean, spread = x.mean(0), x.std(0) + 1e-6
-    z = np.concatenate([(x - mean) / spread, np.ones((len(x), 1))], 1)
-    w = np.zeros(z.shape[1])
-    decay = np.append(np.full(x.shape[1], 1e-3), 0.0)
-    for _ in range(steps):
-        miss = 1 / (1 + np.exp(-z @ w)) - y
-        w = w - 0.1 * (z.T @ miss / len(x) + decay * w)
+    tasks = min(known.rdd.getNumPartitions(), -(-fit // PROBE_ROWS))
+    blocks = packed_rows(known.coalesce(tasks)).persist()
+    try:
+        mean = total(blocks, lambda x, y: x.sum(0)) / fit
+        spread = np.sqrt(total(blocks, lambda x, y: ((x - mean) ** 2).sum(0)) / fit) + 1e-6
+        w, decay = np.zeros(len(mean) + 1), np.append(np.full(len(mean), 1e-3), 0.0)
+        for _ in range(steps):
+
+            def gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+                z = (x - mean) / spread
+                miss = 1 / (1 + np.exp(-(z @ w[:-1] + w[-1]))) - y
+                return np.append(z.T @ miss, miss.sum())
+
+            w = w - 0.1 * (total(blocks, gradient) / fit + decay * w)
+    finally:
+        blocks.unpersist()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -235,7 +235,7 @@ def splice(docs: DataFrame, pool: DataFrame, total: int, key: str, normal: str,
     The same seed chooses the same places whatever the pool; `tag` names the draws.
     """
     rows = with_sentences(docs, key, normal, rate, seed, position).withColumn("__c", F.when((F.size("__s") >= least) & F.lit(total > 0), F.col("__c")).otherwise(F.array().cast("array<int>")))
-    draw = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}d{tag}:"), F.col(key).cast("string"), F.lit(":"), F.col("i").cast("string")), 256), 1, 8), 16, 10).cast("long") % max(total, 1)
+    draw = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}d{tag}:"), F.col(key).cast("string"), F.lit(":"), F.col("i").cast("string")), 256), 1, 15), 16, 10).cast("long") % max(total, 1)
     drawn = rows.select(key, F.explode("__c").alias("i")).withColumn("n", draw).join(pool.withColumnRenamed("sentence", "__new"), "n").select(key, F.struct("i", "__new").alias("x")).groupBy(key).agg(F.collect_list("x").alias("__d"))
     rows = rows.join(drawn, key, "left").withColumn("__d", F.map_from_entries(F.coalesce("__d", F.array().cast("array<struct<i:int,__new:string>>"))))
     rows = rows.withColumn("__c", F.filter("__c", lambda i: F.col("__d")[i] != F.get("__s", i)))

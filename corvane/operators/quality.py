@@ -115,8 +115,10 @@ def rewrite_parents(rows: DataFrame, per_domain: int, least_sentences: int, leas
     """rows with `picked` and, for those, `sample_id`: the first `per_domain` of each domain within the bounds; the others are the rest."""
     from pyspark.sql import Window
 
+    from .dedup import small
+
     t = F.col(text)
     fits = (F.size(T.sentences(T.normalize(t))) >= least_sentences) & F.size(T.words(t)).between(least_words, most_words)
     first = rows.where(fits).select(domain, order).withColumn("__n", F.row_number().over(Window.partitionBy(domain).orderBy(order))).where(F.col("__n") <= per_domain)
-    told = rows.join(F.broadcast(first.select(order, "__n")), order, "left")  # per_domain rows of each domain
+    told = rows.join(small(first.select(order, "__n")), order, "left")
     return told.withColumn("picked", F.col("__n").isNotNull()).withColumn("sample_id", F.when(F.col("picked"), F.format_string("relgen-%s-%04d", F.col(domain), F.col("__n")))).drop("__n")

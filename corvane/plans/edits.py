@@ -177,7 +177,7 @@ def _splice_sql(pools: dict[str, str]) -> str:
     parts = []
     for tag, where in pools.items():
         head += f""", p{tag} as (select sentence, row_number() over (order by sentence) - 1 as n from ({_pool_sql(where)})),
-        d{tag} as (select doc_id, map(list(i), list(sentence)) as d from (select doc_id, i, ('0x' || substr(sha256('{SEED}d{tag}:' || doc_id || ':' || i), 1, 8))::bigint % (select count(*) from p{tag}) as n from (select doc_id, unnest(c) as i from k)) join p{tag} using (n) group by doc_id),
+        d{tag} as (select doc_id, map(list(i), list(sentence)) as d from (select doc_id, i, ('0x' || substr(sha256('{SEED}d{tag}:' || doc_id || ':' || i), 1, 15))::bigint % (select count(*) from p{tag}) as n from (select doc_id, unnest(c) as i from k)) join p{tag} using (n) group by doc_id),
         e{tag} as (select k.doc_id, s, e, list_filter(c, lambda i: d[i] <> s[i + 1]) as c, d from k left join d{tag} using (doc_id)),
         o{tag} as (select doc_id, len(e) as n_eligible, len(coalesce(c, [])) as n_edited, round(len(coalesce(c, [])) / greatest(len(s), 1), 8) as realized, sha256(array_to_string(list_transform(range(0, len(s)), lambda i: case when list_contains(coalesce(c, []), i) then d[i] else s[i + 1] end), ' ')) as edited_hash, {_sentence_spans('d[i]')} from e{tag})"""
         parts.append(f"select *, '{tag}' as pool from o{tag}")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corvane.operators import gram, linalg, mmd, vectors
 from corvane.operators.quantiles import quantiles
 from corvane.registry import query
-from corvane.sources.tables import table
+from corvane.sources.shared import stored
+from corvane.sources.tables import spread, table
 
 from . import sqltext as S
 
@@ -234,7 +235,7 @@ def unigram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unigram_mmd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared MMD of English against other documents over token histograms, at a fixed bandwidth."""
     docs = table(spark, sf_dir, "documents")
-    counts = vectors.token_counts(docs, "doc_id", "text")
+    counts = stored(vectors.token_counts(spread(docs), "doc_id", "text"), "counts")
     rows = vectors.dense(vectors.histograms(counts, vectors.vocabulary(counts, VOCAB), "doc_id", VOCAB), docs, "doc_id", VOCAB)
     rows = rows.join(docs.select("doc_id", F.when(F.col("lang") == "en", "g").otherwise("r").alias("side")), "doc_id")
     return mmd.squared_mmd(mmd.kernel_sums(rows, rows, "side", "doc_id", "vec", 0.1), "g", "r").select(F.round("mmd2", PLACES).alias("mmd2"))

@@ -31,7 +31,7 @@ def eval_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first texts of a file, a reader with its limit."""
     at = scratch(spark, "lines")
-    table(spark, sf_dir, "benchmark").orderBy("item_id").coalesce(1).select("text").write.json(at)
+    table(spark, sf_dir, "benchmark").repartitionByRange(4, "item_id").sortWithinPartitions("item_id").select("text").write.json(at)
     return R.jsonl_texts(spark, at, limit=50).select(F.sha2("text", 256).alias("text_hash"))
 
 

@@ -211,8 +211,8 @@ def normalize_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select lang, avg(n_chars) as mean_chars, round(stddev_pop(n_chars), 6) as std_chars, median(n_chars)::double as median_chars, round(quantile_cont(n_chars, 0.1), 6) as p10_chars from documents group by lang")
 def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, docs = F.col("n_chars"), table(spark, sf_dir, "documents").select("lang", "n_chars")
-    exact = quantiles(docs, "lang", "n_chars", {"median_chars": 0.5, "p10_chars": 0.1}).select("lang", "median_chars", F.round("p10_chars", 6).alias("p10_chars"))
-    return docs.groupBy("lang").agg(F.avg(n).alias("mean_chars"), F.round(F.stddev_pop(n), 6).alias("std_chars")).join(exact, F.col("lang").eqNullSafe(exact["lang"])).drop(exact["lang"])
+    exact = quantiles(docs, "lang", "n_chars", {"median_chars": 0.5, "p10_chars": 0.1}).select(F.col("lang").alias("l"), "median_chars", F.round("p10_chars", 6).alias("p10_chars"))
+    return docs.groupBy("lang").agg(F.avg(n).alias("mean_chars"), F.round(F.stddev_pop(n), 6).alias("std_chars")).join(exact, F.col("lang").eqNullSafe(F.col("l"))).drop("l")
 
 
 @query(

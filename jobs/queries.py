@@ -64,7 +64,7 @@ def _splice_rows_sql(tag: str, pool: str, seed: str, rate: float) -> str:
     """The same of sentences spliced in from a pool."""
     return f"""with {_places(seed=seed, rate=rate, texts='par')}, k as (select doc_id, n, s, e, case when len(s) >= 2 then c else [] end as c from c),
     p as (select sentence, row_number() over (order by sentence) - 1 as nth from ({pool})),
-    dr as (select doc_id, map(list(i), list(sentence)) as d from (select doc_id, i, ('0x' || substr(sha256('{seed}d{tag}:' || doc_id || ':' || i), 1, 8))::bigint % (select count(*) from p) as nth from (select doc_id, unnest(c) as i from k)) join p using (nth) group by doc_id),
+    dr as (select doc_id, map(list(i), list(sentence)) as d from (select doc_id, i, ('0x' || substr(sha256('{seed}d{tag}:' || doc_id || ':' || i), 1, 15))::bigint % (select count(*) from p) as nth from (select doc_id, unnest(c) as i from k)) join p using (nth) group by doc_id),
     g as (select k.doc_id, n, s, list_filter(c, lambda i: d[i] <> s[i + 1]) as c, d from k left join dr using (doc_id))
     select doc_id, n, len(coalesce(c, [])) / greatest(len(s), 1) as realized, array_to_string(list_transform(range(0, len(s)), lambda i: case when list_contains(coalesce(c, []), i) then d[i] else s[i + 1] end), ' ') as edited from g"""
 

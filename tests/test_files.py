@@ -43,7 +43,7 @@ def test_shards_behind_the_need_stay_closed(spark, tmp_path):
         spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"s{k}"))
     files = [f for k in range(6) for f in texts.expand(spark, f"{tmp_path}/s{k}/*.parquet")]
     ban = spark.createDataFrame([("nothing",)], "text string")
-    told = lambda names, need: dedup.admit_shards(spark, {"en": names}, ban, need, viable(F.col("n"), 4, 100, 400), prepare=lambda r: r.withColumn("n", T.normalize(F.col("text"))))
+    told = lambda names, need: dedup.admit_shards(spark, {"en": names}, ban, need, viable(F.col("n"), 4, 100, 400), prepare=lambda r: r.withColumn("n", T.normalize(F.col("text"))), first=1)
     whole = spark.read.parquet(*files).withColumns({"n": T.normalize(F.col("text")), "lang": F.lit("en")})
     for need in (1, 3, 7, 100):
         want = dedup.admit(whole, ban, ("en",), need, viable(F.col("n"), 4, 100, 400))
