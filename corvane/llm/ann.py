@@ -121,7 +121,33 @@ def build(data: np.ndarray, seed: int = 0) -> tuple[np.ndarray, int]:
             for i, k in enumerate(part.tolist()):
                 near[i, : count[k]] = frm[first[k] : first[k] + count[k]]
             graph[nodes[part]] = prune(data, nodes[part], np.concatenate([graph[nodes[part]], near], 1))
-    return graph, start
+    return joined(data, graph, start), start
+
+
+def reached(graph: np.ndarray, start: int) -> np.ndarray:
+    """Whether each node can be reached from the start."""
+    out = np.zeros(len(graph), bool)
+    out[start], now = True, np.array([start])
+    while len(now):
+        near = np.unique(graph[now])
+        now = near[(near >= 0) & ~out[near]]
+        out[now] = True
+    return out[:-1]
+
+
+def joined(data: np.ndarray, graph: np.ndarray, start: int) -> np.ndarray:
+    """The graph with an edge to each node that pruning had cut off, from the nearest node that a search finds, in columns of their own; all nodes can be reached then."""
+    while len(lost := np.flatnonzero(~reached(graph, start))):
+        lost = lost[: max(1, len(lost) // 2)]  # the others may hang on these
+        found, _ = beam_search(data, graph, start, data[lost], BUILD_BEAM)
+        frm = found[:, 0]
+        by = np.argsort(frm, kind="stable")
+        frm, lost = frm[by], lost[by]
+        nodes, first, count = np.unique(frm, return_index=True, return_counts=True)
+        more = np.full((len(graph), int(count.max())), -1, np.int64)
+        more[frm, np.arange(len(frm)) - np.repeat(first, count)] = lost
+        graph = np.concatenate([graph, more], 1)
+    return graph
 
 
 def classes(vectors: DataFrame, key: str, vector: str, top: int) -> DataFrame:
@@ -153,8 +179,8 @@ _NEAR = "q binary, vec_id long, score double"
 def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = 20, shard: int = SHARD, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries (key, vector) the `top` nearest rows of vectors found, its own key aside.
 
-    Largest inner product first, ties to the smaller key. Vectors are compared with those of their own
-    length only. Rows with equal keys and vectors count once.
+    Largest inner product first, ties to the smaller key; all candidates where there are no more than `top`, for every node of a graph can be
+    reached and a beam ends only when it is full or has read all. Vectors are compared with those of their own length only. Rows with equal keys and vectors count once.
     """
     spark = vectors.sparkSession
     found, _ = written(classes(vectors, key, vector, top), "classes")
@@ -220,7 +246,10 @@ def _searcher(top: int, beam: int):
         out_q, out_i, out_s = [], [], []
         for k in range(0, len(keys), 512):
             q = queries[k : k + 512]
-            near, _ = beam_search(flat, graph, x["start"], np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32), beam)
+            if len(sizes) <= beam:  # a beam as wide as the shard finds all of it
+                near = np.tile(np.arange(len(sizes)), (len(q), 1))
+            else:
+                near, _ = beam_search(flat, graph, x["start"], np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32), beam)
             for i, nodes in enumerate(near):
                 nodes = nodes[nodes >= 0]
                 score = (data[nodes] * q[i]).sum(1)
