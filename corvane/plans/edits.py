@@ -391,7 +391,21 @@ def _layer_edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return parents, edits
 
 
-@query()
+def _layer_sql() -> str:
+    repeat = f"with {_places()} select doc_id, array_to_string(list_transform(range(0, len(s)), lambda i: case when list_contains(c, i) then {TWICE} else s[i + 1] end), ' ') as edited from c"
+    permute = f"""with {_places(least=2)}, d as (select doc_id, s, case when len(e) >= 2 then c else [] end as c from c), f as (select *, list_transform(c, lambda i: s[i + 1]) as items from d), g as (select *, {_mixed('items', f'{SEED}p', "'s'")} as m from f)
+    select doc_id, array_to_string(list_transform(range(0, len(s)), lambda i: coalesce(m[list_position(c, i)], s[i + 1])), ' ') as edited from g"""
+    return f"""with ed as (select doc_id, 'repeat' as family, doc_id * 10 as ordinal, edited from ({repeat}) union all select doc_id, 'permute', doc_id * 10 + 1, edited from ({permute}) union all select doc_id, 'benign_paraphrase', doc_id * 10 + 2, n || ' Indeed.' from {NORMAL}),
+    tot as (select greatest(1, round_even(0.1 * count(*), 0))::bigint as most from documents),
+    tr as (select doc_id, n, lang from (select *, row_number() over (order by sha256('23:' || doc_id), doc_id) as r from {NORMAL}), tot where r > most),
+    ch as (select ed.* from ed join tr using (doc_id) where {S.norm('edited')} <> {S.norm('n')}),
+    ha as (select *, row_number() over (partition by family order by sha256('23:' || family || ':' || doc_id || ':' || ordinal), doc_id, ordinal) as k from ch where family <> 'benign_paraphrase'),
+    al as (select n as text, lang as domain, 'clean_parent' as kind, 0 as o1, doc_id::varchar as o2, 0 as o3 from tr union all select edited, 'perturbed', 'pert_' || family, 1, family, k from ha where k <= 60 union all select edited, 'perturbed', family, 2, doc_id::varchar, ordinal from ch where family = 'benign_paraphrase'),
+    nth as (select *, row_number() over (partition by {S.key('text')} order by o1, o2, o3) as nth from al)
+    select sha256(text) as text_hash, domain, kind from nth where nth = 1"""
+
+
+@query(_layer_sql())
 def edit_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents, edits = _layer_edits(spark, sf_dir)
     return corpus.edit_layer(parents, edits, 0.1, 60, 23).select(F.sha2("text", 256).alias("text_hash"), "domain", "kind")
