@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.functions.blocks import changes
+
 #: Fixed values. A word: letters, digits and underscores, with apostrophes and hyphens inside. A run: the part between word boundaries.
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
 RUN = r"[\p{L}\p{N}_]+"
@@ -191,23 +192,19 @@ _TOKEN = re.compile(r"\b[\w'-]+\b|[^\w\s]")
 
 @F.pandas_udf(T.DoubleType())
 def token_edit_ratio(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Changed tokens by tokens before, after the opcodes of a longest-matching-block comparison (no SQL function is that)."""
+    """Changed tokens by tokens before, after a longest-matching-block comparison."""
     out = []
     for b, a in zip(before.fillna(""), after.fillna(""), strict=True):
         x, y = _TOKEN.findall(b), _TOKEN.findall(a)
-        codes = difflib.SequenceMatcher(a=x, b=y, autojunk=False).get_opcodes()
-        out.append(sum(max(i1 - i0, j1 - j0) for op, i0, i1, j0, j1 in codes if op != "equal") / max(1, len(x)))
+        out.append(sum(max(i1 - i0, j1 - j0) for i0, i1, j0, j1 in changes(x, y)) / max(1, len(x)))
     return pd.Series(out, dtype="float64")
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("before", T.StringType()), T.StructField("after", T.StringType())])))
 def changed_spans(before: pd.Series, after: pd.Series) -> pd.Series:
     """Spans that turn before into after, by characters."""
-    out = []
-    for b, a in zip(before.fillna(""), after.fillna(""), strict=True):
-        codes = difflib.SequenceMatcher(a=b, b=a, autojunk=False).get_opcodes()
-        out.append([{"start": i0, "end": i1, "before": b[i0:i1], "after": a[j0:j1]} for op, i0, i1, j0, j1 in codes if op != "equal"])
-    return pd.Series(out)
+    both = zip(before.fillna(""), after.fillna(""), strict=True)
+    return pd.Series([[{"start": i0, "end": i1, "before": b[i0:i1], "after": a[j0:j1]} for i0, i1, j0, j1 in changes(b, a)] for b, a in both])
 
 
 @F.pandas_udf(T.StringType())

@@ -391,6 +391,16 @@ def _layer_edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return parents, edits
 
 
+@query(f"with {_places()}, o as (select doc_id, n, array_to_string(list_transform(range(0, len(s)), lambda i: case when list_contains(c, i) then {TWICE} else s[i + 1] end), ' ') as edited from c) select doc_id, sha256(edited) as rebuilt_hash, true as fits from o")
+def changed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans found between texts and their edits turn the one into the other; they lie apart, in order, and each changes something."""
+    rows = cut(perturb.sentence_repeat(documents(spark, sf_dir), "doc_id", "n", RATE, SEED).select("doc_id", "n", "edited"))
+    rows = cut(rows.select("doc_id", "n", T.changed_spans("n", "edited").alias("spans")))
+    before = lambda s, i: (i == 0) | (F.get("spans", i - 1)["end"] < s["start"])
+    fits = F.forall(F.transform("spans", lambda s, i: before(s, i) & (s["before"] != s["after"])), lambda x: x)
+    return rows.select("doc_id", F.sha2(T.apply_spans(F.col("n"), F.col("spans")), 256).alias("rebuilt_hash"), fits.alias("fits"))
+
+
 def _layer_sql() -> str:
     repeat = f"with {_places()} select doc_id, array_to_string(list_transform(range(0, len(s)), lambda i: case when list_contains(c, i) then {TWICE} else s[i + 1] end), ' ') as edited from c"
     permute = f"""with {_places(least=2)}, d as (select doc_id, s, case when len(e) >= 2 then c else [] end as c from c), f as (select *, list_transform(c, lambda i: s[i + 1]) as items from d), g as (select *, {_mixed('items', f'{SEED}p', "'s'")} as m from f)
