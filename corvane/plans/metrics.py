@@ -217,7 +217,7 @@ _COUNTS = f"c as (select doc_id, token, count(*) as c from (select doc_id, unnes
 @query(f"with {_COUNTS} select token, cnt as count, idx from v")
 def unigram_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent tokens, a top-k report."""
-    return vectors.vocabulary(vectors.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), VOCAB).select("token", "count", F.col("idx").cast("long").alias("idx"))
+    return vectors.vocabulary(vectors.token_counts(spread(table(spark, sf_dir, "documents")), "doc_id", "text"), VOCAB).select("token", "count", F.col("idx").cast("long").alias("idx"))
 
 
 _HIST = f"{_COUNTS}, t as (select doc_id, sum(c) as t from c group by doc_id), h as (select doc_id, coalesce(idx, {VOCAB}) as idx, sum(c) / any_value(t) as w from c join t using (doc_id) left join v using (token) group by doc_id, coalesce(idx, {VOCAB}))"
@@ -225,7 +225,7 @@ _HIST = f"{_COUNTS}, t as (select doc_id, sum(c) as t from c group by doc_id), h
 
 @query(f"with {_HIST} select doc_id, idx, round(w, {PLACES}) as w from h")
 def unigram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = vectors.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    counts = stored(vectors.token_counts(spread(table(spark, sf_dir, "documents")), "doc_id", "text"), "counts")
     return vectors.histograms(counts, vectors.vocabulary(counts, VOCAB), "doc_id", VOCAB).select("doc_id", F.col("idx").cast("long").alias("idx"), F.round("w", PLACES).alias("w"))
 
 

@@ -11,7 +11,8 @@ from corvane.operators.digests import corpus_hashes
 from corvane.operators.quality import viable
 from corvane.operators.quantiles import quantiles
 from corvane.registry import query
-from corvane.sources.tables import spread, table
+from corvane.sources.shared import cut
+from corvane.sources.tables import kept, spread, table
 
 from . import sqltext as S
 
@@ -90,7 +91,7 @@ def raw_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select doc_id, lang from {NORMAL} where {VIABLE_SQL}")
 def viable_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).where(viable(F.col("n"), LEAST_SENTENCES, LEAST_WORDS, MOST_WORDS)).select("doc_id", "lang")
+    return kept(documents(spark, sf_dir), viable(F.col("n"), LEAST_SENTENCES, LEAST_WORDS, MOST_WORDS)).select("doc_id", "lang")
 
 
 @query(f"select doc_id, folded_key from (select doc_id, {S.key('text')} as folded_key, row_number() over (partition by {S.key('text')} order by doc_id) as k from documents) where k = 1")
@@ -156,7 +157,7 @@ PARENTS, REFERENCE, CAP = 41, 82, 60
 
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).where(viable(F.col("n"), LEAST_SENTENCES, LEAST_WORDS, MOST_WORDS)).withColumn("key", F.sha2("n", 256))
+    docs = cut(kept(documents(spark, sf_dir).drop("text"), viable(F.col("n"), LEAST_SENTENCES, LEAST_WORDS, MOST_WORDS)).withColumn("key", F.sha2("n", 256)))
     first = dedup.first_seen(docs, ["key"], "doc_id")
     return sampling.three_way(first, "lang", "key", DOMAINS, PARENTS, REFERENCE, CAP, seed=17)
 

@@ -6,7 +6,7 @@ import re
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def kept(df: DataFrame, condition: Column) -> DataFrame:
+    """df where the condition holds, tested where the rows lie now: the optimizer would test costly conditions before rows are dealt to all cores."""
+    return df.withColumn("__here", F.monotonically_increasing_id()).where(condition & (F.col("__here") >= 0)).drop("__here")
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, strict: bool = True) -> DataFrame:
     """JSON lines; a malformed line is an error, or is skipped unless strict. Blank lines don't count."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
