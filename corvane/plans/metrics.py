@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.operators import gram, linalg, mmd, vectors
 from corvane.operators.quantiles import quantiles
 from corvane.registry import query
-from corvane.sources.shared import stored
+from corvane.sources.shared import scratch, stored
 from corvane.sources.tables import spread, table
 
 from . import sqltext as S
@@ -241,6 +241,21 @@ def unigram_mmd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mmd.squared_mmd(mmd.kernel_sums(rows, rows, "side", "doc_id", "vec", 0.1), "g", "r").select(F.round("mmd2", PLACES).alias("mmd2"))
 
 
+_HIST_MMD = f"with {_HIST}, d as (select doc_id, lang = 'en' as g from documents), q as (select doc_id, g, coalesce(sum(w * w), 0) as n from d left join h using (doc_id) group by doc_id, g), dp as (select a.doc_id as i, b.doc_id as j, sum(a.w * b.w) as p from h a join h b using (idx) group by 1, 2), k as (select a.g as x, b.g as y, sum(exp(-greatest(a.n + b.n - 2 * coalesce(p, 0), 0) / (2 * 0.1 * 0.1))) as t, count(*) as c from q a join q b on true left join dp on dp.i = a.doc_id and dp.j = b.doc_id group by 1, 2) select round(max(t / c) filter (where x and y) + max(t / c) filter (where not x and not y) - 2 * max(t / c) filter (where x and not y), {PLACES}) as raw_mmd, 0.1::double as bandwidth, max(sqrt(c)::bigint) filter (where x and y) as n_generated, max(sqrt(c)::bigint) filter (where not x and not y) as n_reference from k"
+
+
+@query(_HIST_MMD)
+def score_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English texts against the others as two files of JSON lines, over the tokens of both."""
+    from corvane.scoring import score_files as scored
+
+    at, docs = scratch(spark, "score"), table(spark, sf_dir, "documents").select("text", "lang")
+    for name, rows in (("a", docs.where("lang = 'en'")), ("b", docs.where("lang <> 'en'")), ("all", docs)):
+        rows.select("text").write.json(f"{at}/{name}.jsonl")
+    out = scored(spark, f"{at}/a.jsonl", f"{at}/b.jsonl", vocabulary=f"{at}/all.jsonl", size=VOCAB, bandwidth=0.1)
+    return out.select(F.round("raw_mmd", PLACES).alias("raw_mmd"), "bandwidth", "n_generated", "n_reference")
+
+
 _EVALS = "(select label as step, avg(v[1]) + 2 as val, avg(abs(v[2])) * 10 as ratio from {e} group by label)"
 
 
