@@ -176,3 +176,46 @@ def rewrite_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = generation.targets(documents(spark, sf_dir), "doc_id", "n", 3, 29)
     told = lambda f: F.transform("targets", lambda t: t[f].cast("string"))
     return rows.select("doc_id", F.array_join(told("index"), ",").alias("places"), F.sha2(F.array_join(told("sentence"), "\n"), 256).alias("sentences_hash"), "anchor")
+
+
+@query("select vec_id, substr(sha256('sampler-' || (label % 3) || ':' || label || ':' || vec_id), 1, 16) as sample_id from embeddings")
+def sample_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", generation.sample_id(F.concat(F.lit("sampler-"), (F.col("label") % 3).cast("string")), F.col("label").cast("string"), F.col("vec_id").cast("string")).alias("sample_id"))
+
+
+#: What an edit's record is made of, by the number of its document: a family that counts or not, evidence with a sentence of the passage or none.
+_RECORD = f"""select doc_id, lang, n, s, 'However, ' || n as edited, (['causal_reverse', 'para_lexical', 'topic_drift'])[(doc_id % 3)::int + 1] as family,
+    case when doc_id % 5 = 0 then '' when len(s) > 1 then 'ANCHOR: ' || s[2] else 'ANCHOR: ' || n end as evidence from (select doc_id, lang, n, {S.sentences('n')} as s from {NORMAL})"""
+_LEAKS = " or ".join(f"contains(lower('However, ' || n), '{x}')" for x in ("system prompt", "as an ai language model", "<|im_start|>", "<|assistant|>"))
+_GATED = f"""with r as ({_RECORD}), g as (select *, case when family = 'causal_reverse' then 'pert_causal_reverse' end as kind,
+    case when family <> 'causal_reverse' then 'family' when not ({S.english("'However, ' || n")}) or {_LEAKS} or n = '' or doc_id % 5 = 0 or (len({S.words('n')}) + 1) / greatest(len({S.words('n')}), 1) > 1.75 then 'invalid' end as gate from r),
+    k as (select *, row_number() over (partition by edited order by 'e:' || doc_id) as nth from g where gate is null)"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records of edits that put a word ahead of every document, and their parents."""
+    docs = documents(spark, sf_dir)
+    second = F.get(T.sentences(F.col("n")), F.lit(1))
+    evidence = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("ANCHOR: "), F.coalesce(second, F.col("n"))))
+    span = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("before"), F.lit("However, ").alias("after")))
+    made = {"sample_id": F.concat(F.lit("e:"), F.col("doc_id").cast("string")), "clean_text": F.col("n"), "perturbed_text": F.concat(F.lit("However, "), "n"), "perturbation": F.get(F.array(F.lit("causal_reverse"), F.lit("para_lexical"), F.lit("topic_drift")), (F.col("doc_id") % 3).cast("int"))}
+    made |= {"severity": F.concat(F.lit("dose"), (F.col("doc_id") % 4 + 1).cast("string")), "requested_rate": F.lit(0.0), "realized_rate": F.lit(0.1), "generator": F.lit("model"), "changed_spans": span, "validation": F.to_json(F.struct(evidence.alias("operation_evidence"))), "domain": F.col("lang"), "parent_sample_id": F.col("doc_id").cast("string")}
+    records = docs.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in R.PASSAGE])
+    parents = docs.select(F.col("doc_id").cast("string").alias("sample_id"), F.col("n").alias("clean_text"), F.col("lang").alias("domain"))
+    return records, parents
+
+
+@query(f"{_GATED} select kind, sha256(edited) as text_hash, lang as domain, 'dose' || doc_id as source, doc_id::varchar as parent from k where nth = 1 union all select 'clean_parent', sha256(n), lang, null, doc_id::varchar from {NORMAL}")
+def rewrite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the rewrites that pass, and of all parents."""
+    records, parents = _records(spark, sf_dir)
+    rows, _ = conditions.rewrite_rows(records, parents)
+    return rows.select("kind", F.sha2("text", 256).alias("text_hash"), "domain", "source", "parent")
+
+
+@query(f"{_GATED} select kind, 'kept' as status, count(*) as n from k where nth = 1 group by kind union all select coalesce(kind, ''), gate, count(*) from g where gate is not null group by kind, gate")
+def rewrite_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was kept and dropped of the rewrites, by reason."""
+    records, parents = _records(spark, sf_dir)
+    return conditions.rewrite_rows(records, parents)[1]

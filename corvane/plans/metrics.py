@@ -147,6 +147,15 @@ def multi_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.size("c").cast("long").alias("n"), F.round(F.aggregate("c", F.lit(0.0), lambda a, x: a + x), PLACES).alias("total"), F.round(F.get("m", F.lit(0)), PLACES).alias("mean_first"))
 
 
+@query(f"select vec_id, round(list_sum(list_transform(range(0, 8), lambda i: case when (vec_id >> i) & 1 = 1 then v[i * 8 + 1] else 0 end)) / greatest(bit_count(vec_id & 255), 1), {PLACES}) as first, round(list_sum(list_transform(range(0, 64), lambda k: case when (vec_id >> (k // 8)) & 1 = 1 then v[k + 1] else 0 end)) / greatest(bit_count(vec_id & 255), 1), {PLACES}) as total from {E_SQL}")
+def pooled_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight states of eight numbers as their mean under a mask."""
+    states = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, F.lit(8)))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (F.floor(F.col("vec_id") / F.pow(F.lit(2), i)) % 2).cast("int"))
+    rows = embeddings(spark, sf_dir).select("vec_id", vectors.masked_mean(states, mask).alias("m"))
+    return rows.select("vec_id", F.round(F.get("m", F.lit(0)), PLACES).alias("first"), F.round(F.aggregate("m", F.lit(0.0), lambda a, x: a + x), PLACES).alias("total"))
+
+
 _PAIR = "select a.vec_id, a.v as s, b.v as t from {e} a join {e} b on b.vec_id = a.vec_id + 1 where a.vec_id % 2 = 0"
 
 
