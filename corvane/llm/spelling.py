@@ -8,6 +8,12 @@ are bounded by the alphabet and the key's length. What is kept of a meeting is a
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +28,10 @@ EVERY = 97
 RATIO = 2
 #: Longer strings stand for themselves by their MD5 in keys, so that a row is small for words of any length.
 PLAIN_LETTERS = 32
+#: The strings that longer words emit are told by sums of their letters modulo three primes, which each deletion changes in one step.
+LONG_LETTERS = 64
+PRIMES = (2147483647, 2147483629, 2147483587)
+BASES = (911382323, 972663749, 1540483477)
 
 
 def words(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int | None = EVERY, least_letters: int = LEAST_LETTERS, least_count: int = LEAST_COUNT) -> DataFrame:
@@ -48,6 +58,46 @@ def short(s: Column) -> Column:
     return F.when(F.length(s) <= PLAIN_LETTERS, s).otherwise(F.concat(F.lit("#"), F.md5(s.cast("binary"))))
 
 
+@lru_cache(maxsize=3)
+def powers(prime: int, base: int, bits: int) -> np.ndarray:
+    """The first 2 ** bits powers of the base."""
+    out, step = np.ones(1, np.int64), base % prime
+    for _ in range(bits):
+        out, step = np.concatenate([out, out * step % prime]), step * step % prime
+    return out
+
+
+def sums(letters: np.ndarray) -> np.ndarray:
+    """For a word's code points, a column each for the word itself and for it without each of its letters; a row for each prime."""
+    out = []
+    for prime, base in zip(PRIMES, BASES, strict=True):
+        ahead = np.concatenate([[0], np.cumsum(letters * powers(prime, base, int(len(letters)).bit_length())[: len(letters)] % prime)])
+        rest = (ahead[-1] - ahead[1:]) % prime * pow(base, -1, prime) % prime
+        out.append(np.concatenate([ahead[-1:] % prime, (ahead[:-1] + rest) % prime]))
+    return np.array(out)
+
+
+def long_rows(vocabulary: DataFrame) -> DataFrame:
+    """What near() has a word emit, for the long ones: in time and rows by a word's length. Words of just LONG_LETTERS emit themselves, too, for longer ones to meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                letters = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)
+                size, told = len(word), sums(letters)
+                last = size if size > LONG_LETTERS else 0
+                once = np.append(letters[1:] != letters[:-1], True)
+                name = "#" + hashlib.md5(word.encode()).hexdigest()
+                for k in range(0, last + 1, 1 << 14):
+                    p = np.arange(k, min(k + (1 << 14), last + 1))
+                    keys = [f"~{size - (x > 0)}:{a}:{b_}:{c}" for x, a, b_, c in zip(p.tolist(), *told[:, p].tolist(), strict=True)]
+                    columns = [keys, p, [word[x - 1] if x else None for x in p.tolist()], (p > 0) & once[p - 1], np.full(len(p), n), [name] * len(p)]
+                    kinds = [pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "p", "letter", "once", "n", "id"])
+
+    return vocabulary.where(F.length("word") >= LONG_LETTERS).select("word", "n").mapInArrow(run, "key string, p int, letter string, once boolean, n long, id string")
+
+
 def near(vocabulary: DataFrame) -> DataFrame:
     """word, n, n_near and form of (word, n) rows with distinct words: n_near counts the words at distance one, form is the most
     frequent of them (the smallest in code-point order of equal ones), null without any. vocabulary must be a written table.
@@ -56,11 +106,11 @@ def near(vocabulary: DataFrame) -> DataFrame:
     of them stand for places where another word may have another letter.
     """
     word, p = F.col("word"), F.col("p")
-    rows = vocabulary.select("word", "n", F.explode(F.sequence(F.lit(0), F.length(word))).alias("p"))
+    rows = vocabulary.where(F.length(word) <= LONG_LETTERS).select("word", "n", F.explode(F.sequence(F.lit(0), F.length(word))).alias("p"))
     letter, after = F.when(p > 0, F.substring(word, p, F.lit(1))), F.substring(word, p + 1, F.lit(1))
     deleted = F.when(p == 0, word).otherwise(F.concat(F.substring(word, F.lit(1), p - 1), F.substring(word, p + 1, F.length(word))))
     rows = rows.select(short(deleted).alias("key"), "p", letter.alias("letter"), (p > 0).__and__(letter != after).alias("once"), "n", short(word).alias("id"))
-    rows = rows.repartition("key")
+    rows = rows.unionByName(long_rows(vocabulary)).repartition("key")
     whole = F.max(F.when(p == 0, F.col("id"))).over(Window.partitionBy("key"))
     place = Window.partitionBy("key", "p").orderBy(F.desc("n"), "letter")
     met = rows.select(
@@ -101,8 +151,7 @@ def spellings(docs: DataFrame, key: str = "doc_id", text: str = "text", every: i
 
     form: the most frequent word at distance one (ties: the smallest in code-point order) if it is at least `ratio` times as frequent,
     else null. root: the end of the chain of forms, the word itself without one. Null and empty texts add no words; an empty table
-    gives none. Words may be of any length; a word's rows are small, their number and the time to make them grow with its length
-    and its square.
+    gives none. Words may be of any length; a word's rows are small, their number and the time to make them grow with its length.
     """
     vocabulary = cut(words(docs, key, text, every, least_letters, least_count))
     found = cut(near(vocabulary))

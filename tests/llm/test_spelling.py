@@ -87,5 +87,30 @@ def test_a_word_with_all_its_variants(spark):
     assert told(spelling.spellings(df, every=None)) == plain(n)
 
 
+def test_long_words(spark):
+    r = random.Random(21)
+    n = Counter()
+    for size in (62, 63, 64, 65, 66, 67, 130, 400):
+        base = "".join(r.choice("abcé") for _ in range(size))
+        n[base] = 40 + size
+        for _ in range(12):
+            k, c = r.randrange(size), r.choice("abcdé")
+            for w in (base[:k] + c + base[k + 1 :], base[:k] + c + base[k:], base[:k] + base[k + 1 :]):
+                n[w] = max(n[w], r.randint(3, 12))
+            n[base[:k] + base[k + 1 :] + c] = 3
+    for size in range(60, 70):
+        n["a" * size] = 5 * size
+    df = spark.createDataFrame([(0, " ".join(w for w, k in n.items() for _ in range(k)))], "doc_id long, text string")
+    assert told(spelling.spellings(df, every=None)) == plain(n)
+
+
+def test_a_word_of_a_million_letters(spark):
+    r = random.Random(22)
+    word = "".join(r.choices("abcdefgh", k=1_000_000))
+    other = word[:500_000] + "x" + word[500_001:]
+    df = spark.createDataFrame([(k, w) for w, times in ((word, 6), (other, 3), (word + "z", 3)) for k in range(times)], "doc_id long, text string").repartition(3)
+    assert told(spelling.spellings(df, every=None)) == sorted([(word, None, word, 6, 2, None), (other, word, word, 3, 1, 6), (word + "z", word, word, 3, 1, 6)])
+
+
 def test_empty_table(spark):
     assert spelling.spellings(spark.createDataFrame([], "doc_id long, text string")).collect() == []
