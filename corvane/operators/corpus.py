@@ -62,6 +62,16 @@ def assemble(base: DataFrame | None, layers: list[Layer], ban: DataFrame | None)
     return out
 
 
+def dry_run(layers: list[Layer]) -> DataFrame:
+    """(layer, kind, domain, least_words, most, n_rows, n_texts) of a recipe, without a text being normalized: rows of each layer, those with a text, and its limit (null: none)."""
+    out = None
+    for i, layer in enumerate(layers):
+        told = layer.rows.agg(F.count("*").alias("n_rows"), F.count_if(F.coalesce(F.col("text"), F.lit("")) != "").alias("n_texts"))
+        told = told.select(F.lit(i).alias("layer"), F.lit(layer.kind).alias("kind"), F.lit(layer.domain).alias("domain"), F.lit(layer.least_words).alias("least_words"), F.lit(layer.limit).cast("int").alias("most"), "n_rows", "n_texts")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 def layer_counts(rows: DataFrame) -> DataFrame:
     """(kind, domain, n): rows of each kind and domain."""
     return rows.groupBy("kind", "domain").agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.sources.shared import cut
 
-from .dedup import small
+from .dedup import BROADCAST_ROWS
 
 #: Pivots of a range; a round leaves about this part of its rows.
 PIVOTS = 64
@@ -25,6 +25,8 @@ def quantiles(rows: DataFrame, group: str, value: str, shares: dict[str, float],
     """
     data = cut(rows.select(F.struct(F.col(group).alias("g")).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)"))  # a struct equals itself with a null in it, too
     sizes = cut(data.groupBy("g").agg(F.count("*").alias("n")))
+    few = BROADCAST_ROWS // (2 * len(shares))  # a group has two ranges for each share at most
+    near = F.broadcast if sizes.limit(few + 1).count() <= few else lambda d: d
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(s)) * (F.col("n") - 1)).alias("at")) for i, s in enumerate(shares.values())])
     places = sizes.select("g", F.explode(wanted).alias("w")).select("g", "w.i", "w.at", F.floor("w.at").alias("low"), F.ceil("w.at").alias("high"))
     nothing = F.lit(None).cast("double")
@@ -35,9 +37,9 @@ def quantiles(rows: DataFrame, group: str, value: str, shares: dict[str, float],
     smaller = F.aggregate("p", F.lit(0), lambda a, x: a + (x < F.col("v")).cast("int"))
     slot = (2 * smaller + F.coalesce(F.get("p", smaller) == F.col("v"), F.lit(False)).cast("int")).alias("slot")  # even: between pivots, odd: at one
     while not now.isEmpty():
-        ranges = small(now.select("g", "below", "lo", "hi").distinct())
+        ranges = near(now.select("g", "below", "lo", "hi").distinct())
         pivot = F.array_sort(F.array_distinct(F.percentile_approx("v", levels, F.lit(20 * pivots)))).alias("p")
-        cuts = small(cut(data.join(ranges, "g").where(inside).groupBy("g", "below", "lo", "hi").agg(pivot)))
+        cuts = near(cut(data.join(ranges, "g").where(inside).groupBy("g", "below", "lo", "hi").agg(pivot)))
         counted = data.join(cuts, "g").where(inside).select("g", "below", "lo", "hi", "p", slot).groupBy("g", "below", "lo", "hi", "p", "slot").agg(F.count("*").alias("c"))
         upto = F.col("below") + F.sum("c").over(Window.partitionBy("g", "below").orderBy("slot"))
         counted = counted.select("g", "below", "lo", "hi", "p", "slot", (upto - F.col("c")).alias("first"), upto.alias("end"))

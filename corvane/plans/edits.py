@@ -314,15 +314,18 @@ def anchor_gate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.anchor_survives(rows, "evidence", "edited", "n").select("doc_id", "anchor_ok")
 
 
-def _recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    base = docs.where("source = 'src0'").select("text", F.col("lang").alias("domain"), F.lit("base").alias("kind"), F.col("doc_id").alias("ordinal"))
-    layers = [
+def _layers(docs: DataFrame) -> list[corpus.Layer]:
+    return [
         corpus.Layer("web", docs.where("lang = 'en'"), "doc_id", "en", limit=200, least_words=50),
         corpus.Layer("more", docs.where("lang in ('en', 'fr')"), "doc_id", "mixed", least_words=20),
         corpus.Layer("rest", docs, "doc_id", "any", limit=150),
     ]
-    return corpus.assemble(base, layers, table(spark, sf_dir, "benchmark"))
+
+
+def _recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    base = docs.where("source = 'src0'").select("text", F.col("lang").alias("domain"), F.lit("base").alias("kind"), F.col("doc_id").alias("ordinal"))
+    return corpus.assemble(base, _layers(docs), table(spark, sf_dir, "benchmark"))
 
 
 def _recipe_sql() -> str:
@@ -341,6 +344,14 @@ def _recipe_sql() -> str:
 RECIPE_SQL = _recipe_sql()
 
 
+@query(
+    " union all ".join(f"select {i} as layer, '{kind}' as kind, '{domain}' as domain, {least} as least_words, {most}::int as most, count(*) as n_rows, count(*) filter (where text <> '') as n_texts from documents where {where}" for i, (kind, domain, least, most, where) in enumerate([("web", "en", 50, 200, "lang = 'en'"), ("more", "mixed", 20, "null", "lang in ('en', 'fr')"), ("rest", "any", 0, 150, "true")]))
+)
+def recipe_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a recipe would read, layer by layer."""
+    return corpus.dry_run(_layers(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")))
+
+
 @query(f"{RECIPE_SQL} select ordinal, domain, kind, layer, status from o")
 def corpus_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recipe(spark, sf_dir).select("ordinal", "domain", "kind", "layer", "status")

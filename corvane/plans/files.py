@@ -219,3 +219,29 @@ def rewrite_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was kept and dropped of the rewrites, by reason."""
     records, parents = _records(spark, sf_dir)
     return conditions.rewrite_rows(records, parents)[1]
+
+
+def _measures():
+    """A model without weights: the length of a text and how often it has an e."""
+    import numpy as np
+
+    return lambda texts: np.array([[len(t), t.count("e")] for t in texts], float).reshape(-1, 2)
+
+
+@query("select doc_id, length(text)::double as x, (length(text) - length(replace(text, 'e', '')))::double as y from documents where text is not null")
+def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts by a model that each worker loads once."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    return vectors.encode(docs, "doc_id", "text", _measures, batch=64).select("doc_id", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y"))
+
+
+_SHAPE = '{"rewrites": [{"index": 0, "sentence": ""}], "operation_evidence": ""}'
+
+
+@query(
+    f"select doc_id, sha256('Rewrite.' || chr(10) || chr(10) || 'Sentences to rewrite:' || chr(10) || (case when s = '' then '[]' else '[' || to_json({{'index': 0, 'sentence': s}})::varchar || ']' end) || chr(10) || chr(10) || 'Passage, for context only:' || chr(10) || n || chr(10) || chr(10) || 'Answer with JSON of this shape only:' || chr(10) || {S.q(_SHAPE)}) as prompt_hash from (select doc_id, n, coalesce({S.sentences('n')}[1], '') as s from {NORMAL})"
+)
+def rewrite_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to rewrite the first sentence of each text."""
+    first = F.transform(F.slice(T.sentences(F.col("n")), 1, 1), lambda s: F.struct(F.lit(0).alias("index"), s.alias("sentence")))
+    return documents(spark, sf_dir).select("doc_id", F.sha2(generation.rewrite_prompt("Rewrite.", F.col("n"), first), 256).alias("prompt_hash"))
