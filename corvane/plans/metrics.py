@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.operators import gram, linalg, mmd, vectors
 from corvane.operators.quantiles import quantiles
 from corvane.registry import query
-from corvane.sources.shared import scratch, stored
+from corvane.sources.shared import cut, scratch, stored
 from corvane.sources.tables import spread, table
 
 from . import sqltext as S
@@ -167,6 +167,7 @@ def pairwise_cosine_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
     unit = lambda c: F.transform(c, lambda x: x / (vectors.l2(F.col(c)) + 1e-9))
     rows = e.where("vec_id % 2 = 0").select("vec_id", F.col("v").alias("s")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("t")), "vec_id").select("vec_id", unit("s").alias("s"), unit("t").alias("t"))
+    rows = cut(rows)
     c = rows.select(F.lit(0).alias("all"), vectors.dot(F.col("s"), F.col("t")).alias("c"))
     cos = c.agg(F.avg("c").alias("cos")).crossJoin(quantiles(c, "all", "c", {"cos_p10": 0.1}).select("cos_p10"))  # a row each
 
