@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_or_shuffled
 
 #: Fixed values of the formats.
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -27,6 +27,8 @@ SAME = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 #: Payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
+#: Payloads that repeat up to which their largest keys are broadcast.
+BROADCAST_ROWS = 100_000
 #: An archive is closed once its records come to so many bytes; a dictionary has so many, trained on so many bytes of records.
 ARCHIVE_BYTES, DICT_BYTES, SAMPLE_BYTES = 4 << 20, 16 << 10, 1 << 20
 
@@ -181,16 +183,16 @@ def plan_records(pages: DataFrame, key: str = "page_id", payload: str = "html",
     """page_id, url, payload (binary), refers_to and refers_url (null for a response).
 
     Of rows with equal payloads of at least `least` bytes, those with the largest key are responses.
-    Keys are compared by the digest of the payload with partial maxima, which only payloads that repeat keep; rows
-    without any go another way, and the join back is one that adaptive execution splits where a payload is very
-    common. A null payload is empty, a null key the smallest.
+    Keys are compared by the digest of the payload with partial maxima, which only payloads that repeat keep. They are
+    sent to the rows where these lie while they are few; beyond that the join back, of rows with a large payload alone, is one
+    that adaptive execution splits where a payload is very common. A null payload is empty, a null key the smallest.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), body.alias("payload"))
     digest = F.when(F.octet_length("payload") >= least, F.sha2("payload", 256))
     keyed = rows.select("page_id", "url", digest.alias("__d")).where(F.col("__d").isNotNull())
     tops = keyed.groupBy("__d").agg(F.max(F.struct("page_id", "url")).alias("__to"), F.count("*").alias("__n")).where((F.col("__n") > 1) & F.col("__to.page_id").isNotNull())
-    largest = cut(tops.select("__d", "__to"))
+    largest = small_or_shuffled(cut(tops.select("__d", "__to")), BROADCAST_ROWS)
     known = rows.withColumn("__d", digest)
     none = F.lit(None)
     short = known.where(F.col("__d").isNull()).select("page_id", "url", "payload", none.cast(pages.schema[key].dataType).alias("refers_to"), none.cast("string").alias("refers_url"))
