@@ -126,7 +126,7 @@ class Codec:
 
     def parts(self, text: str) -> list[tuple[str, str]]:
         out = []
-        for k, part in enumerate(self.cuts.split(text) if self.cuts and "<|" in text else [text]):
+        for k, part in enumerate(self.cuts.split(text) if self.cuts and self.cuts.search(text) else [text]):
             if k % 2:
                 out.append((str(self.special[part]), part))
                 continue
