@@ -88,15 +88,21 @@ def answer(client: Client, prompt: str, field: str, tries: int = 4, base: float
 
 
 class Budget:
-    """Tries beyond the first that the calls of a partition have together; once they are spent, each call has one try."""
+    """Tries beyond the first that the calls of a partition have together; once they are spent, each call has one try. Those that led to an answer are given back, so a service that fails now and then never spends them, however many tasks there are."""
 
     def __init__(self, n: int):
         self.left, self.lock = n, threading.Lock()
 
     def take(self) -> bool:
         with self.lock:
+            if self.left <= 0:
+                return False
             self.left -= 1
-            return self.left >= 0
+            return True
+
+    def give(self, n: int) -> None:
+        with self.lock:
+            self.left += n
 
 
 def generate(tasks: DataFrame, key: str, prompt: str, connect: Callable[[], Client], field: str = "rewrites", concurrency: int = 8, in_flight: int = 4, retries: int = 1000, base: float = 1.0) -> DataFrame:
@@ -112,10 +118,18 @@ def generate(tasks: DataFrame, key: str, prompt: str, connect: Callable[[], Clie
         client, budget = connect(), Budget(retries)
 
         def one(p: str | None) -> tuple[str | None, str | None]:
+            taken: list[bool] = []
+
+            def more() -> bool:
+                taken.append(budget.take())
+                return taken[-1]
+
             try:
                 if p is None:
                     raise ValueError("no prompt")
-                return json.dumps(answer(client, p, field, base=base, more=budget.take)), None
+                told = json.dumps(answer(client, p, field, base=base, more=more))
+                budget.give(sum(taken))
+                return told, None
             except Exception as e:  # noqa: BLE001  the row says what went wrong
                 return None, str(e) or type(e).__name__
 
