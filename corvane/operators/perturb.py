@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.sources.shared import stored
 from corvane.sources.tables import PASSAGE
 
 from .sampling import choose_count, third
@@ -30,8 +31,8 @@ def runs(normal: Column) -> Column:
 
 def chosen(eligible: Column, seed: int | str, key: Column, count: Column) -> Column:
     """Of an array of places the `count` first in seeded order, ascending."""
-    keyed = F.array_sort(F.transform(eligible, lambda i: F.struct(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string"), F.lit(":"), i.cast("string")), 256).alias("h"), i.alias("i"))))
-    return F.array_sort(F.transform(F.slice(keyed, F.lit(1), count), lambda x: x["i"]))
+    keyed = F.sort_array(F.transform(eligible, lambda i: F.struct(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string"), F.lit(":"), i.cast("string")), 256).alias("h"), i.alias("i"))))
+    return F.sort_array(F.transform(F.slice(keyed, F.lit(1), count), lambda x: x["i"]))
 
 
 def _places(parts: Column, test) -> Column:
@@ -161,7 +162,7 @@ def sentence_repeat(docs: DataFrame, key: str, normal: str, rate: float, seed: i
 
 def _shuffled(items: Column, seed: str, key: Column, tag: Column) -> Column:
     """Items in seeded order of their places; where that leaves them as they are, turned by one."""
-    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string"), F.lit(":"), tag.cast("string"), F.lit(":"), i.cast("string")), 256).alias("h"), x.alias("x"))))
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string"), F.lit(":"), tag.cast("string"), F.lit(":"), i.cast("string")), 256).alias("h"), x.alias("x"))))
     mixed = F.transform(keyed, lambda k: k["x"])
     turned = F.concat(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), F.slice(items, 1, 1))
     return T.let(mixed, lambda m: F.when(m == items, turned).otherwise(m))
@@ -181,6 +182,11 @@ def _ascii(s: Column) -> Column:
     return F.split(F.regexp_replace(s, "([A-Za-z][A-Za-z'-]*)", f"{T.SPLIT}$1{T.SPLIT}"), T.SPLIT, -1)
 
 
+def _two_words(s: Column) -> Column:
+    """Whether _ascii() has two words or more, five pieces; its pieces are made only where the text holds their separator."""
+    return F.when(F.contains(s, F.lit(T.SPLIT)), F.size(_ascii(s)) >= 5).otherwise(F.regexp_like(s, F.lit("[A-Za-z][A-Za-z'-]*+[^A-Za-z]++[A-Za-z]")))
+
+
 def _start(seed: str, key: Column, i: Column, room: Column) -> Column:
     """A seeded number from 0 to room - 1."""
     return (F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string"), F.lit(":"), i.cast("string")), 256), 1, 8), 16, 10).cast("long") % room).cast("int")
@@ -188,7 +194,7 @@ def _start(seed: str, key: Column, i: Column, room: Column) -> Column:
 
 def local_shuffle(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str, window: int = 4, position: str | None = None) -> DataFrame:
     """In chosen sentences of two words or more, `window` neighbouring words (ASCII letters, inner apostrophes and hyphens) are shuffled."""
-    rows = with_sentences(docs, key, normal, rate, seed, position, fits=lambda s: F.size(_ascii(s)) >= 5)
+    rows = with_sentences(docs, key, normal, rate, seed, position, fits=_two_words)
 
     def mixed(s: Column, i: Column) -> Column:
         def within(p: Column) -> Column:
@@ -228,7 +234,7 @@ def phrase_repeat(docs: DataFrame, key: str, normal: str, rate: float, seed: int
 def sentence_pool(texts: DataFrame, normal: str, least: int = 20, most: int = 300) -> DataFrame:
     """(sentence) distinct, as drop-in sentences, of `least` to `most` characters in Latin script."""
     rows = texts.select(F.explode(T.sentences(F.col(normal))).alias("s")).where(F.length("s").between(least, most) & T.looks_latin(F.col("s")))
-    return rows.select(T.as_sentence(F.col("s")).alias("sentence")).where("sentence <> ''").distinct()
+    return rows.select(T.as_sentence(F.col("s")).alias("sentence")).distinct()  # none is empty: each has letters
 
 
 def numbered_pool(pool: DataFrame, order: list[str] | None = None, stretch: Column | None = None) -> tuple[DataFrame, int]:
@@ -246,12 +252,18 @@ def numbered_pool(pool: DataFrame, order: list[str] | None = None, stretch: Colu
     return numbered, pool.count()
 
 
-def splice(docs: DataFrame, pool: DataFrame, total: int, key: str, normal: str, rate: float, seed: int | str, tag: str = "", position: str | None = None, least: int = 2) -> DataFrame:
+def spliceable(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str, position: str | None = None, least: int = 2) -> DataFrame:
+    """docs as splice() takes them, with sentences and chosen places, as a written table: the draws are told from it, and the edits of any pool. Texts of fewer than `least` sentences have no chosen place."""
+    rows = with_sentences(docs, key, normal, rate, seed, position)
+    return stored(rows.withColumn("__c", F.when(F.size("__s") >= least, F.col("__c")).otherwise(F.array().cast("array<int>"))), "places")
+
+
+def splice(docs: DataFrame, pool: DataFrame, total: int, key: str, normal: str, rate: float, seed: int | str, tag: str = "", position: str | None = None, least: int = 2, placed: DataFrame | None = None) -> DataFrame:
     """Chosen sentences replaced by sentences of a numbered pool, drawn with replacement; one that draws itself stays. Texts of fewer than `least` sentences stay.
 
-    The same seed chooses the same places whatever the pool; `tag` names the draws.
+    The same seed chooses the same places whatever the pool; `tag` names the draws. placed: spliceable() of the same, where several pools share it.
     """
-    rows = with_sentences(docs, key, normal, rate, seed, position).withColumn("__c", F.when((F.size("__s") >= least) & F.lit(total > 0), F.col("__c")).otherwise(F.array().cast("array<int>")))
+    rows = (placed if placed is not None else spliceable(docs, key, normal, rate, seed, position, least)).withColumn("__c", F.when(F.lit(total > 0), F.col("__c")).otherwise(F.array().cast("array<int>")))
     draw = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}d{tag}:"), F.col(key).cast("string"), F.lit(":"), F.col("i").cast("string")), 256), 1, 15), 16, 10).cast("long") % max(total, 1)
     drawn = rows.select(key, F.explode("__c").alias("i")).withColumn("n", draw).join(pool.withColumnRenamed("sentence", "__new"), "n").select(key, F.struct("i", "__new").alias("x")).groupBy(key).agg(F.collect_list("x").alias("__d"))
     rows = rows.join(drawn, key, "left").withColumn("__d", F.map_from_entries(F.coalesce("__d", F.array().cast("array<struct<i:int,__new:string>>"))))

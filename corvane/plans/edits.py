@@ -186,17 +186,18 @@ def _splice_sql(pools: dict[str, str]) -> str:
 
 @query(_splice_sql({"g": "source = 'src1'"}))
 def splice_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool, total = perturb.numbered_pool(_pool(spark, sf_dir, "source = 'src1'"))
-    return told(perturb.splice(documents(spark, sf_dir), pool, total, "doc_id", "n", RATE, SEED, "g")).withColumn("pool", F.lit("g"))
+    pool, total = perturb.numbered_pool(cut(_pool(spark, sf_dir, "source = 'src1'")))
+    return told(perturb.splice(documents(spark, sf_dir).select("doc_id", "n"), pool, total, "doc_id", "n", RATE, SEED, "g")).withColumn("pool", F.lit("g"))
 
 
 @query(_splice_sql({"g": "source = 'src1'", "h": "source = 'src2'"}))
 def matched_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same places, filled from either pool."""
-    out = None
+    out, docs = None, documents(spark, sf_dir).select("doc_id", "n")
+    placed = perturb.spliceable(docs, "doc_id", "n", RATE, SEED)
     for tag, where in (("g", "source = 'src1'"), ("h", "source = 'src2'")):
-        pool, total = perturb.numbered_pool(_pool(spark, sf_dir, where))
-        rows = told(perturb.splice(documents(spark, sf_dir), pool, total, "doc_id", "n", RATE, SEED, tag)).withColumn("pool", F.lit(tag))
+        pool, total = perturb.numbered_pool(cut(_pool(spark, sf_dir, where)))
+        rows = told(perturb.splice(docs, pool, total, "doc_id", "n", RATE, SEED, tag, placed=placed)).withColumn("pool", F.lit(tag))
         out = rows if out is None else out.unionByName(rows)
     return out
 
