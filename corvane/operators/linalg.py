@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvane.sources.shared import stored
 
 from .gram import moments
-from .mmd import kernel_sums, median_bandwidth
+from .mmd import median_bandwidth, weighted_rows, weighted_sums
 from .sampling import hashed
 
 
@@ -57,10 +57,10 @@ def ridge_fit(rows: DataFrame, x: str, y: str, wide: int, high: int, lam: float)
 def decomposition(anchor: DataFrame, pools: DataFrame, group: str, key: str, vec: str) -> DataFrame:
     """(group, n, bandwidth, kbb, kab): mean kernels within each pool and between it and the anchor, at the anchor's bandwidth."""
     sigma = median_bandwidth(anchor, key, vec, seed=0)
-    named = anchor.select(F.lit(None).cast(pools.schema[group].dataType).alias(group), key, vec)
-    within = kernel_sums(pools, pools, group, key, vec, sigma, within=True).select(F.col("g1").alias(group), F.col("n1").alias("n"), (F.col("total") / (F.col("n1") * F.col("n1"))).alias("kbb"))
-    one = named.withColumn(group, F.lit(-1).cast(pools.schema[group].dataType))
-    across = kernel_sums(one, pools, group, key, vec, sigma).select(F.col("g2").alias(group), (F.col("total") / (F.col("n1") * F.col("n2"))).alias("kab"))
+    rows = weighted_rows(pools, group, vec)  # once for both sums
+    within = weighted_sums(rows, rows, group, sigma, within=True).select(F.col("g1").alias(group), F.col("n1").alias("n"), (F.col("total") / (F.col("n1") * F.col("n1"))).alias("kbb"))
+    one = weighted_rows(anchor.select(F.lit(-1).cast(pools.schema[group].dataType).alias(group), vec), group, vec)
+    across = weighted_sums(one, rows, group, sigma).select(F.col("g2").alias(group), (F.col("total") / (F.col("n1") * F.col("n2"))).alias("kab"))
     return within.join(across, group).select(group, "n", F.lit(sigma).alias("bandwidth"), "kbb", "kab")
 
 
