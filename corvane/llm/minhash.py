@@ -141,6 +141,13 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def fitting(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sizes let them be linked; others need no full sets."""
+    a, b = (classes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}")) for c in ("u", "v"))
+    most, least = F.greatest("size_u", "size_v"), F.least("size_u", "size_v")
+    return pairs.join(a, "u").join(b, "v").where(100 * least >= percent * most).select("u", "v")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that are linked on their full sets."""
     one = sets.select(F.col("node").alias("u"), F.col("set").alias("s"))
@@ -223,13 +230,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """
     spark = docs.sparkSession
     rows, _ = written(sketches(docs, key, text), "sketches")
-    classes, _ = written(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    classes, _ = written(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
     members, paths = buckets(classes)
     release(spark)
     wanted = members.select("node").distinct().join(classes.select("node", "rep"), "node")
     sets, path = full_sets(docs, key, text, wanted)
     stars = members.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-    links, path1 = written(confirm(stars, sets, percent), "links")
+    release(spark)  # what made the sets, before they are sent
+    links, path1 = written(confirm(fitting(stars, classes, percent), sets, percent), "links")
     release(spark)
     roots, path2 = written(components(links), "roots")
     rest, more_paths = rest_links(members, sets, roots, percent)
