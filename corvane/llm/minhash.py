@@ -7,12 +7,13 @@ collection meets nobody and leaves before any pair of values is formed.
 
 First each class is compared with the smallest of each of its buckets. Then, only for buckets that
 still span several components, classes of different components are compared block by block in memory,
-which gives no row for a pair that isn't a link. Every link is confirmed on both full sets.
+which gives no row for a pair that isn't a link. Every link is confirmed on both full sets. Before, bitmaps
+of an eighth to a quarter of a set's bytes bound intersections from above, so full sets are sent only where a link is possible.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ PERCENT = 75
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Bits for each member of a set in the bitmaps that bound intersections there.
 SPREAD = 16
-#: Bits of the filter by which the second reading skips texts that have no candidate. Its size is fixed; a full filter skips none.
+#: Bits at least for each member of a set in the bitmap that is sent before the set.
+SENT_SPREAD = 8
+#: Words of the filters by which the second reading skips texts that have no candidate, and sets without a possible link stay where they lie. Their size is fixed; a full filter skips none.
 FILTER_WORDS = 1 << 20
 _N = 2 * HASHES * ROWS
 _RNG = np.random.Generator(np.random.PCG64(75))
@@ -87,39 +90,89 @@ def buckets(classes: DataFrame) -> tuple[DataFrame, list[str]]:
 
     A class whose values are all its own in the first collection meets nobody; only the others' second values are dealt out.
     """
+    spark = classes.sparkSession
     first, path1 = written(shared_values(classes, "a"), "first")
+    release(spark)
     second = shared_values(classes.select("node", "b").join(first.select("node"), "node", "left_semi"), "b")
     pairs = first.join(second, "node").select("node", F.explode("a").alias("x"), "b").select("node", "x", F.explode("b").alias("y"))
     keyed, path2 = written(pairs.select(F.xxhash64("x", "y").alias("key"), "node"), "keys")
+    release(spark)
     tops = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     met, path3 = written(keyed.join(tops, "key"), "members")
-    erase(classes.sparkSession, path1, path2)
+    erase(spark, path1, path2)
     return met, [path3]
 
 
-def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> tuple[DataFrame, str]:
-    """(node, set), with the table's path, of the classes in wanted (node, rep): the texts are read again; a filter of fixed size skips most of the others."""
-    spark = docs.sparkSession
-    at = F.pmod(F.shiftright(F.xxhash64("rep"), 6), F.lit(FILTER_WORDS)).cast("int")
-    bit = F.expr("shiftleft(1L, cast(xxhash64(rep) & 63 as int))")
+def placed(rows: DataFrame, column: str) -> DataFrame:
+    """rows with the word k and the bit b of the column's place in a filter."""
+    hashed = F.xxhash64(column)
+    return rows.withColumns({"k": F.pmod(F.shiftright(hashed, 6), F.lit(FILTER_WORDS)).cast("int"), "b": hashed.bitwiseAND(F.lit(63)).cast("int")})
+
+
+def filter_of(rows: DataFrame, column: str) -> np.ndarray:
+    """A filter of fixed size that holds the column's values."""
     words = np.zeros(FILTER_WORDS, np.int64)
-    filled = wanted.groupBy(at.alias("k")).agg(F.bit_or(bit).alias("w")).toArrow()  # FILTER_WORDS rows at most
+    filled = placed(rows, column).groupBy("k").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("w")).toArrow()  # FILTER_WORDS rows at most
     words[filled["k"].to_numpy()] = filled["w"].to_numpy()
-    sent = spark.sparkContext.broadcast(words)
-    hashed = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).select("rep", "text", at.alias("k"), F.expr("cast(xxhash64(rep) & 63 as int)").alias("s"))
+    return words
+
+
+def passing(held: np.ndarray, b: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows whose k and b, the last columns, the filter holds."""
+    keep = (held[b.column("k").to_numpy()] >> b.column("b").to_numpy().astype(np.int64)) & 1
+    return b.filter(pa.array(keep.astype(bool)))
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """Bits of a set, one set for each member; a power of two of them, so that halves fold onto each other."""
+    bits = np.zeros(max(64, 1 << (SENT_SPREAD * len(s) - 1).bit_length()), bool)
+    bits[s & np.uint64(len(bits) - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def folded(bits: np.ndarray, n: int) -> np.ndarray:
+    """The bitmap of the same set in n words."""
+    return np.bitwise_or.reduce(bits.reshape(-1, n), 0) if len(bits) > n else bits
+
+
+def possible(x: np.ndarray, y: np.ndarray, size_x, size_y, percent: int):
+    """Whether sets of these sizes can be linked: a member whose bit the other lacks isn't in it. Bitmaps of one width; y and size_y may be many."""
+    most = np.minimum(size_x - np.bitwise_count(x & ~y).sum(-1, dtype=np.int64), size_y - np.bitwise_count(y & ~x).sum(-1, dtype=np.int64))
+    return 100 * most >= percent * (size_x + size_y - most)
+
+
+def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> tuple[DataFrame, str]:
+    """(node, size, bits, set), with the table's path, of the classes in wanted (node, rep): the texts are read again; a filter of fixed size skips most of the others.
+
+    Nothing is shuffled, so a class may have several equal rows, and some that aren't wanted are among them: see one_each().
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(wanted, "rep"))
+    hashed = placed(docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).where(F.col("rep").isNotNull()), "rep").select("text", "k", "b")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
         for b in batches(rows, max_bytes=2 << 20):
-            keep = (held[b.column(2).to_numpy()] >> b.column(3).to_numpy().astype(np.int64)) & 1
-            b = b.filter(pa.array(keep.astype(bool)))
-            sets = [s for s in shingle_sets(b.column(1)) if len(s)]
+            sets = [s for s in shingle_sets(passing(held, b).column(0)) if len(s)]
             for i in range(0, len(sets), 256):
                 part = sets[i : i + 256]
-                yield pa.RecordBatch.from_arrays([pa.array([class_key(s) for s in part], pa.binary()), pa.array([s.tobytes() for s in part], pa.binary())], names=["node", "set"])
+                columns = [pa.array([f(s) for s in part], pa.binary()) for f in (class_key, bitmap, np.ndarray.tobytes)]
+                yield pa.RecordBatch.from_arrays([columns[0], pa.array([len(s) for s in part], pa.int64()), *columns[1:]], names=["node", "size", "bits", "set"])
+
+    return written(hashed.mapInArrow(run, "node binary, size long, bits binary, set binary"), "sets")
+
+
+def one_each(sets: DataFrame, *columns: str, among: DataFrame | None = None) -> DataFrame:
+    """node and the columns of each class; with `among` (node), most of the other classes are left out before anything is shuffled."""
+    sets = sets.select("node", *columns)
+    if among is not None:
+        sent, names = sets.sparkSession.sparkContext.broadcast(filter_of(among, "node")), sets.columns
+
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in rows:
+                yield passing(sent.value, b).select(names)
 
-    found = hashed.where(F.col("rep").isNotNull()).mapInArrow(run, "node binary, set binary")
-    return written(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+        sets = placed(sets, "node").mapInArrow(run, sets.schema)
+    return sets.dropDuplicates(["node"])
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -148,8 +201,26 @@ def fitting(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(100 * least >= percent * most).select("u", "v")
 
 
+def close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that bitmaps of their sets don't rule out; others need no full sets."""
+    told = one_each(sets, "size", "bits")
+    one, two = (told.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("u", "v"))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            keep = []
+            for m, n, s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (s, t))
+                words = min(len(x), len(y))
+                keep.append(bool(possible(folded(x, words), folded(y, words), m, n, percent)))
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "size_u", "size_v", "bits_u", "bits_v").mapInArrow(run, "u binary, v binary")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that are linked on their full sets."""
+    """The pairs (u, v) that are linked on their full sets. pairs is read twice: write it first."""
+    sets = one_each(sets, "set", among=pairs.select(F.explode(F.array("u", "v")).alias("node")))
     one = sets.select(F.col("node").alias("u"), F.col("set").alias("s"))
     two = sets.select(F.col("node").alias("v"), F.col("set").alias("t"))
 
@@ -188,37 +259,76 @@ def linked(rows: list[tuple[int, bytes, bytes, bytes]], percent: int) -> list[tu
     return out
 
 
+def opened(rows: list[tuple[int, bytes, bytes, int, bytes]], percent: int) -> list[tuple[bytes]]:
+    """The nodes among (block, node, component, size, bits) rows that bitmaps let be linked with one of another component; between two blocks where there are two."""
+    bits = [np.frombuffer(x[4], np.uint64) for x in rows]
+    words, size, block = (np.array(x) for x in ([len(x) for x in bits], [x[3] for x in rows], [x[0] for x in rows]))
+    name = {r: i for i, r in enumerate(dict.fromkeys(x[2] for x in rows))}
+    of, two, mark = np.array([name[x[2]] for x in rows]), block[0] != block[-1], np.zeros(len(rows), bool)
+    for n in np.unique(words):
+        own = np.flatnonzero(words == n)
+        wide = np.flatnonzero((words >= n) & (100 * size[own].max() >= percent * size))  # narrower ones have met these before
+        every = np.stack([folded(bits[j], n) for j in wide])
+        for i in own:
+            fit = (of[wide] != of[i]) & (100 * np.minimum(size[wide], size[i]) >= percent * np.maximum(size[wide], size[i]))
+            fit &= ~mark[wide] if mark[i] else True
+            j = np.flatnonzero(fit & (block[wide] != block[i]) if two else fit)
+            j = j[possible(bits[i], every[j], size[i], size[wide[j]], percent)]
+            mark[wide[j]] = True
+            mark[i] |= len(j) > 0
+    return [(rows[i][1],) for i in np.flatnonzero(mark)]
+
+
+def dealt(rows: DataFrame, each: int) -> tuple[DataFrame, str]:
+    """rows (g, node, size, ...) with i, j and block, once for each block of their group, with the path of a table written; `each`: bytes sent for a member."""
+    sizes, path = written(rows.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") * each / BLOCK_BYTES)).cast("int").alias("blocks")), "sizes")
+    rows = rows.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}), path
+
+
+def met(rows: DataFrame, work: Callable[[list[tuple]], list[tuple]], names: list[str]) -> DataFrame:
+    """What work gives for the rows of every two blocks (g, i, j), which one task holds at a time; its binary columns are `names`."""
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, out = [], None, []
+        for b in batches_:
+            for g, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (g, i, j) != at:
+                    out += work(held) if len(held) > 1 else []
+                    held, at = [], (g, i, j)
+                held.append(tuple(row))
+        out += work(held) if len(held) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in range(len(names))], names=names)
+
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "block").mapInArrow(run, ", ".join(f"{x} binary" for x in names))
+
+
 def rest_links(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
     """Links (u, v) between components so far, of classes that share buckets, with the paths of the tables that they are read from.
 
     Buckets that still span components are joined to groups by the classes they share. A group is dealt
     into blocks of bounded size, and every two blocks meet in one task, which tries their pairs in
-    memory and gives confirmed links only. Rows stream in order of group and blocks; a set is sent once for each block of its group.
+    memory: first on bitmaps, which tell the classes that can have a link, then those alone on full sets, which gives
+    confirmed links only. Rows stream in order of group and blocks; a set is sent once for each block of its group.
     """
     spark = members.sparkSession
     named = members.select("key", "node").join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("r", F.coalesce("r", "node"))
     mixed, path1 = written(named.groupBy("key").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("node").alias("u")).where("r0 <> r1").select("key", "u"), "mixed")
+    release(spark)
     rows, path2 = written(named.join(mixed, "key").select("u", "node", "r").distinct(), "spanning")
+    release(spark)
     groups = components(rows.select("u", F.col("node").alias("v"))).withColumnRenamed("root", "g")
-    rows, path3 = written(rows.select("node", "r").distinct().join(groups, "node").join(sets.select("node", F.length("set").alias("size")), "node"), "grouped")
-    sizes, path4 = written(rows.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks")), "sizes")
+    rows, path3 = written(rows.select("node", "r").distinct().join(groups, "node").join(one_each(sets, "size"), "node"), "grouped")
     erase(spark, path1, path2)
-    rows = rows.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "node")
-    rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "r", "set")
-
-    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, out = [], None, []
-        for b in batches_:
-            for g, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (g, i, j) != at:
-                    out += linked(held, percent) if len(held) > 1 else []
-                    held, at = [], (g, i, j)
-                held.append(tuple(row))
-        out += linked(held, percent) if len(held) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["u", "v"])
-
-    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "block").mapInArrow(run, "u binary, v binary"), [path3, path4]
+    blocks, path4 = dealt(rows, SENT_SPREAD // 4)  # a bitmap has twice SENT_SPREAD bits a member at most
+    blocks = blocks.join(one_each(sets, "bits"), "node").select("g", "i", "j", "block", "node", "r", "size", "bits")
+    some, path5 = written(met(blocks, lambda held: opened(held, percent), ["node"]), "open")
+    release(spark)
+    rows, path6 = written(rows.join(some.distinct(), "node", "left_semi"), "opened")
+    blocks, path7 = dealt(rows, 8)
+    blocks = blocks.join(one_each(sets, "set", among=rows), "node").select("g", "i", "j", "block", "node", "r", "set")
+    return met(blocks, lambda held: linked(held, percent), ["u", "v"]), [path3, path4, path5, path6, path7]
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -229,15 +339,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     and which is kept. Rows with equal keys and texts get equal results; an empty table an empty one.
     """
     spark = docs.sparkSession
-    rows, _ = written(sketches(docs, key, text), "sketches")
-    classes, _ = written(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
-    members, paths = buckets(classes)
+    wide, path1 = written(sketches(docs, key, text), "sketches")
+    grouped = wide.where("node is not null and doc_id is not null").groupBy("node")
+    banded, path2 = written(grouped.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    rows, _ = written(wide.select("doc_id", "n_shingles", "node"), "rows")  # band values, most of the bytes, go as soon as they aren't needed
+    erase(spark, path1)
+    release(spark)
+    members, paths = buckets(banded)
+    classes, _ = written(banded.select("node", "rep", "size"), "classes")
+    erase(spark, path2)
     release(spark)
     wanted = members.select("node").distinct().join(classes.select("node", "rep"), "node")
     sets, path = full_sets(docs, key, text, wanted)
+    release(spark)
     stars = members.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-    release(spark)  # what made the sets, before they are sent
-    links, path1 = written(confirm(fitting(stars, classes, percent), sets, percent), "links")
+    pairs, path0 = written(close(fitting(stars, classes, percent), sets, percent), "close")
+    release(spark)  # what made the pairs, before full sets are sent
+    links, path1 = written(confirm(pairs, sets, percent), "links")
     release(spark)
     roots, path2 = written(components(links), "roots")
     rest, more_paths = rest_links(members, sets, roots, percent)
@@ -245,7 +363,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     if not more.isEmpty():
         roots, _ = written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
         more_paths.append(path2)
-    erase(spark, path, path1, path3, *paths, *more_paths)
+    erase(spark, path, path0, path1, path3, *paths, *more_paths)
     release(spark)
     named = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
