@@ -2,7 +2,7 @@
 
     python -m corvane.scoring --generated PATH --reference PATH [--pool PATH] [--vocabulary PATH] [--draws N] [--out PATH]
 
-Files are JSON lines, JSON or Parquet, by their suffix; a folder of JSON lines may end in .jsonl, too. Texts are normalized and blank ones dropped,
+Files are JSON lines, JSON or Parquet, by their suffix; a folder of JSON lines may end in .jsonl, too. Blank texts are dropped, the others
 become histograms over the most frequent tokens of the vocabulary texts (those of the reference unless given), and the squared MMD
 between the two sides is set against draws from the pool (the reference unless given).
 """
@@ -18,19 +18,14 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from corvane.operators import mmd, vectors
 from corvane.sources.shared import stored
-from corvane.sources.tables import load_records, non_empty_texts
+from corvane.sources.tables import filled_texts, load_records
 
 
-def texts_of(spark: SparkSession, path: str, key: str = "text", mode: str = "whitespace") -> DataFrame:
-    """(id, text) of a file's texts that aren't blank; an error where there is none. The table is written, so ids hold."""
+def words_of(spark: SparkSession, path: str, key: str = "text", mode: str = "whitespace", again: bool = True) -> DataFrame:
+    """(id, words) of a file's texts that aren't blank; an error where there is none. What is read again is written, so ids hold and no text is cut into words twice."""
     rows = load_records(spark, path, StructType([StructField(key, StringType())])).select(F.col(key).alias("text"))
-    return stored(non_empty_texts(rows, "text", mode).withColumn("id", F.monotonically_increasing_id()), "texts")
-
-
-def features(texts: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
-    """(id, vec): shares of the vocabulary's tokens in each text, those of others last."""
-    counts = stored(vectors.token_counts(texts, "id", "text"), "counts")
-    return vectors.dense(vectors.histograms(counts, vocabulary, "id", size), texts, "id", size)
+    words = vectors.worded(filled_texts(rows, "text", mode).withColumn("id", F.monotonically_increasing_id()), ["id"], "text")  # white space between words is none of theirs
+    return stored(words, "words") if again else words
 
 
 def score_files(spark: SparkSession, generated: str, reference: str, pool: str | None = None, vocabulary: str | None = None, size: int = 4096, key: str = "text", mode: str = "whitespace", bandwidth: float | None = None, draws: int = 0, seed: int = 17) -> DataFrame:
@@ -38,12 +33,14 @@ def score_files(spark: SparkSession, generated: str, reference: str, pool: str |
 
     The bandwidth is the median distance within the pool, or the reference without one, unless given.
     """
-    sides = {"generated": texts_of(spark, generated, key, mode), "reference": texts_of(spark, reference, key, mode)}
+    again = bool(draws) or not bandwidth  # whether vectors are read more than once
+    sides = {"generated": words_of(spark, generated, key, mode, again), "reference": words_of(spark, reference, key, mode, again or not vocabulary)}
     if pool:
-        sides["pool"] = texts_of(spark, pool, key, mode)
-    words = texts_of(spark, vocabulary, key, mode) if vocabulary else sides["reference"]
-    tokens = stored(vectors.vocabulary(vectors.token_counts(words, "id", "text"), size), "vocabulary")
-    told = {n: stored(features(t, tokens, size), "features") for n, t in sides.items()}
+        sides["pool"] = words_of(spark, pool, key, mode)
+    words = words_of(spark, vocabulary, key, mode, False) if vocabulary else sides["reference"]
+    tokens = stored(vectors.vocabulary(vectors.word_counts(words), size), "vocabulary")
+    told = {n: vectors.shares(t, ["id"], tokens, size) for n, t in sides.items()}
+    told = {n: stored(f, "features") for n, f in told.items()} if again else told
     return mmd.score(told["generated"], told["reference"], "id", "vec", told.get("pool"), bandwidth, draws, seed)
 
 
