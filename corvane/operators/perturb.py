@@ -253,8 +253,8 @@ def numbered_pool(pool: DataFrame, order: list[str] | None = None, stretch: Colu
 
 
 def spliceable(docs: DataFrame, key: str, normal: str, rate: float, seed: int | str, position: str | None = None, least: int = 2) -> DataFrame:
-    """docs as splice() takes them, with sentences and chosen places, as a written table: the draws are told from it, and the edits of any pool. Texts of fewer than `least` sentences have no chosen place."""
-    rows = with_sentences(docs, key, normal, rate, seed, position)
+    """docs as splice() takes them, with sentences and chosen places but without the text, which the sentences hold, as a written table: the draws are told from it, and the edits of any pool. Texts of fewer than `least` sentences have no chosen place."""
+    rows = with_sentences(docs, key, normal, rate, seed, position).drop(normal)
     return stored(rows.withColumn("__c", F.when(F.size("__s") >= least, F.col("__c")).otherwise(F.array().cast("array<int>"))), "places")
 
 
@@ -262,6 +262,7 @@ def splice(docs: DataFrame, pool: DataFrame, total: int, key: str, normal: str,
     """Chosen sentences replaced by sentences of a numbered pool, drawn with replacement; one that draws itself stays. Texts of fewer than `least` sentences stay.
 
     The same seed chooses the same places whatever the pool; `tag` names the draws. placed: spliceable() of the same, where several pools share it.
+    Texts are made of their sentences behind the join, so what is shuffled holds each once.
     """
     rows = (placed if placed is not None else spliceable(docs, key, normal, rate, seed, position, least)).withColumn("__c", F.when(F.lit(total > 0), F.col("__c")).otherwise(F.array().cast("array<int>")))
     draw = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}d{tag}:"), F.col(key).cast("string"), F.lit(":"), F.col("i").cast("string")), 256), 1, 15), 16, 10).cast("long") % max(total, 1)
@@ -269,7 +270,7 @@ def splice(docs: DataFrame, pool: DataFrame, total: int, key: str, normal: str,
     rows = rows.join(drawn, key, "left").withColumn("__d", F.map_from_entries(F.coalesce("__d", F.array().cast("array<struct<i:int,__new:string>>"))))
     rows = rows.withColumn("__c", F.filter("__c", lambda i: F.col("__d")[i] != F.get("__s", i)))
     new = F.transform("__s", lambda s, i: F.when(F.array_contains("__c", i), F.col("__d")[i]).otherwise(s))
-    return _done(rows, new, F.size("__c") / F.greatest(F.size("__s"), F.lit(1))).drop("__d")
+    return _done(rows.withColumn(normal, F.array_join("__s", " ")), new, F.size("__c") / F.greatest(F.size("__s"), F.lit(1))).drop("__d")
 
 
 def rewrite_sentences(docs: DataFrame, normal: str, targets: str, rewrites: str) -> DataFrame:

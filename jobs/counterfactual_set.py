@@ -70,7 +70,8 @@ def run(spark: SparkSession, documents: str, out: str, settings: dict | None = N
         return set_id
     pools = {f: perturb.sentence_pool(texts.where(F.col("source").isin(*settings[k])), "n") for f, k in (("generated_splice", "splice_generated"), ("human_splice", "splice_human"))}
     rows = conditions.condition_rows(parents, pools, settings).withColumn("set_id", F.lit(set_id))
-    rows.hint("rebalance", "condition").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("set_id", "condition").parquet(f"{out}/rows")
+    # each condition's tasks write its rows where they are made: dealing them anew would shuffle the whole set
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("set_id", "condition").parquet(f"{out}/rows")
     counted = spark.read.schema(ROWS).parquet(f"{out}/rows").where(F.col("set_id") == set_id).groupBy("condition").agg(F.count("*").alias("n"))
     plan = spark.createDataFrame(conditions.planned(settings), "condition string, family string, group string, kind string, role string, dose double, dose_kind string")
     told = plan.join(counted, "condition", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "status": F.when(F.col("n") > 0, "included").otherwise("skipped"), "set_id": F.lit(set_id)})
